@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, oracles
 
 
 def word_bpe() -> str:
@@ -44,9 +44,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects, with their scores."""
+    from .quality import select
+
+    return select(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    found = leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_shingles", "shared", "total", "similarity")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_token_output, op7_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op5_token_output, op6_quality, op7_simhash, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": oracles.OP9}
