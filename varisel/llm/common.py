@@ -78,9 +78,11 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, rows_p
     n = df.count()
     buckets = max(64, -(-n // rows_per_bucket))
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(*group, "_b", (F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)) - 1
-    same = [dealt[c].eqNullSafe(before[c]) for c in [*group, "_b"]]
-    out = dealt.withColumn("_i", inside).join(before.withColumnsRenamed({c: f"_r{c}" for c in [*group, "_b"]}), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in [*group, "_b"]])) if same else dealt
-    return out.withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before", *[f"_r{c}" for c in [*group, "_b"]])
+    cols = [*group, "_b"]
+    counts = dealt.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    before = (F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")).alias("_before")
+    before = counts.select(*[F.col(c).alias(f"_r_{c}") for c in cols], before)
+    inside = F.row_number().over(Window.partitionBy(*cols).orderBy(*order)) - 1
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols])
+    out = dealt.withColumn("_i", inside).join(before, same)
+    return out.withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before", *[f"_r_{c}" for c in cols])

@@ -22,6 +22,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    placed = shard_documents(common.table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_texts
+
+    return score_texts(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -51,6 +64,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import top_k
+
+    return top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import leaks
 
@@ -59,8 +78,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_token_output, op6_quality, op7_simhash, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": oracles.OP9}
+    return {"op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9}
