@@ -2,6 +2,29 @@
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+OP4 = r"""
+WITH a AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+s AS (
+  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM a),
+p AS (
+  SELECT conv_id, turns, said[-1] AS last, turns[said[-1]].text AS good,
+    coalesce(CASE WHEN len(said) > 1 THEN turns[said[-2]].text END, CASE WHEN said[-1] > 1 THEN turns[said[-1] - 1].text END, '') AS stale
+  FROM s WHERE len(said) > 0),
+n AS (
+  SELECT *, (CASE WHEN good = stale THEN last ELSE last - 1 END)::INT AS n_common FROM p),
+r AS (
+  SELECT *, '<|assistant|>' || chr(10) AS head, '<|end|>' || chr(10) AS foot FROM n)
+SELECT conv_id, n_common,
+  coalesce(array_to_string(list_transform(turns[1:n_common], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || foot), ''), '') AS prompt,
+  CASE WHEN n_common = last THEN '' ELSE head || good || foot END AS chosen,
+  CASE WHEN n_common = last THEN '' ELSE '14-' || (21 + length(good)) END AS chosen_spans,
+  CASE WHEN n_common = last THEN '' ELSE head || stale || foot END AS rejected,
+  CASE WHEN n_common = last THEN '' ELSE '14-' || (21 + length(stale)) END AS rejected_spans
+FROM r
+"""
+
 OP9 = rf"""
 WITH b AS (
   SELECT min(item_id) AS item_id, w, len(w) AS n, least(len(w), 5) AS k

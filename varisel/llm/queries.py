@@ -35,6 +35,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(common.table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversations, format_preferences, with_stale_replies
+
+    pairs = with_stale_replies(conversations(common.table(spark, sf_dir, "conversations")))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",").alias(c)
+    return format_preferences(pairs).select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -78,8 +86,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op4_chat, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9}
+    return {"op4_chat": oracles.OP4, "op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9}
