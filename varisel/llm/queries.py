@@ -56,7 +56,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

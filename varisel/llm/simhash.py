@@ -54,15 +54,17 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_hash, fp: the fingerprint's 64 bits as a long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, width) for t in batch.column("text")], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view("<i8"))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view("<i8"))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(task, "doc_id long, fp long")
+    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    cols = cols.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return cols.mapInArrow(task, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -186,7 +188,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id,
+    text_hash."""
     prints = written(fingerprints(docs, width), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(links(distinct.select("fp"), radius))
@@ -195,4 +198,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     of = joined.select("node", "root").union(joined.select("root", "root").distinct()).join(smallest, "root").select("node", "component")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     out = prints.join(distinct, "fp").join(of, F.col("fp") == F.col("node"), "left")
-    return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"), "text_hash")
+
+
+def first_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id; of several rows with that
+    doc_id the one of the smallest text hash. Rows without doc_id all stay."""
+    known = near_duplicates(docs.filter("doc_id is not null"), width, radius)
+    first = known.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__first")).agg(F.min("text_hash").alias("__hash"))
+    same = (F.col("doc_id").cast("long") == F.col("__first")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    kept = docs.join(first, same, "left_semi")
+    if not known.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.union(docs.filter("doc_id is null"))
