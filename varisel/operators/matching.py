@@ -166,11 +166,14 @@ def apply_to_units(units: Column, rules: Rules) -> Column:
                 sums.setdefault(key, []).append((r, F.when(F.when(inside, whole).otherwise(False), F.lit(weights[r])).otherwise(0.0)))
         return [(k, reduce(lambda a, b: a + b, [x for _, x in v])) for k, v in sums.items()]
 
+    def recognised(tls: Column, score: Column, key: str) -> Column:
+        """One entry for each translation that an operation recognises, as ``keep_fold`` takes them."""
+        _, kind, regex = rules.ops[key]
+        places = F.filter(F.transform(tls, lambda t, i: F.when(lu.match_text(t).rlike(regex), i)), lambda i: i.isNotNull())
+        return F.transform(F.when(score != 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.struct((-score).alias("neg_weight"), i.alias("tl"), F.lit(key).alias("op_key"), F.lit(kind).alias("op_type")))
+
     def unit(u: Column, pos: Column) -> Column:
-        found = []
-        for key, score in hits(pos):
-            kind, regex = rules.ops[key][1:]
-            found.append(F.when(score != 0, F.transform(F.filter(F.transform(u["tls"], lambda t, i: F.struct(i.alias("tl"), lu.match_text(t).rlike(regex).alias("on"))), lambda x: x["on"]), lambda x, s=score, k=key, o=kind: F.struct((-s).alias("neg_weight"), x["tl"].alias("tl"), F.lit(k).alias("op_key"), F.lit(o).alias("op_type")))).otherwise(F.array().cast("array<struct<neg_weight:double,tl:int,op_key:string,op_type:string>>")))
+        found = [recognised(u["tls"], score, key) for key, score in hits(pos)]
         if not found:
             return u
         kept = keep_fold(F.array_sort(F.concat(*found)), F.size(u["tls"]))["keep"]
