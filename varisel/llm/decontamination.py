@@ -13,8 +13,8 @@ Windows of an item's own size slide over a document; a window with its item's co
    ``similarity`` or more is a leak. The radius of 24 is wide: at a similarity of 0.8 fingerprints differ
    in about 10 bits with a deviation of 3.
 
-DataFrame functions only. Items' shingles are broadcast up to BROADCAST_SHINGLES rows, beyond that joined
-by a shuffle. Items of equal text are one item, the smallest id stands for them, so copies of an item add nothing.
+DataFrame functions only. Items' shingles are broadcast up to BROADCAST_SHINGLES rows, keys of documents
+with windows up to BROADCAST_DOCUMENTS; beyond that they are joined by a shuffle. Items of equal text are one item, the smallest id stands for them, so copies of an item add nothing.
 
 Words are separated by blanks, letters count as lower case. Defined cases: items without id or words take no part;
 null and empty documents have no windows; a document shorter than an item is one window; rows equal in
@@ -32,6 +32,8 @@ from pyspark.sql.window import Window
 from .common import BLANKS, bind, written
 
 BROADCAST_SHINGLES = 1_000_000
+#: Keys of so many documents, 16 bytes each, are broadcast to filter the texts; more by a shuffle.
+BROADCAST_DOCUMENTS = 1_000_000
 LANES = 32
 
 
@@ -68,6 +70,10 @@ def blocks(fp: str, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
+def few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_DOCUMENTS else keys
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n, k, items' shingles: one row for each distinct text."""
     one = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), plain_words(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
@@ -114,8 +120,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     windows = written(windows.filter(F.col("held") >= F.lit(similarity) * F.col("m")), "windows")
 
     # SimHash over all shingles of the windows that are left
-    wanted = windows.select("doc_id", "h").distinct()
-    found = texts.join(wanted.withColumnsRenamed({"doc_id": "w_doc", "h": "w_h"}), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("h") == F.col("w_h")), "left_semi").dropDuplicates(["doc_id", "h"])
+    wanted = written(windows.select(F.col("doc_id").alias("w_doc"), F.col("h").alias("w_h")).distinct(), "wanted")
+    found = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("h") == F.col("w_h")), "left_semi").dropDuplicates(["doc_id", "h"])
     prints = None
     for k in sized or [5]:
         own = windows.filter(F.col("k") == k)
@@ -145,5 +151,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """``docs`` without the documents that hold a leak."""
     found = leaks(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("__leak_doc"), F.col("h").alias("__leak_h")).distinct()
+    found = few(written(found, "leaks"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__leak_h"))
     return docs.join(found, same, "left_anti")

@@ -88,19 +88,18 @@ class GrayIndex:
     def __init__(self, fps: np.ndarray):
         self.fps, self.levels = fps, []
         size = FANOUT
-        while size < len(fps) * FANOUT:
-            self.levels.append((size, *agreed(fps, np.arange(0, len(fps), size))))
+        while not self.levels or len(self.levels[-1][0]) > 1:  # up to one root
+            self.levels.append(agreed(fps, np.arange(0, len(fps), size)))
             size *= FANOUT
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of queries and of members that differ in at most ``radius`` bits."""
-        size, mask, value = self.levels[-1]
         q, node = np.arange(len(queries)), np.zeros(len(queries), "i8")
         for k in range(len(self.levels) - 1, -1, -1):
-            _, mask, value = self.levels[k]
+            mask, value = self.levels[k]
             on = np.bitwise_count((queries[q] ^ value[node]) & mask[node]) <= radius
             q, node = q[on], node[on]
-            below = len(self.levels[k - 1][1]) if k else len(self.fps)
+            below = len(self.levels[k - 1][0]) if k else len(self.fps)
             child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             q = np.repeat(q, FANOUT)
             on = child < below
