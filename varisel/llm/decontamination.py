@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, bind, written
+from .common import BLANKS, bind, free_names, written
 
 BROADCAST_SHINGLES = 1_000_000
 #: Keys of so many documents, 16 bytes each, are broadcast to filter the texts; more by a shuffle.
@@ -150,7 +150,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """``docs`` without the documents that hold a leak."""
-    found = leaks(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("__leak_doc"), F.col("h").alias("__leak_h")).distinct()
+    leak_doc, leak_hash = free_names(docs, "leak_doc", "leak_hash")
+    found = leaks(docs, benchmark, similarity, radius).select(F.col("doc_id").alias(leak_doc), F.col("h").alias(leak_hash)).distinct()
     found = few(written(found, "leaks"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__leak_h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(leak_doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(leak_hash))
     return docs.join(found, same, "left_anti")

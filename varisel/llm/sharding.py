@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, text_hash, written
+from .common import free_names, gapless, text_hash, written
 
 #: Parcels per shard, about; they are what the driver packs.
 PARCELS = 256
@@ -184,8 +184,9 @@ def assign_shards(rows: DataFrame, key: str, size: str, n_shards: int | None = N
     sizes = [int(s) for s in parcels["size"]]
     shards = into_bins(sizes, n_shards) if n_shards else best_fit_decreasing(sizes, shard_size)
     names = rows.sparkSession.createDataFrame([(int(p), int(s)) for p, s in zip(parcels["parcel"], shards, strict=True)], "parcel long, shard int")
-    of = placed.join(F.broadcast(names), "parcel").select(F.col("key").alias("__shard_key"), "shard")
-    return rows.drop("shard").join(of, F.col(key).cast(kind).eqNullSafe(F.col("__shard_key"))).drop("__shard_key")
+    (own,) = free_names(rows, "shard_key")
+    of = placed.join(F.broadcast(names), "parcel").select(F.col("key").alias(own), "shard")
+    return rows.drop("shard").join(of, F.col(key).cast(kind).eqNullSafe(F.col(own))).drop(own)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, written
+from .common import ASCII_LOWER, free_names, written
 from .components import components
 
 #: Blocks: at least so many, so that tasks are even; more where a block would exceed BLOCK fingerprints.
@@ -204,8 +204,9 @@ def first_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame
     """``docs`` with one document of each component, that of the smallest doc_id; of several rows with that
     doc_id the one of the smallest text hash. Rows without doc_id all stay."""
     known = near_duplicates(docs.filter("doc_id is not null"), width, radius)
-    first = known.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__first")).agg(F.min("text_hash").alias("__hash"))
-    same = (F.col("doc_id").cast("long") == F.col("__first")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    first_id, first_hash = free_names(docs, "first_id", "first_hash")
+    first = known.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(first_id)).agg(F.min("text_hash").alias(first_hash))
+    same = (F.col("doc_id").cast("long") == F.col(first_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(first_hash))
     kept = docs.join(first, same, "left_semi")
     if not known.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["doc_id", "text"])
