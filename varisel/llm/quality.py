@@ -3,7 +3,7 @@
 P(grade <= k) = logistic(cut_k - w.x): one weight vector for all grades, ordered cuts. x has a 1 for each hashed
 word and beginning of a word, each run of punctuation behind a word and each shape bucket (share of repeated neighbours, of
 capitals, of words with punctuation runs) that a text has. Weights are fitted with an L1 penalty by
-accelerated proximal gradient steps, so features that tell nothing weigh exactly zero and long texts gather
+proximal gradient steps, so features that tell nothing weigh exactly zero and long texts gather
 no noise. Expected grade and tail probability P(grade >= top) follow for every whole text; ``select`` keeps
 those whose tail probability reaches ``threshold``.
 
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
+#: Training rows from which the penalty is as given.
+ENOUGH_ROWS = 2_500
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCORES = ("expected_grade", "p_top")
 
@@ -92,8 +94,11 @@ class CumulativeLink:
 
 
 def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, least_rows: int = 5, penalty: float = 6e-4, steps: int = 300) -> CumulativeLink | None:
-    """Accelerated proximal gradient; the cuts are kept apart by fitting the logarithms of their distances."""
+    """Proximal gradient steps at rates of their own for each weight; the cuts are kept apart by fitting the
+    logarithms of their distances. Few rows need a stronger penalty: under ENOUGH_ROWS it grows as the noise of
+    a mean does, with the root of their number."""
     n, top = len(grades), int(grades.max(initial=0))
+    penalty *= max(1.0, (ENOUGH_ROWS / max(n, 1)) ** 0.5)
     if len(np.unique(grades)) < 2:
         return None
     seen = np.bincount(features, minlength=DIMENSIONS)
