@@ -11,8 +11,8 @@ Fitting uses at most ``max_rows`` labelled rows (default 20,000), the smallest h
 takes all rows, in tasks, with the weights (DIMENSIONS floats) sent to each.
 
 Grades here: 0 toxic, 1 of low quality, 2 clean. Defined cases: rows without doc_id, quality or toxic are
-no labels; several labels of a document count as their lowest grade; documents with a repeated doc_id all
-take the label; null text is the empty text; with fewer than two grades among the labels nothing can be
+no labels; several labels of a document count as their lowest grade; of documents with a repeated doc_id the
+one of the smallest text hash is fitted; null text is the empty text; with fewer than two grades among the labels nothing can be
 learned, all documents are kept and their scores are null; other columns are passed on by ``select``."""
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 18
 #: Training rows from which the penalty is as given.
 ENOUGH_ROWS = 2_500
+#: Rows that a step of the fit takes at once, so that the driver holds the features (4 bytes each) and little more.
+FIT_ROWS = 1_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCORES = ("expected_grade", "p_top")
 
@@ -103,10 +105,12 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, least_rows:
         return None
     seen = np.bincount(features, minlength=DIMENSIONS)
     kept = np.flatnonzero(seen >= least_rows)
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, "i4")
     place[kept] = np.arange(len(kept))
     on = place[features] >= 0
-    r, f = rows[on], place[features[on]]
+    r, f = rows[on].astype("i4"), place[features[on]]
+    cuts_at = np.searchsorted(r, np.arange(0, n + FIT_ROWS, FIT_ROWS))
+    parts = [(i * FIT_ROWS, min((i + 1) * FIT_ROWS, n), r[x:y], f[x:y]) for i, (x, y) in enumerate(zip(cuts_at, cuts_at[1:], strict=False))]
     shares = np.clip(np.bincount(grades, minlength=top + 1).astype(float), 0.5, None) / n
     first = np.cumsum(shares)[:-1].clip(1e-3, 1 - 1e-3)
     cuts = np.log(first / (1 - first))
@@ -115,14 +119,14 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, least_rows:
     grad2_w, grad2_g = np.full(len(kept), 1e-8), np.full(len(gaps), 1e-8)
     for _ in range(steps):
         cuts = np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))])
-        score = np.bincount(r, w[f], n)
+        score = np.concatenate([np.bincount(pr - x, w[pf], y - x) for x, y, pr, pf in parts])
         s = 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -40, 40)))
         full = np.column_stack([np.zeros(n), s, np.ones(n)])
         slope = np.column_stack([np.zeros(n), s * (1 - s), np.zeros(n)])
         i = np.arange(n)
         p = np.maximum(full[i, grades + 1] - full[i, grades], 1e-9)
         d_score = (slope[i, grades + 1] - slope[i, grades]) / p / n  # of the mean negative log likelihood
-        g_w = np.bincount(f, d_score[r], len(kept))
+        g_w = sum(np.bincount(pf, d_score[pr], len(kept)) for _, _, pr, pf in parts)
         d_cut = np.zeros(top)
         for k in range(top):
             d_cut[k] = (-slope[:, k + 1] / p * (grades == k) + slope[:, k + 1] / p * (grades == k + 1)).sum() / n
@@ -154,15 +158,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Cumulat
         cache: dict = {}
         for batch in batches:
             r, f = text_features(batch.column("text"), cache)
-            cuts = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype("i4")
-            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(f.astype("i4")))], names=["label_id", "grade", "features"])
-
-    got = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "grade").mapInArrow(task, "label_id long, grade int, features array<int>")
-    got = got.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows).toPandas()
-    if got.empty:
+            cuts = np.searchsorted(r, np.arange(batch.num_rows + 1))
+            data = [f[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("grade"), pa.array(data, pa.binary())], names=["label_id", "grade", "features"])
+
+    met = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    one = met.groupBy("label_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    got = one.select("label_id", "x.text", "grade").mapInArrow(task, "label_id long, grade int, features binary").toArrow()
+    if not got.num_rows:
         return None
-    lengths = got.features.map(len).to_numpy()
-    return fit(np.repeat(np.arange(len(got)), lengths), np.concatenate(got.features.to_list()).astype("i8"), got.grade.to_numpy().astype("i8"))
+    got = got.sort_by("label_id")
+    data = got.column("features").to_pylist()
+    lengths = np.array([len(x) // 4 for x in data])
+    features, known = np.frombuffer(b"".join(data), "<i4"), got.column("grade").to_numpy().astype("i8")
+    del data, got
+    return fit(np.repeat(np.arange(len(lengths), dtype="i4"), lengths), features, known)
 
 
 def score(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
