@@ -32,6 +32,8 @@ DIMENSIONS = 1 << 18
 ENOUGH_ROWS = 2_500
 #: Rows that a step of the fit takes at once, so that the driver holds the features (4 bytes each) and little more.
 FIT_ROWS = 1_000
+#: Forms that a task remembers, about 300 bytes each; affects speed only.
+CACHE = 200_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCORES = ("expected_grade", "p_top")
 
@@ -58,7 +60,7 @@ def text_features(texts: pa.Array, cache: dict[str, tuple[int, int, int, bool]]
     coded = lists.flatten().dictionary_encode()
     which = coded.indices.to_numpy()
     names = coded.dictionary.to_pylist()
-    if len(cache) > 1_000_000:
+    if len(cache) > CACHE:
         cache.clear()
     forms = [cache.get(s) for s in names]
     for i, (s, f) in enumerate(zip(names, forms, strict=True)):
@@ -83,6 +85,16 @@ def text_features(texts: pa.Array, cache: dict[str, tuple[int, int, int, bool]]
     return pairs // DIMENSIONS, pairs % DIMENSIONS
 
 
+def parts_of(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, size + (upto[at - 1] if at else 0), "right")))
+        yield at, to
+        at = to
+
+
 @dataclass
 class CumulativeLink:
     weights: np.ndarray
@@ -157,9 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Cumulat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            r, f = text_features(batch.column("text"), cache)
-            cuts = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            data = [f[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+            data: list[bytes] = []
+            for a, b in parts_of(batch.column("text")):
+                r, f = text_features(batch.column("text").slice(a, b - a), cache)
+                cuts = np.searchsorted(r, np.arange(b - a + 1))
+                data += [f[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("grade"), pa.array(data, pa.binary())], names=["label_id", "grade", "features"])
 
     met = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
@@ -187,7 +201,7 @@ def score(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
         own, cache = CumulativeLink(*sent.value), {}
         for batch in batches:
             texts = batch.column(names.index("text"))
-            p = np.concatenate([own.probabilities(*text_features(texts.slice(i, 2048), cache), len(texts.slice(i, 2048))) for i in range(0, len(texts), 2048)] or [np.zeros((0, len(own.cuts) + 1))])
+            p = np.concatenate([own.probabilities(*text_features(texts.slice(a, b - a), cache), b - a) for a, b in parts_of(texts)] or [np.zeros((0, len(own.cuts) + 1))])
             expected = p @ np.arange(p.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(p[:, -1])], names=[*names, *SCORES])
 

@@ -27,7 +27,7 @@ def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, end_id: int, entries: int = 800_000, longest: int = 48, part: int = 8 << 20):
+    def __init__(self, path: str, end_id: int, entries: int = 300_000, longest: int = 48, part: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
