@@ -133,7 +133,8 @@ def test_learned_rules_choose_better(spark):
     """From a word-aligned corpus to rules to their use: context decides between two translations."""
     rows = []
     for k in range(40):
-        near, tl = (("river<n>", "orilla<n>") if k % 2 else ("money<n>", "banco<n>"))
+        near = "river<n>" if k % 2 else "money<n>"
+        tl = "orilla<n>" if k % 2 and k % 10 != 1 else "banco<n>"  # the default occurs by the river too
         rows.append((k, ["the<det>", near, "bank<n>"], ["el<det>", near, tl]))
     rows.append((40, ["bank<n>", "x<n>"], ["banco<n>", "x<n>"]))
     unit = lambda i, w: (i, " ", w, ["banco<n>", "orilla<n>"] if w == "bank<n>" else [w])
@@ -179,7 +180,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_legacy(spark):
-    rules = legacy.parse_rules(spark.createDataFrame([(1, 'x\ts\t("a" n)\t("y" n)\t(-1 "b" n)'), (2, 'x\tr\t("a" n)\t("x" n)\t')], "rule_id int, value string"))
+    rules = legacy.parse_rules(spark.createDataFrame([(1, 's\t("a" n)\t("y" n)\t(-1 "b" n)'), (2, 'r\t("a" n)\t("x" n)\t')], "rule_id int, value string"))
     units = spark.createDataFrame([(1, 0, "b<n>", ["b<n>"]), (1, 1, "a<n>", ["x<n>", "y<n>", "z<n>"]), (1, 2, "a<n>", ["x<n>", "y<n>", "z<n>"])], "sent_id long, pos int, sl string, tls array<string>")
     got = {r.pos: r.tls for r in legacy.apply(units, rules).collect()}
     assert got == {0: ["b<n>"], 1: ["y<n>"], 2: ["y<n>", "z<n>"]}
