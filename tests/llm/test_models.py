@@ -71,6 +71,23 @@ def test_shards(docs, no_docs, texts):
     assert sharding.shard_documents(no_docs).count() == 0
 
 
+def test_a_large_group_leaves_the_rest_even(spark):
+    for sizes, n, want in (([1000, 500, 500, 500, 500], 16, [1000, 500, 500, 500, 500]), ([1] * 24, 16, [2] * 8 + [1] * 8), ([900, 90, *[1] * 140], 16, [900, 90, *[10] * 14])):
+        loads = [0] * n
+        for size, b in zip(sizes, sharding.into_bins(sizes, n), strict=True):
+            loads[b] += size
+        assert sorted(filter(None, loads), reverse=True) == want
+    rng = random.Random(12)
+    for share in (1 / 3, 0.999):
+        small = [(f"g{k}", rng.randint(1, 40)) for k in range(20_000)]
+        total = sum(s for _, s in small)
+        rows = [*small, *[("large", max(1, int(total * share / (1 - share)) // 10))] * 10]
+        got = sharding.assign_shards(spark.createDataFrame(rows, "k string, size long"), "k", "size", 16).toPandas()
+        loads = got.groupby("shard")["size"].sum().sort_values()
+        assert got[got.k == "large"].shard.nunique() == 1 and len(loads) == 16
+        assert loads.iloc[0] >= 0.98 * total / 15 and loads.iloc[-2] <= 1.02 * total / 15
+
+
 def test_fixed_capacity(spark):
     rng = random.Random(3)
     rows = [(f"g{rng.randint(0, 300)}" if rng.random() < 0.98 else None, rng.randint(-2, 40)) for _ in range(3000)]

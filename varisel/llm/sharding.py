@@ -5,15 +5,17 @@ through a balanced tree of remaining capacities. The number of groups has no bou
 levels. In tasks, each over its share of the groups (sorted by Spark), groups are packed best-fit-decreasing
 into parcels of a fixed capacity, a small fraction of a shard; a group beyond it is a parcel of its own.
 Then the parcels, at most twice the total over their capacity and one for each task, are packed
-best-fit-decreasing into shards on the driver. With a number of shards given, the least capacity that
-needs no more shards is found by bisection, so shard sizes are as near equal as the groups allow.
+best-fit-decreasing into shards on the driver. With a number of shards given, a parcel larger than the mean of
+what is left has a shard of its own; for the others the least capacity that needs no more than the shards
+left is found by bisection, and moves from fuller to emptier shards even out the rest, so shard sizes are
+near equal where the groups allow it.
 
 Defined cases: rows with a null key are one group; groups of size 0 or less count as 0; ties in size follow
 the key; an empty table gives no rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -143,12 +145,59 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def alone(sizes: Iterable[int], total: int, n: int) -> tuple[int, int, int]:
+    """Of ``sizes`` in decreasing order, how many exceed the mean of what is left for the bins that are left,
+    each with a bin of its own; then the total and the number of bins that are left."""
+    own = 0
+    for size in sizes:
+        if size * (n - own) <= total:  # always so for the last bin
+            break
+        total, own = total - size, own + 1
+    return own, total, n - own
+
+
+def evened(sizes: list[int], bins: list[int], n: int) -> list[int]:
+    """``bins`` after moves from fuller to emptier bins, as long as a move brings the two nearer to each other."""
+    out, held, loads = list(bins), [[] for _ in range(n)], [0] * n
+    for i, b in enumerate(out):
+        held[b].append(i)
+        loads[b] += sizes[i]
+
+    def move() -> bool:
+        to = min(range(n), key=lambda b: (loads[b], b))
+        for b in sorted(range(n), key=lambda b: (-loads[b], b)):
+            gap = loads[b] - loads[to]
+            fits = [i for i in held[b] if 0 < sizes[i] < gap]
+            if fits:
+                i = min(fits, key=lambda i: (abs(gap - 2 * sizes[i]), i))
+                held[b].remove(i)
+                held[to].append(i)
+                out[i], loads[b], loads[to] = to, loads[b] - sizes[i], loads[to] + sizes[i]
+                return True
+        return False
+
+    while move():  # the sum of squares falls
+        pass
+    return out
+
+
 def into_bins(sizes: list[int], n: int) -> list[int]:
-    """Bins 0 to n - 1 by the least capacity (to 1 in 10,000 of the mean) at which best fit needs no more."""
-    total, low = sum(sizes), max([1, -(-sum(sizes) // n), *sizes])
+    """Bins 0 to n - 1. Sizes over the mean of what is left have bins of their own; the others are packed by the
+    least capacity (to 1 in 10,000 of their mean) at which best fit needs no more bins than are left, and evened."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    own, total, left = alone((sizes[i] for i in order), sum(sizes), n)
+    bins = [0] * len(sizes)
+    for b, i in enumerate(order[:own]):
+        bins[i] = b
+    rest = order[own:]
+    for i, b in zip(rest, _least_capacity([sizes[i] for i in rest], total, left), strict=True):
+        bins[i] = own + b
+    return bins
+
+
+def _least_capacity(sizes: list[int], total: int, n: int) -> list[int]:
+    low = max(1, -(-total // n))
     out, high = best_fit_decreasing(sizes, low), low
-    if max(out, default=0) < n:
-        return out
     step = max(1, total // n // 10_000)
     while max(out, default=0) >= n:
         high += max(step, (high - low) or step)
@@ -160,14 +209,18 @@ def into_bins(sizes: list[int], n: int) -> list[int]:
             high, out = middle, tried
         else:
             low = middle
-    return out
+    return evened(sizes, out, n)
 
 
 def assign_shards(rows: DataFrame, key: str, size: str, n_shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """``rows`` with ``shard``. Either a number of shards, or the capacity of each, is given."""
-    groups = rows.groupBy(key).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("size"))
+    groups = written(rows.groupBy(key).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("size")), "groups")
     total = groups.agg(F.sum("size")).first()[0] or 0
-    shard_size = max(1, capacity or -(-total // (n_shards or 1)))
+    if n_shards:  # parcels are small beside what the largest groups leave for the other shards
+        largest = [r["size"] for r in groups.select("size").orderBy(F.desc("size")).limit(n_shards).collect()]
+        _, rest, left = alone(largest, total, n_shards)
+        capacity = -(-rest // left)
+    shard_size = max(1, capacity or total)
     parcel = max(1, shard_size // PARCELS)
     kinds = pa.schema([("key", groups.schema[key].dataType.typeName() == "binary" and pa.binary() or pa.string()), ("parcel", pa.int64()), ("size", pa.int64())])
 
