@@ -132,6 +132,40 @@ def test_line_runs_within_and_nested(spark):
     assert got[2] == "" and got[4] == ls[30] and got[5] == texts[4][1]
 
 
+def longest_lines(texts, min_words):
+    """What is left of each text if a line goes with the longest run from any place that any earlier place has."""
+    h = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype("<i8"))
+    distinct = sorted((i, h(t), t) for i, t in texts)
+    split = [t.split("\n") for *_, t in distinct]
+    places = [(a, p) for a, ls in enumerate(split) for p in range(len(ls))]
+
+    def common(x, y):
+        pairs = zip(split[x[0]][x[1] :], split[y[0]][y[1] :], strict=False)
+        return next((n for n, (a, b) in enumerate(pairs) if a != b), min(len(split[x[0]]) - x[1], len(split[y[0]]) - y[1]))
+
+    gone = set()
+    for k, x in enumerate(places):
+        n = max((common(x, y) for y in places[:k]), default=0)
+        if n and sum(len(ln.split()) for ln in split[x[0]][x[1] : x[1] + n]) >= min_words:
+            gone.update((x[0], x[1] + j) for j in range(n))
+    return {d: "\n".join(ln for p, ln in enumerate(split[a]) if (a, p) not in gone) for a, (d, _, _) in enumerate(distinct)}
+
+
+def test_line_runs_of_any_earlier_place(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = line("a", 15), line("b", 15), line("c", 25)
+    texts = [(1, "\n".join([a, b, "x"])), (2, "\n".join([a, b, c, "y"])), (3, "\n".join([a, b, c, "z"]))]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: texts[1][1], 3: "z"}
+    rng = random.Random(5)
+    names = [line(x, n) for x, n in zip("abcd", (3, 5, 8, 13), strict=True)]
+    texts = [(i, "\n".join(rng.choice(names) for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for min_words in (20, 60):
+        want = longest_lines(texts, min_words)
+        assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_words).collect()} == want
+
+
 def test_leaks(spark, docs, no_docs, texts):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(3000)]

@@ -10,9 +10,12 @@ document's end does; the maximal stretches between them are the segments whose s
 2. The suffixes of one rank at level k are an interval of the suffix array whose common prefix is 2**k lines
    or more. Each level keeps the first place (document, line) of every interval. For a suffix p, let k be the
    deepest level whose interval holds an earlier place, and t the first place there.
-3. The longest common prefix of p and t, from 2**k to under 2**(k + 1) lines, is found by descending the
-   levels below k: two runs of 2**j lines are equal if their ranks are. That is the maximal repeated run
-   from p on. It counts if its lines have ``min_words`` words or more.
+3. No earlier place shares 2**(k + 1) lines with p. The greatest length that one shares is found by descending
+   the levels below k: the suffixes of an interval of m common lines, p and those like it and the interval's
+   first, fall apart by their ranks at level j behind these m lines. Where several agree, all but the
+   first of them have an earlier place with m + 2**j lines and go on in that smaller interval, the first is held
+   in both. A suffix left out shares no more with p than one that is held. That is the maximal
+   repeated run from p on, over all earlier places. It counts if its lines have ``min_words`` words or more.
 4. The lines of runs that count are deleted: each stands earlier in the corpus too, in the same company. The
    first copy stays.
 
@@ -68,7 +71,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     segment = Window.partitionBy("d", "h", "s")
     upto = F.sum("w").over(segment.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     active = active.withColumn("left", F.count(F.lit(1)).over(segment) - (F.col("p") - F.min("p").over(segment))).withColumn("upto", upto.cast("long"))
-    base = written(active.select("d", "h", "p", "s", "left", "w", "upto", "rank", "first"), "active")
+    active = active.withColumn("words_left", F.sum("w").over(segment) - F.col("upto") + F.col("w"))
+    base = written(active.select("d", "h", "p", "s", "left", "w", "upto", "words_left", "rank", "first"), "active")
     now, classes, length, levels = base, base.select("rank").distinct().count(), 1, [base]
     while classes:
         w = Window.partitionBy("d", "h", "s").orderBy("p")
@@ -85,22 +89,34 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     # for each suffix the deepest interval with an earlier place, and its first place
     later = [x.filter(_place() > F.col("first")).select("d", "h", "p", "left", F.lit(k).alias("k"), "first") for k, x in enumerate(levels)]
     deepest = reduce(DataFrame.union, later).groupBy("d", "h", "p").agg(F.max("left").alias("left"), F.max(F.struct("k", "first")).alias("x"))
-    whole = F.col("k") == len(levels) - 1  # ranks there are those of whole suffixes
-    met = deepest.select("d", "h", "p", "left", "x.k", F.col("x.first.d").alias("t_d"), F.col("x.first.h").alias("t_h"), F.col("x.first.p").alias("t_p"))
-    met = written(met.withColumn("m", F.when(whole, F.col("left")).otherwise(F.expr("shiftleft(1L, k)"))), "met")
-    for j in range(len(levels) - 2, -1, -1):
-        done, open_ = met.filter((F.col("k") <= j) | whole), met.filter((F.col("k") > j) & ~whole)
-        for x, d, h, p in (("a", "d", "h", "p"), ("b", "t_d", "t_h", "t_p")):
-            own = levels[j].select(F.col("d").alias("x_d"), F.col("h").alias("x_h"), F.col("p").alias("x_p"), F.col("rank").alias(x))
-            on = (F.col(d) == F.col("x_d")) & (F.col(h) == F.col("x_h")) & (F.col(p) + F.col("m") == F.col("x_p"))
-            open_ = open_.join(own, on, "left").drop("x_d", "x_h", "x_p")
-        longer = open_.withColumn("m", F.col("m") + F.when(F.col("a") == F.col("b"), 2**j).otherwise(0)).drop("a", "b")
-        met = written(done.unionByName(longer), "met")
+    # a run of too few words to its segment's end counts neither here nor for a suffix that shares it
+    start = base.select("d", "h", "p", (F.col("upto") - F.col("w")).alias("words_before"), "words_left").filter(F.col("words_left") >= min_words)
+    met = deepest.join(start.drop("words_left"), ["d", "h", "p"]).select("d", "h", "p", "left", "x.k", F.struct(*[F.col(f"x.first.{c}").alias(c) for c in "dhp"]).alias("t"), "words_before")
+    last = len(levels) - 1  # ranks there are those of whole suffixes
+    met = written(met.withColumn("m", F.when(F.col("k") == last, F.col("left").cast("long")).otherwise(F.expr("shiftleft(1L, k)"))), "met")
+    cols = ["d", "h", "p", "words_before", "t", "m"]
+    runs = [met.filter((F.col("k") == last) | (F.col("k") == 0)).select(*cols)]
+    state = None
+    for j in range(last - 2, -1, -1):
+        own = met.filter(F.col("k") == j + 1).select(*cols)
+        firsts = own.select("t", "m").distinct().select("t.d", "t.h", "t.p", F.lit(None).cast("long").alias("words_before"), "t", "m")
+        state = reduce(DataFrame.union, [own, firsts] if state is None else [state, own, firsts])
+        ranks = levels[j].select(F.col("d").alias("x_d"), F.col("h").alias("x_h"), F.col("p").alias("x_p"), F.col("rank").alias("r"))
+        on = (F.col("d") == F.col("x_d")) & (F.col("h") == F.col("x_h")) & (F.col("p") + F.col("m") == F.col("x_p"))
+        asked = written(state.join(ranks, on, "left").drop("x_d", "x_h", "x_p"), "asked")
+        groups = asked.filter("r is not null").groupBy("t", "m", "r").agg(F.min(_place()).alias("f"), F.max(_place()).alias("l")).filter("f < l").drop("l")
+        stays, goes = F.struct("t", "m"), F.struct(F.col("f").alias("t"), (F.col("m") + 2**j).alias("m"))
+        to = F.when(F.col("f").isNull(), F.array(stays)).when(_place() > F.col("f"), F.array(goes)).otherwise(F.array(stays, goes))
+        moved = asked.filter("r is not null").join(groups, ["t", "m", "r"], "left").select("d", "h", "p", "words_before", F.explode(to).alias("x"))
+        state = asked.filter("r is null").select(*cols).union(moved.select("d", "h", "p", "words_before", "x.t", "x.m"))
+        state = written(state, "state")
+    if state is not None:
+        runs.append(state.filter(_place() > F.col("t")))
+    met = reduce(DataFrame.union, runs)
 
     # words of the run [p, p + m): running sums at its ends
-    start = base.select("d", "h", "p", (F.col("upto") - F.col("w")).alias("words_before"))
     end = base.select("d", "h", F.col("p").alias("q"), "upto")
-    runs = met.select("d", "h", "p", (F.col("p") + F.col("m")).alias("stop")).join(start, ["d", "h", "p"]).withColumn("q", F.col("stop") - 1).join(end, ["d", "h", "q"])
+    runs = met.select("d", "h", "p", "words_before", (F.col("p") + F.col("m")).alias("stop")).withColumn("q", F.col("stop") - 1).join(end, ["d", "h", "q"])
     marks = runs.filter(F.col("upto") - F.col("words_before") >= min_words).select("d", "h", "p", "stop")
     # a line goes if a run that began at or before it ends behind it
     reach = F.max("stop").over(Window.partitionBy("d", "h").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
