@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from varisel.llm import components, decontamination, line_dedup, simhash
 
@@ -212,6 +213,16 @@ def test_leaks(spark, docs, no_docs, texts):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def test_leaks_in_texts_that_end_in_blanks(spark):
+    passage = " ".join(f"w{i}" for i in range(10))
+    items = [(1, passage + "\n"), (2, "q1 q2 q3\t"), (3, "\r\x0bs1 s2 s3 s4 s5 s6\x0c\n")]
+    own = [(1, f"some words {passage} and more"), (2, "x q1 q2 q3 y"), (3, "s1 s2 s3 s4 s5 s6\n"), (4, passage + " \t"), (5, "q1 q2\n")]
+    found = decontamination.leaks(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 1, 1.0)]
+    words = [r.w for r in spark.createDataFrame([("\n\ta b\r\n",), ("\x0b",), (None,)], "t string").select(decontamination.plain_words(F.col("t")).alias("w")).collect()]
+    assert words == [["a", "b"], [], []]
+
+
 def test_simhash_votes(spark):
     h = [xxhash.xxh64_intdigest(str(i).encode(), 1) for i in range(13)]
     df = spark.createDataFrame([(int(np.uint64(x).astype("<i8")),) for x in h], "shingle long")

@@ -38,8 +38,8 @@ LANES = 32
 
 
 def plain_words(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{BLANKS}", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(F.rtrim(trimmed), BLANKS))
+    trimmed = F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
 
 
 def shingles(words: Column, k: Column) -> Column:
