@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +52,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(task: Callable) -> Callable:
+    """``task`` for mapInArrow, giving memory back at its end: a Python worker serves many tasks, and what its
+    allocators keep would add up over the stages of an application."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+                if trim:
+                    trim(0)
+
+    return run
+
+
+def parts_of(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, size + (upto[at - 1] if at else 0), "right")))
+        yield at, to
+        at = to
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores appended until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

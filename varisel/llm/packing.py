@@ -3,8 +3,9 @@
 Documents are encoded and cut at the longest window; whole windows are sequences of their own. What is left
 of each document is routed to the tier of the smallest window that holds it. From the longest tier down, a
 piece opens a sequence of its tier's window; the gap behind it takes the largest pieces of shorter tiers
-that fit, and at last the front of one that does not. So a sequence is full, and only what a task has left
-at its end is padded, less than one longest window. Sequences of a tier are dealt to step groups back and
+that fit, and at last the front of one that does not. So a sequence is full. What a task has left at its end
+goes into windows of ever shorter tiers and, under the shortest, into sequences of ever smaller powers of two, so
+nothing is padded. Sequences of a tier are dealt to step groups back and
 forth by their attention cost (the sum of squared piece lengths), so that groups cost about the same.
 
 No shuffle: each task packs what it reads, in blocks of bounded size, and passes the open rest on.
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -84,11 +86,11 @@ class BlockPacker:
         return full
 
     def rest(self) -> list[tuple[int, list[tuple]]]:
-        """The open pieces in windows of ever shorter tiers; under the shortest, one padded sequence."""
+        """The open pieces in windows of ever shorter tiers, then in sequences of smaller powers of two."""
         out: list[tuple[int, list[tuple]]] = []
         left, self.open = self.open, []
         while (n := sum(p[0] for p in left)) > 0:
-            want = max((t for t in self.tiers if t <= n), default=n)
+            want = max((t for t in self.tiers if t <= n), default=1 << (n.bit_length() - 1))
             seq: list[tuple] = []
             got = 0
             while got < want:
@@ -98,12 +100,12 @@ class BlockPacker:
                     left.insert(0, rest)
                 seq.append(p)
                 got += p[0]
-            out.append((want if want in self.tiers else self.top, seq))
+            out.append((want, seq))
         return out
 
     def rows(self, full: list[tuple[int, list[tuple]]]) -> Iterator[tuple]:
         cost = lambda s: sum(p[0] ** 2 for p in s[1])
-        for tier in self.tiers:
+        for tier in sorted({s[0] for s in full}):
             own = sorted((s for s in full if s[0] == tier), key=cost, reverse=True)
             groups = -(-len(own) // self.group_size)
             for n, (_, seq) in enumerate(own):
@@ -117,8 +119,9 @@ class BlockPacker:
             self.next_group += groups
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, group_size: int = 64, block_ids: int = 1 << 21) -> DataFrame:
-    """One row for each piece (SCHEMA): ids as little-endian unsigned 32-bit, sequence and step group."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, group_size: int = 64, block_ids: int = 1 << 19) -> DataFrame:
+    """One row for each piece (SCHEMA): ids as little-endian unsigned 32-bit, sequence and step group; tier is the
+    sequence's window."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, SCHEMA.split(", "), strict=True)])
 
@@ -133,15 +136,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
 
         for batch in batches:
-            ids, counts = encoder(tokenizer, end_id).encode(batch.column("text"))
-            at = 0
-            for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
-                block.append(packer.piece(doc_id, 0, n, ids[at : at + n]))
-                at += n
-                size += n
-                if size >= block_ids:
-                    yield from out(packer.pack(block))
-                    block, size = [], 0
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, ids, counts in encoder(tokenizer, end_id).parts(batch.column("text")):
+                at = 0
+                for doc_id, n in zip(doc_ids[first : first + len(counts)], counts.tolist(), strict=True):
+                    block.append(packer.piece(doc_id, 0, n, ids[at : at + n]))
+                    at += n
+                    size += n
+                    if size >= block_ids:
+                        yield from out(packer.pack(block))
+                        block, size = [], 0
         yield from out(packer.pack(block, last=True))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(task), SCHEMA)

@@ -27,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, parts_of
+
 DIMENSIONS = 1 << 18
 #: Training rows from which the penalty is as given.
 ENOUGH_ROWS = 2_500
 #: Rows that a step of the fit takes at once, so that the driver holds the features (4 bytes each) and little more.
 FIT_ROWS = 1_000
 #: Forms that a task remembers, about 300 bytes each; affects speed only.
-CACHE = 200_000
+CACHE = 50_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCORES = ("expected_grade", "p_top")
 
@@ -85,16 +87,6 @@ def text_features(texts: pa.Array, cache: dict[str, tuple[int, int, int, bool]]
     return pairs // DIMENSIONS, pairs % DIMENSIONS
 
 
-def parts_of(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(upto, size + (upto[at - 1] if at else 0), "right")))
-        yield at, to
-        at = to
-
-
 @dataclass
 class CumulativeLink:
     weights: np.ndarray
@@ -178,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Cumulat
 
     met = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     one = met.groupBy("label_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
-    got = one.select("label_id", "x.text", "grade").mapInArrow(task, "label_id long, grade int, features binary").toArrow()
+    got = one.select("label_id", "x.text", "grade").mapInArrow(lean(task), "label_id long, grade int, features binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("label_id")
@@ -206,7 +198,7 @@ def score(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(p[:, -1])], names=[*names, *SCORES])
 
     schema = kept.withColumns({c: F.lit(0.0) for c in SCORES}).schema
-    return kept.mapInArrow(task, schema)
+    return kept.mapInArrow(lean(task), schema)
 
 
 def select(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 20_000) -> DataFrame:

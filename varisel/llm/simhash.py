@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     cols = cols.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    return cols.mapInArrow(task, "doc_id long, text_hash long, fp long")
+    return cols.mapInArrow(lean(task), "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:

@@ -3,7 +3,9 @@
 A segment holds the ids of whole documents in one row of a Parquet table: the ids are split into chunks of
 ``bits`` bits, lowest first; level k holds the k-th chunk of every id that has one, a bitmap says which of
 them go on, and a rank directory counts the set bits before each block of 512. So id i is read by one look
-into each level, without decoding a block, and the whole codes cost no more than the chunks that ids need.
+into each level, without decoding a block, and the whole codes cost no more than the chunks that ids need. The
+files are neither compressed nor dictionary-encoded and a segment has its own pages, so ``token_at`` reads one
+segment's codes as they lie.
 
 Segments lie in ascending doc_id order, also across files: rows are range-partitioned and sorted by doc_id
 (null last, equal doc_ids by their text's hash), each task writes segments of bounded size, and ``first``
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lean
 from .tokens import encoder
 
 RANK_BITS = 512
@@ -125,17 +128,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         size = 0
         for batch in batches:
-            ids, lengths = encoder(tokenizer, end_id).encode(batch.column("text"))
-            at = 0
-            for doc_id, k in zip(batch.column("doc_id").to_pylist(), lengths.tolist(), strict=True):
-                if held and size + k > segment_ids:
-                    yield segment()
-                    size = 0
-                held.append(ids[at : at + k])
-                names.append(doc_id)
-                counts.append(k)
-                at += k
-                size += k
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, ids, lengths in encoder(tokenizer, end_id).parts(batch.column("text")):
+                at = 0
+                for doc_id, k in zip(doc_ids[first : first + len(lengths)], lengths.tolist(), strict=True):
+                    if held and size + k > segment_ids:
+                        yield segment()
+                        size = 0
+                    held.append(ids[at : at + k])
+                    names.append(doc_id)
+                    counts.append(k)
+                    at += k
+                    size += k
         if held:
             yield segment()
 
@@ -143,20 +147,38 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cols.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(task, SEGMENT).write.option("compression", "zstd").parquet(path)
+    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1"}
+    ranged.mapInArrow(lean(task), SEGMENT).write.options(**plain).parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The segments, with ``first``: ids of all segments before. The window runs over sums by part."""
-    segments = spark.read.schema(SEGMENT).parquet(path)
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
+    """_part, _segment, n_ids and ``first``, the ids of all segments before. Codes are not read; the window without
+    a partition runs over one row for each part."""
+    segments = spark.read.schema(SEGMENT).parquet(path).select("part", "segment", "n_ids")
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     before = parts.select(F.col("part").alias("_part"), (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_before"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")
-    starts = segments.select("part", "segment", inside.alias("_inside")).join(before, F.col("part") == F.col("_part")).select(F.col("part").alias("_part"), F.col("segment").alias("_segment"), (F.col("_before") + F.col("_inside")).alias("first"))
+    starts = segments.select("part", "segment", "n_ids", inside.alias("_inside")).join(before, F.col("part") == F.col("_part"))
+    return starts.select("_part", F.col("segment").alias("_segment"), "n_ids", (F.col("_before") + F.col("_inside")).alias("first"))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The segments, with ``first``: ids of all segments before."""
+    starts = segment_starts(spark, path).drop("n_ids")
     small = starts.count() <= BROADCAST_SEGMENTS
+    segments = spark.read.schema(SEGMENT).parquet(path)
     return segments.join(F.broadcast(starts) if small else starts, (F.col("part") == F.col("_part")) & (F.col("segment") == F.col("_segment"))).drop("_part", "_segment")
 
 
+def token_at(spark: SparkSession, path: str, place: int, bits: int = 8) -> int:
+    """The id at ``place`` of all ids in the files of ``path``; of the codes one segment is read."""
+    at = segment_starts(spark, path).filter((F.col("first") <= place) & (F.col("first") + F.col("n_ids") > place)).first()
+    if at is None:
+        raise IndexError(place)
+    own = spark.read.schema(SEGMENT).parquet(path).filter((F.col("part") == at["_part"]) & (F.col("segment") == at["_segment"]))
+    return dac_access(list(map(bytes, own.select("codes").first().codes)), place - at["first"], bits)
+
+
 def document_digests(segments: DataFrame, bits: int = 8) -> DataFrame:
     """Per document, from the codes: start, n_tokens and the crc32 of its ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -172,4 +194,4 @@ def document_digests(segments: DataFrame, bits: int = 8) -> DataFrame:
                     at += k
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
 
-    return segments.select("first", "doc_ids", "doc_counts", "codes").mapInArrow(task, schema)
+    return segments.select("first", "doc_ids", "doc_counts", "codes").mapInArrow(lean(task), schema)

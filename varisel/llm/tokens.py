@@ -3,19 +3,25 @@
 A tokenizer that drops white space encodes a text as the concatenation of what it makes of the text's
 blank-separated chunks. Where a probe confirms that, each Arrow batch is cut into chunks, equal chunks are
 encoded once, and each worker keeps the ids of the stems that it has met; other tokenizers encode whole
-texts. The cache is bounded and affects speed only."""
+texts. Chunks go to the library as they are: it composes marks before it lower-cases. The cache is bounded in
+bytes and affects speed only."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import parts_of
+
 PROBE = "Ab, c\n\n  d-e 'f it's x9 \t ...g É"
 #: ASCII punctuation behind an ASCII letter always begins a new piece there (an apostrophe may not).
-TAIL = r"([a-z])([.,;:!?|*$%&#])"
+TAIL = r"([A-Za-z])([.,;:!?|*$%&#])"
+#: Bytes of a cache entry beside its characters and ids.
+ENTRY = 200
 _loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -27,13 +33,14 @@ def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, end_id: int, entries: int = 300_000, longest: int = 48, part: int = 2 << 20):
+    def __init__(self, path: str, end_id: int, cache_bytes: int = 24 << 20, longest: int = 48, part: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.end, self.entries, self.longest, self.part, self.cache = end_id, entries, longest, part, {}
-        parts = [i for x in PROBE.split() for i in self.library.encode(x.lower(), add_special_tokens=False).ids]
+        self.end, self.cache_bytes, self.longest, self.part = end_id, cache_bytes, longest, part
+        self.cache, self.held = {}, 0
+        parts = [i for x in PROBE.split() for i in self.library.encode(x, add_special_tokens=False).ids]
         self.by_chunk = self.library.encode(PROBE, add_special_tokens=False).ids == parts
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -61,24 +68,24 @@ class ChunkEncoder:
         if None in out:
             new = self.stems([s for s, x in zip(distinct, out, strict=True) if x is None])
             out = [new[s] if x is None else x for s, x in zip(distinct, out, strict=True)]
-            if len(cache) + len(new) > self.entries:
+            kept = {k: v for k, v in new.items() if len(k) <= self.longest}
+            size = sum(len(k) + len(v) for k, v in kept.items()) + ENTRY * len(kept)
+            if self.held + size > self.cache_bytes:
                 cache.clear()
-            cache.update((k, v) for k, v in new.items() if len(k) <= self.longest)
+                self.held = 0
+            if size <= self.cache_bytes:
+                cache.update(kept)
+                self.held += size
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has with its end id; null is the empty text."""
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts of bounded size: the first text's place, all ids in order, and how many each text
+        has with its end id; null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes, at, ids, counts = pc.binary_length(texts).to_numpy(), 0, [], []
-        while at < len(texts):  # parts of bounded size, one text at least
-            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), self.part, "right")))
+        for at, to in parts_of(texts, self.part):
             part = pa.array(texts.slice(at, to - at).to_pylist(), pa.large_string())  # its own buffers, from offset 0
             special = self.by_chunk and pc.any(pc.match_substring(part, "<|")).as_py()
-            x, n = self.whole(part) if special or not self.by_chunk else self.cut(part)
-            ids.append(x)
-            counts.append(n)
-            at = to
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, "<u4"), np.zeros(0, "i8"))
+            yield at, *(self.whole(part) if special or not self.by_chunk else self.cut(part))
 
     def whole(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Also texts with a special token's own spelling: the library sees them as they are."""
@@ -86,7 +93,7 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], "i8")
 
     def cut(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        apart = pc.replace_substring_regex(pc.ascii_lower(part), TAIL, r"\1 \2")
+        apart = pc.replace_substring_regex(part, TAIL, r"\1 \2")
         lists = pc.ascii_split_whitespace(apart)
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
