@@ -143,25 +143,90 @@ def test_held_out_texts_are_likelier(spark):
     assert (held.score > held.base_score).all()
 
 
-def test_model_is_a_distribution():
-    """With the filter's quantised counts, probabilities of all words behind a history sum to at most one."""
-    counts = np.array([1, 2, 3, 7, 100, 12345])
-    level = lm_scoring.levels_of(counts)
-    assert (np.abs(np.log(lm_scoring.middle(level) / counts)) <= math.log(lm_scoring.BASE)).all()
-
-
-def test_filter_levels():
-    rng = np.random.default_rng(5)
-    keys = np.unique(lm_scoring.mixed(rng.integers(0, 2**62, 4000).astype("<u8")))
-    counts = rng.geometric(0.2, len(keys))
-    order = np.argsort(lm_scoring.block_of(keys, 1))
-    bits = lm_scoring.fill(keys[order], counts[order])
-    lookup = lm_scoring.Filter(bits, 1)
-    true = lm_scoring.levels_of(counts)
-    got = lookup.levels(keys)
-    assert (got >= true).all() and (got == true).mean() > 0.99  # a filter never loses a count
-    others = lm_scoring.mixed(rng.integers(2**62, 2**63, 4000).astype("<u8"))
-    assert (lookup.levels(others) > 0).mean() < 0.02
+def filter_of(texts):
+    """The filter of some texts by the operator's own steps, at production density, and what scoring needs."""
+    import collections
+
+    hashes, per = lm_scoring.tokens(pa.array(texts))
+    word, history, pair = lm_scoring.grams(hashes, per)
+    keys, counts = np.unique(np.concatenate([word, pair]), return_counts=True)
+    level, is_word = lm_scoring.levels_of(keys, counts), keys & np.uint64(1) == 0
+    sums = collections.Counter()
+    on = ~is_word & (counts > 1)
+    for h, g in zip((keys[on] >> np.uint64(32)).tolist(), lm_scoring.middle(level[on]), strict=True):
+        sums[h] += g
+    codes = {h: int(lm_scoring.code_of(np.array([g]))[0]) for h, g in sums.items()}
+    probes = lm_scoring.probes_for(int((counts[is_word] > 1).sum()))
+    entries = level.sum() + sum(c.bit_count() for c in codes.values())
+    blocks = max(1, -(-int(entries * probes / math.log(2)) // lm_scoring.BLOCK_BITS))
+    names = np.array(sorted(codes), "<u8")
+    bits = lm_scoring.Bits(np.concatenate([keys, lm_scoring.code_key(names)]), 0, blocks, blocks, probes)
+    for j in range(1, level.max() + 1):
+        bits.fill(np.flatnonzero(level >= j), j)
+    for d in range(lm_scoring.DIGITS):
+        bits.fill(len(keys) + np.flatnonzero([codes[h] >> d & 1 for h in names.tolist()]), d)
+    lookup = lm_scoring.Filter(bits.blocks().ravel(), 0, blocks, probes, int(level.max()))
+    norm = lm_scoring.middle_word(level[is_word]).sum() + is_word.sum() + 1
+    return lookup, keys, counts, names, codes, norm, bits.bits.mean()
+
+
+@pytest.fixture(scope="module")
+def filled():
+    rng = np.random.default_rng(9)
+    # 60,000 words, most of them rare, and runs that repeat
+    text = lambda n: " ".join(f"w{x}" for x in (60_000 * rng.random(n) ** 4).astype(int))
+    return filter_of([text(2000) for _ in range(500)])
+
+
+def test_filter_levels(filled):
+    lookup, keys, counts, names, codes, _, density = filled
+    assert 0.3 < density < 0.55  # as dense as filters of any size are, up to whole blocks
+    true, got = lm_scoring.levels_of(keys, counts), lookup.levels(keys)
+    assert (got >= true).all() and (got == true).mean() > 0.999  # a filter never loses a count
+    others = lm_scoring.mixed(np.random.default_rng(1).integers(0, 2**62, 200_000).astype("<u8"))
+    assert (lookup.levels(others) > 0).mean() < 0.0001
+    assert np.array_equal(lookup.codes(names), [codes[h] for h in names.tolist()])
+    data = lookup.data
+    half = len(data) // 2 // (lm_scoring.BLOCK_BITS // 8) * (lm_scoring.BLOCK_BITS // 8)
+    first = lm_scoring.BLOCK_BITS // 8
+    slices = [lm_scoring.Filter(data[a:b], a // first, lookup.total, lookup.probes, lookup.top) for a, b in ((0, half), (half, len(data)))]
+    assert np.array_equal(sum(s.levels(keys) for s in slices), got) and np.array_equal(sum(s.codes(names) for s in slices), lookup.codes(names))
+
+
+def test_levels_hold_counts():
+    c = np.arange(1, 5000)
+    pair, word = lm_scoring.levels_of(np.full(len(c), 1, "<u8"), c), lm_scoring.levels_of(np.full(len(c), 2, "<u8"), c)
+    assert np.array_equal(pair, np.floor(np.log2(c))) and np.array_equal(word, pair + 1)
+    assert (np.abs(np.log2(lm_scoring.middle(pair[1:]) / c[1:])) < 1).all() and (lm_scoring.middle(pair)[:1] == 0).all()
+    assert np.array_equal(lm_scoring.middle_word(word)[1:], lm_scoring.middle(pair)[1:]) and lm_scoring.middle_word(word)[0] == 1
+
+
+def test_model_is_a_distribution(filled):
+    """The probabilities of all words of the vocabulary, and of an unknown one, sum to 1 behind any history."""
+    lookup, keys, _, _, _, norm, _ = filled
+    words = keys[keys & np.uint64(1) == 0]
+    hashes, per = lm_scoring.tokens(pa.array([" ".join(f"w{i}" for i in range(60_000)) + " " + " ".join(f"w{i % 997}" for i in range(1000))]))
+    of = {int(k): h for k, h in zip(lm_scoring.mixed(hashes) & ~np.uint64(1), hashes, strict=True)}
+    vocabulary = np.array([of[int(w)] for w in words], "<u8")
+    level = lookup.levels(words)
+    sums, rng = [], np.random.default_rng(3)
+    for before in [*hashes[:40], *rng.choice(hashes, 100), lm_scoring.START, np.uint64(12345)]:
+        two = np.stack([np.full(len(words), before), vocabulary], 1).ravel()
+        _, history, pair = lm_scoring.grams(two, np.full(len(words), 2))
+        code = lookup.codes(history[1:2])[0]
+        for prior in (lm_scoring.PRIORS[0], lm_scoring.PRIORS[3]):
+            p = 10 ** lm_scoring.log_scores(level, lookup.levels(pair[1::2]), np.full(len(words), code), norm, prior)
+            unknown = 10 ** lm_scoring.log_scores(np.zeros(1, "i8"), np.zeros(1, "i8"), np.array([code]), norm, prior)
+            sums.append(p.sum() + unknown[0])
+    sums = np.array(sums)
+    assert (np.abs(sums - 1) < 0.01).mean() > 0.9 and (np.abs(sums - 1) < 0.3).all() and abs(sums.mean() - 1) < 0.01
+
+
+def test_slices_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 14)
+    whole, parts = (lm_scoring.score_texts(docs, n).toPandas() for n in (1 << 28, 1 << 19))
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6)) for r in df.itertuples())
+    assert key(whole) == key(parts)
 
 
 def test_chat(spark):
