@@ -27,11 +27,69 @@ def test_index_finds_every_pair():
     centres = rng.integers(0, 2**63, 40, dtype="u8")
     fps = np.unique(np.concatenate([centres, *[centres ^ (np.uint64(1) << rng.integers(0, 64, 40).astype("u8")) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype("u8")) for _ in range(12)]]))
     fps = fps[np.argsort(simhash.gray_rank(fps))]
-    q, m = simhash.GrayIndex(fps).within(fps, 4)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    got = np.zeros_like(near)
-    got[q, m] = True
-    assert np.array_equal(near, got)
+    differing = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    near, got = differing <= 4, np.zeros((len(fps), len(fps)), bool)
+    for most in (1 << 21, 64):
+        simhash.MOST_PAIRS = most
+        for q, m, bits in simhash.GrayIndex(fps).within(fps, simhash.allowance(4, False)):
+            got[q, m] = True
+            assert np.array_equal(bits, differing[q, m])
+        assert np.array_equal(near, got)
+    simhash.MOST_PAIRS = 1 << 21
+    # blocks: roots with masks of few bits are leaves too
+    starts = np.arange(0, len(fps), 16)
+    mask, value = simhash.agreed(np.full(len(fps), simhash.ALL), fps, starts)
+    reached = np.zeros((len(fps), len(starts)), bool)
+    for q, leaf, _ in simhash.GrayIndex(value, mask).within(fps, simhash.allowance(4, False)):
+        reached[q, leaf] = True
+    assert (np.add.reduceat(near, starts, axis=1) > 0)[~reached].sum() == 0
+
+
+def test_turns_find_most_pairs():
+    """Of pairs as far apart as texts of similarity 0.8 are, most are met in one turn or another, and few others."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 20_000, dtype="u8")
+    other = base[:2000].copy()
+    for k in range(2000):
+        for bit in rng.choice(64, 10, replace=False):
+            other[k] ^= np.uint64(1) << np.uint64(bit)
+    found, read, allowed = np.zeros(2000, bool), 0, simhash.allowance(13, True)
+    for t in (0, 16, 32, 48):
+        fps = simhash.turned(base, t)
+        order = np.argsort(simhash.gray_rank(fps))
+        tree = simhash.GrayIndex(fps[order])
+        for q, m, _ in tree.within(simhash.turned(other, t), allowed):
+            found[q[order[m] == q]] = True
+        mask, value = tree.levels[0]
+        read += sum(len(q) for q, _, _ in simhash.GrayIndex(value, mask).within(simhash.turned(other, t), allowed))
+    assert found.mean() > 0.93 and read / (4 * 2000 * len(mask)) < 0.1
+
+
+def test_spanning():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = rng.integers(2, 40)
+        a, b, bits = rng.integers(0, n, 120), rng.integers(0, n, 120), rng.integers(1, 9, 120)
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        want = 0
+        for w, x, y in sorted(zip(bits, a, b, strict=True)):
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                want += w
+        roots = [find(i) for i in range(n)]
+        chosen = simhash.spanning(a, b, bits)
+        assert bits[chosen].sum() == want
+        root = list(range(n))
+        for i in chosen:
+            assert find(a[i]) != find(b[i])
+            root[find(a[i])] = find(b[i])
+        assert len({(x, find(i)) for i, x in enumerate(roots)}) == len(set(roots))
 
 
 def test_near_duplicates(docs, no_docs, texts):
@@ -63,8 +121,39 @@ def test_near_duplicates(docs, no_docs, texts):
     assert sorted(got) == want
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.first_of_each(docs).select("doc_id", "text", "fp").collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) == len({v for v in least.values() if v is not None}) and sum(r.doc_id is None for r in kept) == 2
+    # 24, 25 and 27 are copies of 0, 0 and 26; 31 and 32 are blank as 30 is; of the rows with id 5 one repeats another
+    want = {(i, t) for i, t in texts if i is not None and i not in (24, 25, 27, 31, 32)}
+    assert sorted(((r.doc_id, r.text or "") for r in kept if r.doc_id is not None)) == sorted((i, t or "") for i, t in want)
+    assert sum(r.doc_id is None for r in kept) == 2 and simhash.first_of_each(no_docs).count() == 0
+
+
+def test_first_of_each_of_similar_texts(spark):
+    """Copies with a similarity of 0.8 to 0.98 go, texts of 0.7 and less stay, and no text goes for its id."""
+    rng = random.Random(17)
+    draw = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
+    sim = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, copies, others = [], {}, []
+    for k in range(300):
+        words = draw(rng.randint(80, 400))
+        rows.append((k, " ".join(words)))
+        new = list(words)
+        goal = rng.choice([0.6, 0.7, 0.81, 0.85, 0.9, 0.95])
+        while sim(grams(new), grams(words)) > goal + 0.03:
+            new[rng.randrange(len(new))] = "edited"
+        s = sim(grams(new), grams(words))
+        rows.append((1000 + k, " ".join(new)))
+        if s >= 0.8:
+            copies[1000 + k] = s
+        else:
+            others.append(1000 + k)
+    rows += [(5, " ".join(draw(100))), (1001, rows[2][1]), (None, rows[0][1])]
+    left = [(r.doc_id, r.text) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    ids = {i for i, _ in left}
+    assert set(others) <= ids and set(range(300)) <= ids and (5, rows[600][1]) in left and (5, rows[10][1]) in left and (None, rows[0][1]) in left
+    assert (1001, rows[2][1]) not in left
+    gone = [s for i, s in copies.items() if i not in ids]
+    assert len(gone) >= 0.93 * len(copies) and sum(s >= 0.85 for s in gone) >= 0.97 * sum(s >= 0.85 for s in copies.values())
 
 
 def test_components(spark):

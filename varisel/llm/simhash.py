@@ -2,19 +2,29 @@
 
 Distinct fingerprints are sorted by Gray rank, so neighbours differ in few bits, and cut into blocks. In a
 block, runs of eight share an upper node: a mask of the bits on which all of them agree, with their values.
-Eight nodes share a node above, and so on; each block's own mask and values are its root. A fingerprint
-descends from the roots: the differences within a node's mask are a lower bound for all below it, and a
-node whose bound exceeds the radius is pruned as a whole.
+Eight nodes share a node above, and so on; each block's own mask and values are its root, and the roots have
+nodes above them in the same way. A fingerprint descends: the differences within a node's mask are a lower bound
+for all below it, and a node whose bound exceeds the radius is pruned as a whole.
 
 Distribution: the roots (at most MOST_ROOTS, 24 bytes each) are sent to every task; a task sends a batch of
 fingerprints to each block whose root survives, not after its own in Gray order, so each pair is met once.
 Batches and blocks meet in a join by block, one row for each batch and block, so no task gathers a group.
-A met pair of a batch and a block yields a spanning set of its links, not all pairs: a forest joins what
-the links join. Components of the forest's union are those of all links.
+A met pair of a batch and a block yields the lightest spanning forest of its links (by differing bits), not all
+pairs: the forest joins what the links join, at every smaller radius too.
+
+``near_duplicates`` is exact: all fingerprints within ``radius`` are linked. ``first_of_each`` asks for texts of
+a similarity, which a small radius does not hold: at a similarity of 0.8 of shingle sets fingerprints differ in about
+10 bits of 64, with a deviation of 3. There the index is built over several turns of the fingerprints, so that other bits come
+first, and within a node only a share of the radius that goes with the bits of its mask is allowed. A pair that
+differs evenly survives in one turn or another; how many do is measured in the tests and the README. A link holds if
+the shingle sets of the two texts have the ``similarity``. Links of up to ``radius`` bits make tight groups; of
+each its lightest spanning forest is verified, and of the wider links, up to ``reach`` bits, between the same two
+groups the one of fewest bits. So the number of verified links goes with the number of fingerprints, not of pairs.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; equal texts and
 repeated rows share a fingerprint; component_id is the smallest doc_id that is not null, null if there is
-none; empty tables give no rows; other columns are not read."""
+none; rows that share a doc_id and not the text are documents of their own; empty tables give no rows; other columns
+are not read."""
 
 from __future__ import annotations
 
@@ -22,31 +32,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, free_names, written
+from .common import ASCII_LOWER, free_names, lean, written
 from .components import components
 
 #: Blocks: at least so many, so that tasks are even; more where a block would exceed BLOCK fingerprints.
 LEAST_BLOCKS, BLOCK, FANOUT = 64, 1 << 16, 8
 #: Beyond so many blocks the blocks grow, so the roots that every task holds have a bounded size.
 MOST_ROOTS = 1 << 20
+#: Pairs of a fingerprint and a node that a task holds at once; more are followed one part after another.
+MOST_PAIRS = 1 << 21
+#: Turns of the fingerprints in a search that allows a share of the radius.
+TURNS = 4
+LAST = 2**63 - 1
+ALL = np.uint64(2**64 - 1)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words, repeats included; of fewer words the whole sequence; none without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or b"").translate(ASCII_LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), "i8", len(tokens)) + 1)
     starts = ends - np.diff(ends, prepend=0)
     width = min(width, len(tokens))
     a, b = starts[: len(tokens) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist()
-    hashes = np.fromiter([xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], "<u8", len(a))
+    return np.fromiter([xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], "<u8", len(a))
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, width)
     votes = np.zeros(64, "i8")
     for i in range(0, len(hashes), 1 << 14):
         votes += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
@@ -75,139 +97,276 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return x
 
 
-def agreed(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs that begin at ``starts``: the mask of bits on which all agree, and their values."""
-    low, high = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts)
-    mask = ~(low ^ high)
-    return mask, low & mask
+def agreed(mask: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of nodes that begin at ``starts``: the mask of bits on which all agree, and their values."""
+    low, high = np.bitwise_and.reduceat(value, starts), np.bitwise_or.reduceat(value, starts)
+    out = np.bitwise_and.reduceat(mask, starts) & ~(low ^ high)
+    return out, low & out
+
+
+def turned(fps: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprints turned left by so many bits."""
+    return fps if bits % 64 == 0 else (fps << np.uint64(bits % 64)) | (fps >> np.uint64(64 - bits % 64))
+
+
+def allowance(radius: int, share: bool) -> np.ndarray:
+    """Differences allowed within a mask, by its number of bits: the radius, or its share of it."""
+    m = np.arange(65)
+    return np.minimum(radius, np.floor(m * radius / 64 + 0.75)).astype("i8") if share else np.full(65, radius)
 
 
 class GrayIndex:
-    """The upper nodes over one block of fingerprints in Gray order."""
+    """The upper nodes over leaves (mask, value) in Gray order."""
 
-    def __init__(self, fps: np.ndarray):
-        self.fps, self.levels = fps, []
-        size = FANOUT
+    def __init__(self, value: np.ndarray, mask: np.ndarray | None = None):
+        self.mask, self.value, self.levels = np.full(len(value), ALL) if mask is None else mask, value, []
+        mask = self.mask
         while not self.levels or len(self.levels[-1][0]) > 1:  # up to one root
-            self.levels.append(agreed(fps, np.arange(0, len(fps), size)))
-            size *= FANOUT
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of queries and of members that differ in at most ``radius`` bits."""
-        q, node = np.arange(len(queries)), np.zeros(len(queries), "i8")
-        for k in range(len(self.levels) - 1, -1, -1):
-            mask, value = self.levels[k]
-            on = np.bitwise_count((queries[q] ^ value[node]) & mask[node]) <= radius
-            q, node = q[on], node[on]
-            below = len(self.levels[k - 1][0]) if k else len(self.fps)
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            q = np.repeat(q, FANOUT)
-            on = child < below
-            q, node = q[on], child[on]
-        on = np.bitwise_count(queries[q] ^ self.fps[node]) <= radius
-        return q[on], node[on]
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node) that join what the links (a, b) join."""
+            mask, value = agreed(mask, value, np.arange(0, len(value), FANOUT))
+            self.levels.append((mask, value))
+
+    def within(self, queries: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of queries and of leaves that survive, and the bits in which they differ, part by part."""
+        todo = [(len(self.levels) - 1, np.arange(len(queries)), np.zeros(len(queries), "i8"))] if len(self.value) else []
+        while todo:
+            k, q, node = todo.pop()
+            mask, value = (self.mask, self.value) if k < 0 else self.levels[k]
+            bits = np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+            on = bits <= allowed[np.bitwise_count(mask[node])]
+            q, node, bits = q[on], node[on], bits[on]
+            if k < 0:
+                yield q, node, bits
+                continue
+            below = len(self.levels[k - 1][0]) if k else len(self.value)
+            for at in range(0, len(q), MOST_PAIRS // FANOUT):
+                own = slice(at, at + MOST_PAIRS // FANOUT)
+                child = (node[own, None] * FANOUT + np.arange(FANOUT)).ravel()
+                on = child < below
+                todo.append((k - 1, np.repeat(q[own], FANOUT)[on], child[on]))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b) that are the lightest spanning forest by ``bits``; ties fall at random, so no
+    node draws all of them."""
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = both[: len(a)], both[len(a) :]
-    root = np.arange(len(nodes))
+    weight = np.empty(len(a), "i8")
+    weight[np.lexsort((np.random.default_rng(0).permutation(len(a)), bits))] = np.arange(len(a))
+    left, root, chosen = np.arange(len(a)), np.arange(len(nodes)), []
+    place = np.argsort(weight)
     while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
-    on = root != np.arange(len(nodes))
-    return nodes[on], nodes[root[on]]
-
-
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """``fps`` (fp, distinct) -> (a, b): links that join all fingerprints within ``radius`` of each other."""
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            return np.concatenate([np.zeros(0, "i8"), *chosen])
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, root[x[left]], weight[left])
+        np.minimum.at(best, root[y[left]], weight[left])
+        new = place[np.unique(best[best < len(a)])]
+        chosen.append(new)
+        while True:  # nodes that the new links join get the smallest root
+            low = np.minimum(root[x[new]], root[y[new]])
+            to = root.copy()
+            np.minimum.at(to, root[x[new]], low)
+            np.minimum.at(to, root[y[new]], low)
+            while not np.array_equal(to, to[to]):
+                to = to[to]
+            to = to[root]
+            if np.array_equal(to, root):
+                break
+            root = to
+
+
+def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
+    """``fps`` (fp, distinct) -> (a, b, bits): links, of at most ``radius`` bits, that join all fingerprints within the radius
+    of each other; with ``share`` most of them, in far fewer steps."""
     spark = fps.sparkSession
-    n = fps.count()
-    most = max(BLOCK, -(-2 * n // MOST_ROOTS))
+    n, turns = fps.count(), TURNS if share else 1
+    most = max(BLOCK, -(-2 * n * turns // MOST_ROOTS))
     blocks = max(LEAST_BLOCKS, -(-n // most))
+    shifts = [64 // turns * t for t in range(turns)]
+    turn = lambda t: F.col("fp") if t == 0 else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))
+    each = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), turn(t).alias("fp")) for t in shifts])).alias("x")).select("x.*")
     rank_of = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank_of = rank_of.bitwiseXOR(F.shiftrightunsigned(rank_of, shift))
     # signed order of the rank with its top bit flipped is unsigned order
-    ranked = fps.withColumn("rank", rank_of.bitwiseXOR(F.lit(-(2**63)).cast("long")))
-    in_order = ranked.repartitionByRange(blocks, "rank").sortWithinPartitions("rank")
+    ranked = each.withColumn("rank", rank_of.bitwiseXOR(F.lit(-(2**63)).cast("long")))
+    in_order = ranked.repartitionByRange(blocks * turns, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "fp")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held = np.concatenate([np.zeros(0, "<i8"), *(b.column("fp").to_numpy() for b in batches)]).view("<u8")
-        part = TaskContext.get().partitionId()
-        for k, at in enumerate(range(0, len(held), most)):
-            own = held[at : at + most]
-            mask, value = agreed(own, np.zeros(1, "i8"))
-            yield pa.RecordBatch.from_pydict({"block": [(part << 20) + k], "mask": mask.view("<i8"), "value": value.view("<i8"), "members": [own.tobytes()]})
-
-    index = written(in_order.mapInArrow(pack, "block long, mask long, value long, members binary"), "gray")
-    roots = index.select("block", "mask", "value").orderBy("block").toPandas()  # one row for each block
-    ids, mask, value = roots.block.to_numpy(), roots["mask"].to_numpy().view("<u8"), roots.value.to_numpy().view("<u8")
-    sent = spark.sparkContext.broadcast((ids, mask, value))
+        held = list(batches)
+        of = np.concatenate([np.zeros(0, "i4"), *(b.column("turn").to_numpy() for b in held)])
+        fps = np.concatenate([np.zeros(0, "<i8"), *(b.column("fp").to_numpy() for b in held)]).view("<u8")
+        part, k = TaskContext.get().partitionId(), 0
+        for t in np.unique(of):
+            same = fps[of == t]
+            for at in range(0, len(same), most):
+                own = same[at : at + most]
+                mask, value = agreed(np.full(len(own), ALL), own, np.zeros(1, "i8"))
+                yield pa.RecordBatch.from_pydict({"block": [(part << 20) + k], "turn": pa.array([t], pa.int32()), "mask": mask.view("<i8"), "value": value.view("<i8"), "members": [own.tobytes()]})
+                k += 1
+
+    index = written(in_order.mapInArrow(lean(pack), "block long, turn int, mask long, value long, members binary"), "gray")
+    roots = index.select("block", "turn", "mask", "value").orderBy("block").toPandas()  # one row for each block
+    roots = {t: (r.block.to_numpy(), r["mask"].to_numpy().view("<u8"), r.value.to_numpy().view("<u8")) for t, r in roots.groupby("turn")}
+    sent = spark.sparkContext.broadcast(roots)
+    allowed = allowance(radius, share)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mask, value = sent.value
+        trees = {t: (ids, GrayIndex(value, mask)) for t, (ids, mask, value) in sent.value.items()}
         for batch in batches:
-            block, data = batch.column("block").to_numpy(), batch.column("members")
-            for own, members in zip(block, data, strict=True):
-                fps = np.frombuffer(members.as_py(), "<u8")
-                out_block, out_fps = [], []
-                for i in np.flatnonzero(ids <= own):
-                    on = np.bitwise_count((fps ^ value[i]) & mask[i]) <= radius
-                    if on.any():
-                        out_block.append(int(ids[i]))
-                        out_fps.append(fps[on].tobytes())
-                yield pa.RecordBatch.from_pydict({"to": out_block, "asked": out_fps})
+            for own, t, members in zip(batch.column("block").to_pylist(), batch.column("turn").to_pylist(), batch.column("members"), strict=True):
+                fps, (ids, tree) = np.frombuffer(members.as_py(), "<u8"), trees[t]
+                for at in range(0, len(fps), 4096):
+                    part = fps[at : at + 4096]
+                    found = [(q[ids[leaf] <= own], leaf[ids[leaf] <= own]) for q, leaf, _ in tree.within(part, allowed)]
+                    q, leaf = (np.concatenate([f[i] for f in found]) for i in range(2)) if found else (np.zeros(0, "i8"),) * 2
+                    q, leaf = q[order := np.argsort(leaf, kind="stable")], leaf[order]
+                    to = np.unique(leaf)
+                    cuts = np.append(np.searchsorted(leaf, to), len(leaf))
+                    yield pa.RecordBatch.from_pydict({"to": pa.array(ids[to], pa.int64()), "asked": pa.array([part[q[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members, asked in zip(batch.column("members"), batch.column("asked"), strict=True):
-                tree, queries = GrayIndex(np.frombuffer(members.as_py(), "<u8")), np.frombuffer(asked.as_py(), "<u8")
-                for at in range(0, len(queries), 4096):
-                    part = queries[at : at + 4096]
-                    q, m = tree.within(part, radius)
-                    a, b = part[q], tree.fps[m]
-                    on = a != b
-                    a, b = forest(a[on].view("<i8"), b[on].view("<i8"))
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            for t, members, asked in zip(batch.column("turn").to_pylist(), batch.column("members"), batch.column("asked"), strict=True):
+                own, queries = np.frombuffer(members.as_py(), "<u8"), np.frombuffer(asked.as_py(), "<u8")
+                kept = (np.zeros(0, "<u8"), np.zeros(0, "<u8"), np.zeros(0, "u1"))
+                for q, m, bits in GrayIndex(own).within(queries, allowed):
+                    a, b = queries[q], own[m]
+                    on = bits > 0
+                    new = [np.concatenate([x, y]) for x, y in zip(kept, (a[on], b[on], bits[on]), strict=True)]
+                    tree = spanning(*new)
+                    kept = tuple(x[tree] for x in new)
+                a, b = (turned(x, 64 - t).view("<i8") for x in kept[:2])
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64()), "bits": pa.array(kept[2].astype("i4"))})
+
+    routed = index.select("block", "turn", "members").mapInArrow(lean(route), "to long, asked binary")
+    met = routed.join(index.select("block", "turn", "members"), F.col("to") == F.col("block"))
+    return met.select("turn", "members", "asked").mapInArrow(lean(probe), "a long, b long, bits int").distinct()
+
+
+def _prints(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's fingerprint; each fingerprint's first document, by doc_id (null last) and text hash, as ``node``."""
+    prints = written(fingerprints(docs, width), "prints")
+    name = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text_hash")
+    first = prints.groupBy("fp").agg(F.min(name).alias("x"), F.min("doc_id").alias("least"))
+    node = F.struct("x.d", F.coalesce("x.text_hash", F.lit(0).cast("long")).alias("h"), "fp")
+    return prints, written(first.select("fp", "least", node.alias("node")), "distinct")
+
+
+def _named(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links of fingerprints as links of nodes, so that a component's root is its first document."""
+    of = lambda c: distinct.select(F.col("fp").alias(f"fp_{c}"), F.col("node").alias(f"node_{c}"))
+    met = found.join(of("a"), F.col("a") == F.col("fp_a")).join(of("b"), F.col("b") == F.col("fp_b"))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
 
-    routed = index.select("block", "members").mapInArrow(route, "to long, asked binary")
-    met = routed.join(index.select("block", "members"), F.col("to") == F.col("block"))
-    return met.select("members", "asked").mapInArrow(probe, "a long, b long").distinct()
+def _labelled(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """``prints`` with the root of each row's component."""
+    roots = joined.select(F.col("node.fp").alias("node_fp"), "root")
+    known = distinct.join(roots, F.col("fp") == F.col("node_fp"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "node").alias("root"), "least")
+    return prints.join(known, F.col("fp") == F.col("own")).drop("own")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id,
-    text_hash."""
-    prints = written(fingerprints(docs, width), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(links(distinct.select("fp"), radius))
-    least = joined.join(distinct, F.col("node") == F.col("fp")).select("root", "least").union(joined.select(F.col("root")).distinct().join(distinct, F.col("root") == F.col("fp")).select("root", "least"))
-    smallest = least.groupBy("root").agg(F.min("least").alias("component"))
-    of = joined.select("node", "root").union(joined.select("root", "root").distinct()).join(smallest, "root").select("node", "component")
+    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, text_hash."""
+    prints, distinct = _prints(docs, width)
+    out = _labelled(prints, distinct, components(_named(links(distinct.select("fp"), radius), distinct)))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    out = prints.join(distinct, "fp").join(of, F.col("fp") == F.col("node"), "left")
-    return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"), "text_hash")
+    # a root without doc_id: no document of the component has one
+    least = F.when(F.col("root.d") < LAST, F.col("root.d")).otherwise(F.col("least"))
+    return out.select("doc_id", hexed.alias("fingerprint"), least.alias("component_id"), "text_hash")
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """texts (fp, text) -> fp, shingles: sorted distinct hashes as binary."""
+    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], schema=schema)
+
+    return texts.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(lean(task), "fp long, shingles binary")
+
 
+def similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, one, other: shingle sets as binary) -> a, b of those with the Jaccard similarity."""
 
-def first_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; of several rows with that
-    doc_id the one of the smallest text hash. Rows without doc_id all stay."""
-    known = near_duplicates(docs.filter("doc_id is not null"), width, radius)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = []
+            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
+                x, y = np.frombuffer(one.as_py(), "<u8"), np.frombuffer(other.as_py(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    return pairs.select("a", "b", "one", "other").mapInArrow(lean(task), pairs.select("a", "b").schema)
+
+
+def _sparse(edges: DataFrame, group_edges: int = 1 << 20) -> DataFrame:
+    """edges (group, a, b, bits) -> a, b: spanning forests of the groups; a group of more than ``group_edges`` edges is
+    dealt to several tasks, each with a forest of its own."""
+    sizes = edges.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select(F.col("group").alias("of"), "n")
+    salted = edges.join(sizes, F.col("group") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / group_edges)))
+    dealt = salted.select("group", "salt", "a", "b", "bits").repartition("group", "salt").sortWithinPartitions("group", "salt")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, None
+        for batch in batches:
+            of = np.stack([batch.column(c).to_numpy() for c in ("group", "salt")], 1)
+            cuts = np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                new = [batch.column(c).to_numpy()[x:y] for c in ("a", "b", "bits")]
+                if key is not None and tuple(of[x]) == key:
+                    new = [np.concatenate(z) for z in zip(kept, new, strict=True)]
+                elif kept is not None:
+                    yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
+                tree = spanning(*new)
+                key, kept = tuple(of[x]), [z[tree] for z in new]
+        if kept is not None:
+            yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
+
+    return dealt.mapInArrow(lean(task), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, radius: int = 4, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+    """``docs``' prints with the root of each row's group; see above."""
+    prints, distinct = _prints(docs, width)
+    found = written(links(distinct.select("fp"), reach, share=True), "found")
+    tight = components(found.filter(F.col("bits") <= radius).select("a", "b"))
+    of = lambda c: tight.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}"))
+    met = found.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
+    met = met.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+    inside = _sparse(met.filter(F.col("bits") <= radius).select(F.col("root_a").alias("group"), "a", "b", "bits"))
+    least = F.min(F.struct("bits", "a", "b")).alias("x")
+    across = met.filter("root_a <> root_b").groupBy(F.least("root_a", "root_b").alias("g"), F.greatest("root_a", "root_b").alias("h")).agg(least)
+    asked = written(inside.union(across.select("x.a", "x.b")), "asked")
+    # the first document of a fingerprint stands for its texts
+    ends = asked.select("a").union(asked.select("b")).distinct()
+    wanted = ends.join(distinct, F.col("a") == F.col("fp")).select("fp", F.col("node.d").alias("d"), F.col("node.h").alias("h"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("t_d"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("t_h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    sets = texts.join(wanted, (F.col("t_d") == F.col("d")) & (F.col("t_h") == F.col("h"))).dropDuplicates(["fp"])
+    sets = written(_shingle_sets(sets, width), "sets")
+    of = lambda c, name: sets.select(F.col("fp").alias(f"fp_{c}"), F.col("shingles").alias(name))
+    pairs = asked.join(of("a", "one"), F.col("a") == F.col("fp_a")).join(of("b", "other"), F.col("b") == F.col("fp_b"))
+    held = components(_named(similar(pairs, similarity), distinct))
+    return _labelled(prints, distinct, held)
+
+
+def first_of_each(docs: DataFrame, width: int = 5, radius: int = 4, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of similar texts, that of the smallest doc_id, then text hash. Rows
+    without doc_id all stay; of rows equal in doc_id and text one stays."""
+    known = similar_groups(docs.filter("doc_id is not null"), width, radius, reach, similarity)
     first_id, first_hash = free_names(docs, "first_id", "first_hash")
-    first = known.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(first_id)).agg(F.min("text_hash").alias(first_hash))
-    same = (F.col("doc_id").cast("long") == F.col(first_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(first_hash))
-    kept = docs.join(first, same, "left_semi")
-    if not known.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.filter("doc_id is null"))
+    hashed = F.coalesce(F.col("text_hash"), F.lit(0).cast("long"))
+    first = written(known.filter((F.col("doc_id") == F.col("root.d")) & (hashed == F.col("root.h"))).select("doc_id", hashed.alias("h")), "first")
+    repeated = first.groupBy("doc_id", "h").count().filter("count > 1")
+    kept = first.select(F.col("doc_id").alias(first_id), F.col("h").alias(first_hash))
+    same = (F.col("doc_id").cast("long") == F.col(first_id)) & (F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0).cast("long")) == F.col(first_hash))
+    out = docs.join(kept, same, "left_semi")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.union(docs.filter("doc_id is null"))
