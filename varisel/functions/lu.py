@@ -27,8 +27,9 @@ def unwrap(c: Column) -> Column:
 
 
 def alternatives(body: Column) -> Column:
-    """An LU's parts, split at / that is not escaped."""
-    return F.split(body, r"(?<!\\)/", -1)
+    """An LU's parts, split at / that is neither escaped nor within a tag."""
+    part = r"(?s)/([^\\/<]*+(?:(?:\\.|<[^>]*+>|[\\<])[^\\/<]*+)*+)"
+    return F.regexp_extract_all(F.concat(F.lit("/"), body), F.lit(part), F.lit(1))
 
 
 def parse_units(text: Column) -> Column:
@@ -117,6 +118,11 @@ def rule_escape(c: Column) -> Column:
     return F.replace(F.replace(F.regexp_replace(c, r"([-()])", r"\\$1"), F.lit("&"), F.lit("&amp;")), F.lit("~"), F.lit(" "))
 
 
+def trimmed_word(c: Column) -> Column:
+    """Without the white space and the mark of unknown words at either end."""
+    return F.regexp_replace(c, r"^[\s*]+|[\s*]+$", "")
+
+
 def safe_double(c: Column) -> Column:
     """A number, or 0 for text that is none and for NaN."""
     return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -5,7 +5,8 @@ without a lemma, by the patterns themselves), and a group by (segment, start, ru
 places as the rule has words is a match. Weights of a position's operations add up; the translations that an
 operation recognises are then selected or removed in order of weight.
 
-Rows of a segment are never split, but no step gathers a whole segment: joins and groups are by position."""
+LUs are dealt by segment once, in ``apply_rules`` and ``trace_rules``; the groups that follow are by segment and more, so they
+need no further shuffle. Still no step gathers a whole segment: groups are by position."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from .rules import Rules
 
 #: Rule words and operations of so many rows are broadcast; larger sets are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Patterns without a lemma up to this number are tested as literals in one expression.
+#: So many patterns without a lemma are tested as literals in one expression; more take several.
 LITERAL_PATTERNS = 400
 LUS = "segment_id long, pos int, blank string, sl string, tls array<string>"
 
@@ -45,31 +46,32 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def word_matches(lus: DataFrame, rules: Rules) -> DataFrame:
-    """segment_id, pos, rule_id, variant, len, off, at_start: every LU that matches a word of a rule."""
-    spark = lus.sparkSession
-    words = rules.frames(spark)["rule_words"]
+    """segment_id, pos, rule_id, variant, len, off, at_start: every LU that matches a word of a rule.
+
+    One pass: an LU has a key for its lemma, under which words with a lemma are tested, and one for each pattern without
+    a lemma that it matches."""
+    words = rules.frames(lus.sparkSession)["rule_words"]
+    key = F.when(F.col("key_lemma").isNull(), F.concat(F.lit("p"), "sl_regex")).otherwise(F.concat(F.lit("l"), "key_lemma"))
+    keyed = _small(words.select(key.alias("key"), *words.columns), len(rules.words))
     seen = lus.select("segment_id", "pos", lu.match_text(F.col("sl")).alias("mt"))
-    keyed = words.filter("key_lemma is not null")
-    by_lemma = seen.withColumn("key_lemma", F.lower(lu.match_lemma(F.col("mt")))).join(_small(keyed, len(rules.words)), "key_lemma").filter(F.regexp_like("mt", "sl_regex"))
-    cols = ["segment_id", "pos", "rule_id", "variant", "len", "off", "at_start"]
-    out = by_lemma.select(*cols)
     patterns = sorted({w[5] for w in rules.words if w[4] is None})
-    if patterns:
-        free = words.filter("key_lemma is null")
-        if len(patterns) <= LITERAL_PATTERNS:
-            hits = F.filter(F.array(*[F.when(F.col("mt").rlike(p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
-            met = seen.select("segment_id", "pos", F.explode(hits).alias("sl_regex")).join(_small(free, len(rules.words)), "sl_regex")
-        else:
-            met = seen.join(_small(free, len(rules.words)), F.regexp_like("mt", "sl_regex"))
-        out = out.union(met.select(*cols))
-    return out
+    keys = [F.array(F.concat(F.lit("l"), F.lower(lu.match_lemma(F.col("mt")))))]
+    for at in range(0, len(patterns), LITERAL_PATTERNS):
+        hits = F.array(*[F.when(F.col("mt").rlike(p), F.lit("p" + p)) for p in patterns[at : at + LITERAL_PATTERNS]])
+        keys.append(F.array_compact(hits))
+    met = seen.select("segment_id", "pos", "mt", F.explode(F.concat(*keys)).alias("key")).join(keyed, "key")
+    return met.filter(F.col("key_lemma").isNull() | F.regexp_like("mt", "sl_regex")).select("segment_id", "pos", "rule_id", "variant", "len", "off", "at_start")
 
 
 def rule_matches(lus: DataFrame, rules: Rules) -> DataFrame:
     """segment_id, start, end, rule_id, variant, len. A rule counts once at an end: of several variants or lengths the first by
     operations, then by length and variant."""
     met = word_matches(lus, rules).withColumn("start", F.col("pos") - F.col("off")).filter(~F.col("at_start") | (F.col("start") == 0))
-    whole = met.groupBy("segment_id", "start", "rule_id", "variant", "len").agg(F.countDistinct("off").alias("n")).filter("n = len").drop("n")
+    # a word of several patterns may match at a place more than once
+    longest = max((w[2] for w in rules.words), default=1)
+    bit = lambda n: F.expr(f"shiftleft(1L, {n})")
+    full = F.bit_or(bit("off")) == F.first(bit("len")) - 1 if longest < 63 else F.size(F.collect_set("off")) == F.first("len")
+    whole = met.groupBy("segment_id", "start", "rule_id", "variant", "len").agg(full.alias("full")).filter("full").drop("full")
     vectors: dict[tuple, list[str]] = {}
     for r, v, n, *_ in rules.words:
         vectors.setdefault((r, v), [""] * n)
@@ -109,14 +111,21 @@ def keep_fold(matches: Column, n: Column) -> Column:
 
 
 def _decided(lus: DataFrame, rules: Rules) -> DataFrame:
-    """segment_id, pos, fold: positions with an operation that recognises one of their translations."""
+    """``lus`` with _fold, null at positions without an operation that recognises one of their translations."""
     ops = rules.frames(lus.sparkSession)["ops"]
-    open_ = lus.filter(F.size("tls") > 1).select("segment_id", "pos", F.size("tls").alias("n"), F.posexplode("tls").alias("tl", "text"))
-    scores = rule_scores(lus, rules).join(_small(ops, len(rules.ops)), "op_key")
-    met = open_.join(scores, ["segment_id", "pos"]).filter(F.regexp_like(lu.match_text(F.col("text")), F.col("tl_regex")))
-    one = F.struct((-F.col("score")).alias("neg_weight"), "tl", "op_key", "op_type")
-    grouped = met.groupBy("segment_id", "pos", "n").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    return grouped.select("segment_id", "pos", keep_fold(F.col("m"), F.col("n")).alias("fold"))
+    dealt = lus.repartition("segment_id")
+    scores = rule_scores(dealt, rules).join(_small(ops, len(rules.ops)), "op_key")
+    row, op = F.struct(*[F.col(c) for c in lus.columns]), F.struct((-F.col("score")).alias("neg_weight"), "op_key", "op_type", "tl_regex")
+    rows = dealt.select("segment_id", "pos", row.alias("_row"))
+    both = rows.unionByName(scores.select("segment_id", "pos", op.alias("_op")), allowMissingColumns=True)
+    met = both.groupBy("segment_id", "pos").agg(F.collect_list("_row").alias("_rows"), F.collect_list("_op").alias("_ops")).select(F.explode("_rows").alias("_row"), "_ops")
+    mts = F.transform("_row.tls", lu.match_text)
+    places = F.when(F.size("_row.tls") > 1, F.sequence(F.lit(0), F.size("_row.tls") - 1)).otherwise(F.array().cast("array<int>"))
+    hit = lambda o: F.filter(places, lambda i: F.regexp_like(F.element_at(mts, i + 1), o["tl_regex"]))
+    each = lambda o: F.transform(hit(o), lambda i: F.struct(o["neg_weight"].alias("neg_weight"), i.alias("tl"), o["op_key"].alias("op_key"), o["op_type"].alias("op_type")))
+    m = F.when(F.size("_ops") > 0, F.array_sort(F.flatten(F.transform("_ops", each))))
+    fold = F.when(F.size("_m") > 0, keep_fold(F.col("_m"), F.size("_row.tls")))
+    return met.withColumn("_m", m).select("_row.*", fold.alias("_fold"))
 
 
 def apply_rules(lus: DataFrame, rules: Rules) -> DataFrame:
@@ -124,17 +133,14 @@ def apply_rules(lus: DataFrame, rules: Rules) -> DataFrame:
     then to the operation's text."""
     if not rules.words:
         return lus
-    kept = _decided(lus, rules).select("segment_id", "pos", F.col("fold.keep").alias("_keep"))
-    out = lus.join(kept, ["segment_id", "pos"], "left")
-    chosen = F.filter("tls", lambda t, i: F.array_contains("_keep", i))
-    return out.select(*[F.when(F.col("_keep").isNull(), F.col("tls")).otherwise(chosen).alias(c) if c == "tls" else F.col(c) for c in lus.columns])
+    chosen = F.filter("tls", lambda t, i: F.array_contains("_fold.keep", i))
+    return _decided(lus, rules).select(*[F.when(F.col("_fold").isNull(), F.col("tls")).otherwise(chosen).alias(c) if c == "tls" else F.col(c) for c in lus.columns])
 
 
 def trace_rules(lus: DataFrame, rules: Rules) -> DataFrame:
-    """segment_id, pos, op, weight, sl, n_keep, tl: each step of each decision."""
-    steps = _decided(lus, rules).select("segment_id", "pos", F.posexplode("fold.trace").alias("step", "t"))
-    met = steps.join(lus.select("segment_id", "pos", "sl", "tls"), ["segment_id", "pos"])
-    return met.select("segment_id", "pos", "step", "t.op", "t.weight", "sl", "t.n_keep", F.element_at("tls", F.col("t.tl") + 1).alias("tl"))
+    """segment_id, pos, step, op, weight, sl, n_keep, tl: each step of each decision."""
+    steps = _decided(lus, rules).select("segment_id", "pos", "sl", "tls", F.posexplode("_fold.trace").alias("step", "t"))
+    return steps.select("segment_id", "pos", "step", "t.op", "t.weight", "sl", "t.n_keep", F.element_at("tls", F.col("t.tl") + 1).alias("tl"))
 
 
 def apply_to_text(segments: DataFrame, rules: Rules) -> DataFrame:
@@ -161,7 +167,11 @@ def apply_to_units(units: Column, rules: Rules) -> Column:
         for (r, v), words in by_variant.items():
             for off, key in ops_of.get((r, v), ()):
                 start = pos - off
-                whole = reduce(lambda a, b: a & b, [F.coalesce(lu.match_text(at(start + w[3] + 1)["sl"]).rlike(w[5]), F.lit(False)) for w in words])
+                regexes: dict[int, list[str]] = {}
+                for w in words:
+                    regexes.setdefault(w[3], []).append(w[5])
+                text = lambda off: lu.match_text(at(start + off + 1)["sl"])
+                whole = reduce(lambda a, b: a & b, [F.coalesce(text(off).rlike("|".join(f"(?:{x})" for x in r)), F.lit(False)) for off, r in regexes.items()])
                 inside = (start >= 0) & (start + words[0][2] <= F.size(units)) & ((start == 0) if words[0][6] else F.lit(True))
                 sums.setdefault(key, []).append((r, F.when(F.when(inside, whole).otherwise(False), F.lit(weights[r])).otherwise(0.0)))
         return [(k, reduce(lambda a, b: a + b, [x for _, x in v])) for k, v in sums.items()]

@@ -2,8 +2,9 @@
 
 A rule is a sequence of word patterns; a word may select or remove translations. ``compile_rules`` expands
 alternations, repetitions, named sequences and sets, and macros into linear variants, and gives rows for
-three DataFrames: rules, rule_words (one row for each word of each variant) and ops. Rule files are small;
-they are read on the driver."""
+three DataFrames: rules, rule_words (one row for each pattern of each word of each variant) and ops. Alternatives
+that are single words with the same operations stay one word of several patterns, so sets and alternations of
+words are not multiplied out. Rule files are small; they are read on the driver."""
 
 from __future__ import annotations
 
@@ -34,12 +35,24 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Word:
-    key: str | None
-    regex: str
+    """Patterns (join key, regex), of which one has to match, and operations."""
+
+    patterns: tuple[tuple[str | None, str], ...]
     ops: tuple[tuple[str, str], ...] = ()
 
 
-BEGIN = Word(None, "^", (("begin", ""),))
+BEGIN = Word(((None, "^"),), (("begin", ""),))
+
+
+def merged(alternatives: list[tuple[Word, ...]]) -> list[tuple[Word, ...]]:
+    """Alternatives with single words of the same operations as one word."""
+    out: dict[tuple, tuple[Word, ...]] = {}
+    for seq in alternatives:
+        key = ("word", seq[0].ops) if len(seq) == 1 else ("words", seq)
+        if key in out and len(seq) == 1:
+            seq = (Word(tuple(dict.fromkeys((*out[key][0].patterns, *seq[0].patterns))), seq[0].ops),)
+        out[key] = seq
+    return list(out.values())
 
 
 @dataclass
@@ -110,12 +123,12 @@ class _Compiler:
         if n.tag == "match":
             return [(self.match(n),)]
         if n.tag == "or":
-            return [seq for child in n for seq in self.node(child)]
+            return merged([seq for child in n for seq in self.node(child)])
         if n.tag == "repeat":
             low, high = int(n.get("from", 0)), int(n.get("upto", 0))
             if low < 0 or low > high:
                 raise RuleError(f"repeat from {low} upto {high}")
-            once = self.body(n)
+            once = merged(self.body(n))
             return [tuple(w for seq in combo for w in seq) for k in range(low, high + 1) for combo in product(once, repeat=k)]
         if n.tag == "seq":
             if n.get("n") not in self.sequences:
@@ -125,7 +138,7 @@ class _Compiler:
             if n.get("n") not in self.sets:
                 raise RuleError(f"set {n.get('n')} is not defined before its use")
             lemmas, own = self.sets[n.get("n")]
-            return [(Word(*self.pattern({"lemma": x, "tags": n.get("tags", own)})),) for x in lemmas]
+            return merged([(Word((self.pattern({"lemma": x, "tags": n.get("tags", own)}),)),) for x in lemmas])
         if n.tag == "begin":
             return [(BEGIN,)]
         raise RuleError(f"{n.tag} may not stand in a rule")
@@ -136,7 +149,7 @@ class _Compiler:
             if o.tag not in ("select", "remove"):
                 raise RuleError(f"{o.tag} may not stand in match")
             ops.append((o.tag, self.pattern(o.attrib)[1]))
-        return Word(*self.pattern(n.attrib), tuple(ops))
+        return Word((self.pattern(n.attrib),), tuple(ops))
 
     def rule(self, n: ET.Element) -> None:
         weight = float(n.get("weight", 1.0))
@@ -148,7 +161,7 @@ class _Compiler:
             if not rest or BEGIN in rest:
                 continue  # an anchor behind a word can never match
             for off, w in enumerate(rest):
-                self.out.words.append((rule_id, variant, len(rest), off, w.key, w.regex, at_start))
+                self.out.words += [(rule_id, variant, len(rest), off, key, regex, at_start) for key, regex in w.patterns]
                 for kind, regex in w.ops:
                     key = f"<{kind}>{regex}"
                     self.out.ops[key] = (key, kind, regex)
