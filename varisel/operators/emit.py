@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lu
+from ..sources import readers
 
-OPEN_KINDS = ("n", "vblex", "adj")
+# Fixed values of the tag set: open word classes, and marks that no pattern may hold.
 PUNCTUATION = ("<sent>", "<cm>", "<lpar>", "<rpar>", "<lquot>", "<rquot>", "<guio>")
+OPEN_KINDS = ("n", "vblex", "adj")
 
 
 def word_xml(word: Column, inner: Column | None = None) -> Column:
@@ -70,14 +72,18 @@ def bidix_entries(lines: DataFrame) -> DataFrame:
 
 
 def bidix_default_rules(entries: DataFrame, direction: str = "lr", slr: bool = False) -> DataFrame:
-    """Default rules from dictionary entries. Without ``slr``: words with several translations of which exactly
-    one is unrestricted; with ``slr``: the translation of rank 0 where entries are numbered."""
+    """Default rules from dictionary entries: source, target, rule. Without ``slr``: words with several translations of
+    which exactly one is unrestricted. With ``slr``: an entry of rank 0 is the default of the lines behind it, up to the next
+    one; a line of slr 1 with the same source gives the rule for that default."""
     a, b = ("l", "r") if direction == "lr" else ("r", "l")
-    one = entries.select(F.col(a).alias("s"), F.col(b).alias("t"), "restriction", "rank", "slr")
+    one = entries.select("line_no", F.col(a).alias("s"), F.col(b).alias("t"), "restriction", "rank", "slr")
     usable = one.filter(~F.col("restriction").isin("RL" if direction == "lr" else "LR"))
     if slr:
-        numbered = one.filter("rank = '0' or slr = '0'")
-        best = numbered.groupBy("s").agg(F.min("t").alias("t"))
+        # the default's line: the last one of rank 0 up to here, in two steps as in a running count
+        runs = readers.blocks(one, F.col("rank") == "0")
+        first = runs.filter("rank = '0'").select(F.col("block").alias("_block"), F.col("s").alias("_s"), F.col("t").alias("_t"))
+        met = runs.filter("slr = '1'").join(first, (F.col("block") == F.col("_block")) & (F.col("s") == F.col("_s")))
+        best = met.select("s", F.col("_t").alias("t")).distinct()
     else:
         best = usable.filter("restriction = ''").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t")).filter("n = 1").drop("n")
         several = one.groupBy("s").agg(F.countDistinct("t").alias("n")).filter("n > 1").select("s")

@@ -37,6 +37,13 @@ def normalised(scored: DataFrame) -> DataFrame:
     return scored.withColumn("prob", F.coalesce(F.nanvl(mass / F.sum(mass).over(of), F.lit(0.0)), F.lit(0.0)))
 
 
+def rank_paths(scored: DataFrame, fractional: bool = False, kept: float = 1.0) -> DataFrame:
+    """scored (sent_id, path_id, score) -> ``ranked`` paths with ``value``: the log10 score, or with ``fractional`` the share of the
+    sentence's probability. Paths that begin at a mass of ``kept`` or more are left out."""
+    out = ranked(normalised(scored), 0.5).withColumn("value", F.col("prob") if fractional else F.col("score"))
+    return out.filter((F.col("rank") == 1) | (F.col("cumulative") - F.col("prob") < kept))
+
+
 def ranked(probable: DataFrame, mass: float = 0.5) -> DataFrame:
     """probable (sent_id, path_id, prob) with rank, cumulative mass and mark: |@| best, |+| while the mass before is
     under ``mass``, |-| else; bucket tells at which of the masses 0.5, 0.6, … the path comes in."""

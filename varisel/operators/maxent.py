@@ -1,20 +1,26 @@
 """Maximum-entropy weights for contexts: events, feature selection, iterative scaling, scoring.
 
-One model for each source word. Events of a word are aggregated by (class, features), so a model's data are
-the word's distinct contexts. Models of up to ``group_rows`` such rows are fitted each in one task; larger
-ones by a loop of DataFrame jobs over all of their rows, with the same updates."""
+One model for each source word: the probability of class k behind features f is proportional to exp(sum of lambda(f, k)).
+Events of a word are aggregated by (class, features), so a model's data are the word's distinct contexts. Generalised
+iterative scaling moves lambda(f, k) by (log seen - log expected) / size, size being the word's largest number of features; a
+pair of feature and class that no event has keeps 0. A word ends after the step at which its perplexity changed by
+``least_gain`` or less.
+
+Words of up to ``group_rows`` contexts are fitted each in one task, on sparse arrays; those of more by a loop of
+DataFrame jobs over all of their rows, so that no task gathers them. Both take the same steps with the same options, and
+give the same weights."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.intermediate import written
+
 LAMBDAS = "sl string, feature string, cls int, lambda double"
-#: The corrective feature, which fills each event up to the largest mass of features.
-CORRECTIVE = ""
 
 
 def events(observed: DataFrame, ngrams_of: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -47,93 +53,133 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_word(pdf: pd.DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0) -> pd.DataFrame:
-    """Generalised iterative scaling for one word's events; ``smooth`` is the variance of a Gaussian prior."""
+def fit_word(pdf: pd.DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0, label_smooth: float = 0.0, length_norm: bool = False) -> pd.DataFrame:
+    """One word's events, with a lambda0 (feature, cls, value) of each event's start where given. ``smooth`` is the deviation of a
+    Gaussian prior, ``label_smooth`` the share of an event's weight that goes to other classes, ``length_norm`` lets an
+    event's features weigh 1 together."""
     names = sorted({f for fs in pdf.feats for f in fs})
     place = {f: i for i, f in enumerate(names)}
-    n_cls, m = int(pdf.n_cls.iloc[0]), len(names)
-    size = max((len(fs) for fs in pdf.feats), default=0) or 1
-    x = np.zeros((len(pdf), m + 1))
-    for i, fs in enumerate(pdf.feats):
-        x[i, [place[f] for f in fs]] = 1
-    x[:, m] = size - x[:, :m].sum(1)
+    n, n_cls, m = len(pdf), int(pdf.n_cls.iloc[0]), len(names)
+    per = np.array([len(fs) for fs in pdf.feats], "i8")
+    row, feature = np.repeat(np.arange(n), per), np.array([place[f] for fs in pdf.feats for f in fs], "i8")
+    x = 1.0 / per[row] if length_norm else np.ones(len(row))
+    size = 1.0 if length_norm else float(max(per.max(initial=0), 1))
     w, cls = pdf.w.to_numpy(float), pdf.cls.to_numpy(int)
-    total = w.sum()
-    seen = np.zeros((m + 1, n_cls))
-    np.add.at(seen.T, cls, x * w[:, None])
-    lam = np.where(seen > 0, 0.0, -np.inf if smooth == 0 else 0.0)
-    lam = np.where(np.isfinite(lam), lam, -20.0)
-    before = np.inf
-    for _ in range(iterations):
-        p = softmax(x @ lam)
-        perplexity = float(np.exp(-(w * np.log(np.maximum(p[np.arange(len(pdf)), cls], 1e-300))).sum() / total))
-        if abs(before - perplexity) <= least_gain and np.isfinite(before):
+    share = np.full((n, n_cls), label_smooth / max(n_cls - 1, 1))
+    share[np.arange(n), cls] = 1 - label_smooth
+    sums = lambda v: np.stack([np.bincount(feature, v[row, k] * x, m) for k in range(n_cls)], 1)
+    seen = sums(share * w[:, None])
+    lam = np.zeros((m, n_cls))
+    if "start" in pdf.columns:
+        for start in pdf.start:
+            for s in () if start is None else start:
+                if s["feature"] in place:
+                    lam[place[s["feature"]], s["cls"]] = s["lambda"]
+    on, before = seen > 0, np.inf
+    for _ in range(iterations + 1):
+        p = softmax(np.stack([np.bincount(row, lam[feature, k] * x, n) for k in range(n_cls)], 1))
+        perplexity = float(np.exp(-(w * np.log(np.maximum(p[np.arange(n), cls], 1e-300))).sum() / w.sum()))
+        expected = np.maximum(sums(p * w[:, None])[on], 1e-300)
+        step = (np.log(seen[on]) - np.log(expected)) / size
+        if smooth:
+            inverse = 1.0 / smooth**2
+            for _ in range(20):
+                grow = expected * np.exp(step * size)
+                step = step - (grow + (lam[on] + step) * inverse - seen[on]) / (grow * size + inverse)
+        lam[on] += step
+        if abs(before - perplexity) <= least_gain:
             break
         before = perplexity
-        expected = x.T @ (p * w[:, None])
-        on = (seen > 0) & (expected > 0)
-        if smooth:
-            step = np.zeros_like(lam)
-            for _ in range(20):  # Newton steps of seen = expected exp(size step) + (lam + step) / smooth
-                grow = expected * np.exp(size * step)
-                step -= (grow + (lam + step) / smooth - seen) / (grow * size + 1 / smooth)
-            lam = lam + step
-        else:
-            lam[on] += (np.log(seen[on]) - np.log(expected[on])) / size
-    rows = [(pdf.sl.iloc[0], f, k, float(lam[i, k])) for i, f in enumerate([*names, CORRECTIVE]) for k in range(n_cls)]
+    rows = [(pdf.sl.iloc[0], f, k, float(lam[i, k])) for i, f in enumerate(names) for k in range(n_cls)]
     return pd.DataFrame(rows, columns=["sl", "feature", "cls", "lambda"])
 
 
-def fit_large(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, materialise=None) -> DataFrame:
-    """The same updates (without prior) as joins and grouped sums, for words with very many contexts."""
-    keep = materialise or (lambda df: df)
-    ev = ev.withColumn("id", F.xxhash64("sl", "cls", "feats"))
-    size = ev.groupBy("sl").agg(F.greatest(F.max(F.size("feats")), F.lit(1)).alias("size"))
-    ev = keep(ev.join(size, "sl"))
-    long_ = ev.select("sl", "id", "w", "size", "n_cls", "cls", F.explode(F.concat(F.transform("feats", lambda f: F.struct(f.alias("feature"), F.lit(1.0).alias("x"))), F.array(F.struct(F.lit(CORRECTIVE).alias("feature"), (F.col("size") - F.size("feats")).cast("double").alias("x"))))).alias("f")).select("sl", "id", "w", "size", "n_cls", "cls", "f.feature", "f.x").filter("x > 0")
-    seen = long_.groupBy("sl", "feature", "cls").agg(F.sum(F.col("w") * F.col("x")).alias("seen"))
-    each = keep(long_.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_cls") - 1))))
-    lam = keep(each.select("sl", "feature", F.col("k").alias("cls"), "size").distinct().join(seen, ["sl", "feature", "cls"], "left").withColumn("lambda", F.when(F.col("seen") > 0, 0.0).otherwise(-20.0)))
-    before = None
-    for _ in range(iterations):
-        scored = each.join(lam.select("sl", "feature", F.col("cls").alias("k"), "lambda"), ["sl", "feature", "k"]).groupBy("sl", "id", "k", "w", "cls").agg(F.sum(F.col("lambda") * F.col("x")).alias("s"))
-        of = Window.partitionBy("sl", "id")
-        e = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(of))).withColumn("p", F.col("e") / F.sum("e").over(of))
-        e = keep(e)
-        perplexity = e.filter("k = cls").agg(F.exp(-F.sum(F.col("w") * F.log("p")) / F.sum("w"))).first()[0]
-        if perplexity is None or (before is not None and abs(before - perplexity) <= least_gain):
+def _with_values(ev: DataFrame, length_norm: bool) -> DataFrame:
+    """ev (id, sl, n_cls, feats, …) by feature and class: k, feature, x."""
+    x = F.lit(1.0) / F.size("feats") if length_norm else F.lit(1.0)
+    each = ev.withColumn("x", x).select(*ev.columns, "x", F.explode("feats").alias("feature")).drop("feats")
+    return each.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_cls") - 1)))
+
+
+def _shares(label_smooth: float) -> Column:
+    return F.when(F.col("k") == F.col("cls"), 1.0 - label_smooth).otherwise(F.lit(label_smooth) / F.greatest(F.col("n_cls") - 1, F.lit(1)))
+
+
+def feature_sums(ev: DataFrame, label_smooth: float = 0.0, length_norm: bool = False) -> DataFrame:
+    """sl, feature, cls, seen: what the model has to meet, the weight of events with the feature and class."""
+    each = _with_values(ev.withColumn("id", F.lit(0)), length_norm)
+    sums = each.groupBy("sl", "feature", F.col("k").alias("cls")).agg(F.sum(F.col("w") * F.col("x") * _shares(label_smooth)).alias("seen"))
+    return sums.filter("seen > 0")
+
+
+def _probabilities(ev: DataFrame, lam: DataFrame, length_norm: bool) -> DataFrame:
+    """ev (id, sl, n_cls, feats, …) -> its columns but feats, k, p: probabilities of all classes."""
+    classes = ev.drop("feats").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_cls") - 1)))
+    terms = _with_values(ev.select("id", "sl", "n_cls", "feats"), length_norm).join(lam.select("sl", "feature", F.col("cls").alias("k"), "lambda"), ["sl", "feature", "k"])
+    sums = terms.groupBy("sl", "id", "k").agg(F.sum(F.col("lambda") * F.col("x")).alias("s"))
+    of = Window.partitionBy("sl", "id")
+    e = classes.join(sums, ["sl", "id", "k"], "left").withColumn("s", F.coalesce("s", F.lit(0.0))).withColumn("e", F.exp(F.col("s") - F.max("s").over(of)))
+    return e.withColumn("p", F.col("e") / F.sum("e").over(of)).drop("s", "e")
+
+
+def fit_large(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0, label_smooth: float = 0.0, length_norm: bool = False, start: DataFrame | None = None) -> DataFrame:
+    """``fit_word`` for words with very many contexts, as joins and grouped sums; tables cut each step's lineage."""
+    ev = written(ev.select("sl", "n_cls", "cls", "w", "feats").withColumn("id", F.monotonically_increasing_id()), "events")
+    size = ev.groupBy("sl").agg((F.lit(1) if length_norm else F.greatest(F.max(F.size("feats")), F.lit(1))).cast("double").alias("size"))
+    each = _with_values(ev.select("id", "sl", "n_cls", "cls", "w", "feats"), length_norm)
+    lam = each.groupBy("sl", "feature", F.col("k").alias("cls")).agg(F.sum(F.col("w") * F.col("x") * _shares(label_smooth)).alias("seen")).join(size, "sl")
+    given = F.lit(0.0)
+    if start is not None:
+        lam, given = lam.join(start.select("sl", "feature", "cls", "lambda"), ["sl", "feature", "cls"], "left"), F.coalesce("lambda", F.lit(0.0))
+    lam = written(lam.withColumn("lambda", given), "lambdas")
+    state = size.select("sl", F.lit(float("inf")).alias("before"), F.lit(False).alias("done"))
+    for _ in range(iterations + 1):
+        going = F.broadcast(state.filter("not done").select("sl")) if state.count() < 100_000 else state.filter("not done").select("sl")
+        p = written(_probabilities(ev.join(going, "sl", "left_semi"), lam, length_norm), "probabilities")
+        now = p.filter("k = cls").groupBy("sl").agg(F.exp(-F.sum(F.col("w") * F.log(F.greatest("p", F.lit(1e-300)))) / F.sum("w")).alias("now"))
+        terms = _with_values(ev.join(going, "sl", "left_semi").select("id", "sl", "n_cls", "feats"), length_norm).join(p.select("sl", "id", "k", "p", "w"), ["sl", "id", "k"])
+        expected = terms.groupBy("sl", "feature", F.col("k").alias("cls")).agg(F.sum(F.col("w") * F.col("x") * F.col("p")).alias("expected"))
+        met = lam.join(expected, ["sl", "feature", "cls"], "left").withColumn("expected", F.greatest("expected", F.lit(1e-300)))
+        step = (F.log("seen") - F.log("expected")) / F.col("size")
+        if smooth:  # Newton steps, as many as in fit_word
+            inverse = 1.0 / smooth**2
+
+            def newton(d: Column, _: Column) -> Column:
+                grow = F.col("expected") * F.exp(d * F.col("size"))
+                return d - (grow + (F.col("lambda") + d) * inverse - F.col("seen")) / (grow * F.col("size") + inverse)
+
+            step = F.aggregate(F.sequence(F.lit(1), F.lit(20)), step, newton)
+        moved = F.when(F.col("expected").isNotNull() & (F.col("seen") > 0), F.col("lambda") + step).otherwise(F.col("lambda"))
+        lam = written(met.withColumn("lambda", moved).drop("expected"), "lambdas")
+        done = F.col("done") | F.coalesce(F.abs(F.col("before") - F.col("now")) <= least_gain, F.lit(False))
+        state = written(state.join(now, "sl", "left").select("sl", F.coalesce("now", "before").alias("before"), done.alias("done")), "state")
+        if state.filter("not done").isEmpty():
             break
-        before = perplexity
-        expected = each.join(e.select("sl", "id", "k", "p"), ["sl", "id", "k"]).groupBy("sl", "feature", F.col("k").alias("cls")).agg(F.sum(F.col("w") * F.col("x") * F.col("p")).alias("expected"))
-        step = F.when((F.col("seen") > 0) & (F.col("expected") > 0), (F.log("seen") - F.log("expected")) / F.col("size")).otherwise(0.0)
-        lam = keep(lam.join(expected, ["sl", "feature", "cls"], "left").withColumn("lambda", F.col("lambda") + step).drop("expected"))
     return lam.select("sl", "feature", "cls", "lambda")
 
 
-def train(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0, group_rows: int = 20_000, materialise=None) -> DataFrame:
-    """LAMBDAS for every word: small models in tasks, large ones as jobs."""
+def train(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0, label_smooth: float = 0.0, length_norm: bool = False, start: DataFrame | None = None, group_rows: int = 20_000) -> DataFrame:
+    """LAMBDAS for every word. ``start``: LAMBDAS to begin with."""
     sizes = ev.groupBy("sl").agg(F.count(F.lit(1)).alias("n"))
     small = ev.join(sizes.filter(F.col("n") <= group_rows).select("sl"), "sl", "left_semi")
-    out = small.groupBy("sl").applyInPandas(lambda pdf: fit_word(pdf, iterations, least_gain, smooth), LAMBDAS)
+    if start is not None:
+        # a word's start goes with its first event only
+        given = start.groupBy("sl").agg(F.collect_list(F.struct("feature", "cls", "lambda")).alias("start"))
+        first = F.row_number().over(Window.partitionBy("sl").orderBy("cls", "feats")) == 1
+        small = small.withColumn("_first", first).join(given, "sl", "left").withColumn("start", F.when(F.col("_first"), F.col("start"))).drop("_first")
+    out = small.groupBy("sl").applyInPandas(lambda pdf: fit_word(pdf, iterations, least_gain, smooth, label_smooth, length_norm), LAMBDAS)
     large = sizes.filter(F.col("n") > group_rows).select("sl")
     if large.isEmpty():
         return out
-    return out.union(fit_large(ev.join(large, "sl", "left_semi"), iterations, least_gain, materialise))
+    return out.union(fit_large(ev.join(large, "sl", "left_semi"), iterations, least_gain, smooth, label_smooth, length_norm, start))
 
 
-def score(ev: DataFrame, lambdas: DataFrame) -> DataFrame:
+def score(ev: DataFrame, lambdas: DataFrame, length_norm: bool = False) -> DataFrame:
     """id, sl, cls, p: class probabilities of events (id, sl, n_cls, feats)."""
-    each = ev.select("id", "sl", F.explode(F.sequence(F.lit(0), F.col("n_cls") - 1)).alias("cls"), "feats")
-    size = ev.groupBy("sl").agg(F.greatest(F.max(F.size("feats")), F.lit(1)).alias("size"))
-    terms = each.join(size, "sl").select("id", "sl", "cls", F.explode(F.concat(F.transform("feats", lambda f: F.struct(f.alias("feature"), F.lit(1.0).alias("x"))), F.array(F.struct(F.lit(CORRECTIVE).alias("feature"), (F.col("size") - F.size("feats")).cast("double").alias("x"))))).alias("f"))
-    met = terms.select("id", "sl", "cls", "f.feature", "f.x").join(lambdas, ["sl", "feature", "cls"], "left")
-    sums = met.groupBy("id", "sl", "cls").agg(F.sum(F.coalesce(F.col("lambda") * F.col("x"), F.lit(0.0))).alias("s"))
-    of = Window.partitionBy("id")
-    e = sums.withColumn("e", F.exp(F.col("s") - F.max("s").over(of)))
-    return e.withColumn("p", F.col("e") / F.sum("e").over(of)).select("id", "sl", "cls", "p")
+    return _probabilities(ev.select("id", "sl", "n_cls", "feats"), lambdas, length_norm).select("id", "sl", F.col("k").alias("cls"), "p")
 
 
 def join_lambdas(lambdas: DataFrame, lexicon: DataFrame) -> DataFrame:
     """sl, ngram, tl, weight = exp(lambda), for translations that the lexicon has."""
     of = lexicon.select("sl", "tl", F.col("tl_idx").alias("cls"))
-    return lambdas.filter(F.col("feature") != CORRECTIVE).join(of, ["sl", "cls"]).select("sl", F.col("feature").alias("ngram"), "tl", F.exp("lambda").alias("weight"))
+    return lambdas.join(of, ["sl", "cls"]).select("sl", F.col("feature").alias("ngram"), "tl", F.exp("lambda").alias("weight"))

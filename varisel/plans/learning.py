@@ -22,7 +22,7 @@ def from_parallel(candidates: DataFrame, threshold: float = 3.0, max_n: int = 2,
     return {"lexicon": ranked, "patterns": patterns, "rules": emit.pattern_rules(patterns.filter("sign = '+'"), threshold=threshold)}
 
 
-def from_fractions(ambiguous: DataFrame, annotated: DataFrame, max_n: int = 3, cut: int = 3, materialise=None, **training) -> dict[str, DataFrame]:
+def from_fractions(ambiguous: DataFrame, annotated: DataFrame, max_n: int = 3, cut: int = 3, **training) -> dict[str, DataFrame]:
     """ambiguous sentences and weighted paths -> lexicon, maximum-entropy weights, Pareto front and rules."""
     pairs = lexicon.fractional_pairs(ambiguous, annotated).filter("tl <> ''")
     ranked = lexicon.ranked(lexicon.frequencies(pairs, F.col("frac")))
@@ -30,7 +30,7 @@ def from_fractions(ambiguous: DataFrame, annotated: DataFrame, max_n: int = 3, c
     observed = pairs.groupBy("sent_id", "pos", "sl", "tl").agg(F.sum("frac").alias("w"))
     of = observed.select("sent_id", "pos").distinct().join(words, "sent_id").select("sent_id", "pos", F.explode(ngrams.contexts(F.col("words"), F.col("pos"), max_n)).alias("ngram"))
     ev = maxent.select_features(maxent.events(observed, of, ranked), cut)
-    lambdas = maxent.train(ev, materialise=materialise, **training)
+    lambdas = maxent.train(ev, **training)
     weighted = maxent.join_lambdas(lambdas, ranked)
     front = ngrams.pareto(weighted)
     kept = weighted.join(front.select("sl", "tl"), ["sl", "tl"], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lu
 from ..operators import dictionary, emit, evaluate, filters, language_model, legacy, lexicon, matching, maxent, ngrams
 from ..operators.rules import compile_rules
+from ..sources import readers
 from . import fixtures
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +116,7 @@ def fertility(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE """ + fixtures.SQL + """,
-ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 100 AND bool_or(len(tls) > 1 AND tag IN ('<n>', '<vblex>', '<adj>'))),
+ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 10000 AND bool_or(len(tls) > 1 AND tag IN ('<n>', '<vblex>', '<adj>'))),
 p AS (
   SELECT sent_id, -1 AS pos, '' AS path, 0::BIGINT AS path_id FROM ok
   UNION ALL
@@ -123,7 +124,7 @@ p AS (
   FROM p JOIN units u ON u.sent_id = p.sent_id AND u.pos = p.pos + 1, LATERAL (SELECT unnest(u.tls) AS t, generate_subscripts(u.tls, 1) - 1 AS i) x)
 SELECT p.sent_id, path_id::INT AS path_id, trim(path) AS path FROM p JOIN ok ON p.sent_id = ok.sent_id AND p.pos = ok.last""")
 def path_enumeration(spark, sf_dir):
-    good = filters.enumerable(fixtures.sentences(spark, sf_dir), most=100)
+    good = filters.enumerable(fixtures.sentences(spark, sf_dir))
     return dictionary.paths(good).select("sent_id", "path_id", F.array_join("tls", " ").alias("path"))
 
 
@@ -204,13 +205,13 @@ def topk_tl(spark, sf_dir):
 
 
 @query(_GRAMS + """,
-v AS (SELECT sl, ngram, tl, n AS w FROM k WHERE n >= 2),
+v AS (SELECT sl, ngram, tl, n AS w FROM k),
 tls AS (SELECT DISTINCT sl, tl FROM v), grams AS (SELECT DISTINCT sl, ngram FROM v),
 full_ AS (SELECT tls.sl, tls.tl, grams.ngram, coalesce(v.w, 0) AS w FROM tls JOIN grams USING (sl) LEFT JOIN v ON v.sl = tls.sl AND v.tl = tls.tl AND v.ngram = grams.ngram),
 dom AS (SELECT b.sl, b.tl FROM full_ a JOIN full_ b ON a.sl = b.sl AND a.ngram = b.ngram AND a.tl <> b.tl GROUP BY b.sl, b.tl, a.tl HAVING bool_and(a.w >= b.w) AND bool_or(a.w > b.w))
 SELECT sl, tl, sum(w) AS mass FROM v WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.sl = v.sl AND dom.tl = v.tl) GROUP BY sl, tl""")
 def pareto(spark, sf_dir):
-    return ngrams.pareto(_ngrams(spark, sf_dir, "1").filter("cnt >= 2").withColumnRenamed("cnt", "weight"))
+    return ngrams.pareto(_ngrams(spark, sf_dir, "1").withColumnRenamed("cnt", "weight"))
 
 
 @query(_RULE_SQL + " SELECT DISTINCT sent_id, start::INT AS start, (start + len - 1)::INT AS \"end\", rule_id::INT AS rule_id FROM m")
@@ -362,23 +363,283 @@ def emit_expansion_rules(spark, sf_dir):
 
 @query()
 def maxent_weights(spark, sf_dir):
-    """Context weights by iterative scaling; tested against held distributions."""
+    """Context weights by iterative scaling; tested against an independent solver."""
     o = fixtures.observed(spark, sf_dir)
     words = o.groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sl"))), lambda x: x["sl"]).alias("words"))
     of = o.select("sent_id", "pos").join(words, "sent_id").select("sent_id", "pos", F.explode(ngrams.contexts(F.col("words"), F.col("pos"), 2)).alias("ngram"))
     lex = lexicon.ranked(lexicon.frequencies(o))
     ev = maxent.select_features(maxent.events(o.select("sent_id", "pos", "sl", "tl", F.lit(1.0).alias("w")), of, lex))
-    return maxent.join_lambdas(maxent.train(ev, iterations=50), lex)
+    return maxent.join_lambdas(maxent.train(ev), lex)
+
+
+_LM_SQL = """,
+w AS (SELECT sent_id, pos + 1 AS i, tl AS t FROM obs),
+f AS (SELECT sent_id, i, t FROM w UNION ALL SELECT sent_id, max(i) + 1, '</s>' FROM w GROUP BY sent_id),
+h AS (SELECT sent_id, i, t, coalesce(lag(t) OVER (PARTITION BY sent_id ORDER BY i), '<s>') AS before FROM f),
+u AS (SELECT t, log10(count(*) / (SELECT count(*) FROM f)) AS lp FROM f GROUP BY t),
+b AS (SELECT before, t, count(*) AS n FROM h GROUP BY ALL),
+g AS (SELECT before, t, n, log10((n - 0.5) / sum(n) OVER (PARTITION BY before)) AS lp FROM b),
+k AS (SELECT before, log10(0.5 * count(*) / sum(n)) AS bo FROM g GROUP BY before),
+ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 200),
+c AS (SELECT u.sent_id, u.pos, list_distinct(list_concat([o.tl], u.tls[2:])) AS opts FROM units u JOIN obs o USING (sent_id, pos)),
+s AS (SELECT sent_id, pos, list_sort(opts) AS opts FROM c),
+p AS (
+  SELECT sent_id, -1 AS pos, '<s>' AS prev, 0.0::DOUBLE AS score, 0::BIGINT AS path_id FROM ok
+  UNION ALL
+  SELECT p.sent_id, s.pos, x.t, p.score + coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)), p.path_id * len(s.opts) + x.j
+  FROM p JOIN s ON s.sent_id = p.sent_id AND s.pos = p.pos + 1, LATERAL (SELECT unnest(s.opts) AS t, generate_subscripts(s.opts, 1) - 1 AS j) x
+  LEFT JOIN g ON g.before = p.prev AND g.t = x.t LEFT JOIN k ON k.before = p.prev LEFT JOIN u ON u.t = x.t),
+e AS (
+  SELECT p.sent_id, p.path_id, p.score + coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) AS score
+  FROM p JOIN ok ON p.sent_id = ok.sent_id AND p.pos = ok.last LEFT JOIN g ON g.before = p.prev AND g.t = '</s>' LEFT JOIN k ON k.before = p.prev JOIN u ON u.t = '</s>'),
+r AS (SELECT sent_id, path_id, round(score, 6) AS score FROM e),
+t AS (SELECT *, pow(10, score - max(score) OVER (PARTITION BY sent_id)) AS mass FROM r),
+n AS (SELECT *, mass / sum(mass) OVER (PARTITION BY sent_id) AS prob FROM t)
+SELECT sent_id, path_id::INT AS path_id, score, round(prob, 6) AS prob, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, path_id)::INT AS rank FROM n"""
+
+
+def _bigrams(o: DataFrame) -> DataFrame:
+    """A back-off model of the observed translations, with half a count taken from each pair: ord, ngram, logp, backoff."""
+    framed = o.groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tl"))), lambda x: x["tl"]).alias("w"))
+    framed = framed.select(F.concat(F.array(F.lit("<s>")), "w", F.array(F.lit("</s>"))).alias("w"))
+    pairs = framed.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.struct(F.element_at("w", i - 1).alias("h"), F.element_at("w", i).alias("t")))).alias("x")).select("x.*")
+    n = pairs.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))
+    per = n.groupBy("h").agg(F.sum("n").alias("c"), F.log10(F.lit(0.5) * F.count(F.lit(1)) / F.sum("n")).alias("backoff"))
+    words = n.groupBy("t").agg(F.sum("n").alias("c"))
+    total = words.agg(F.sum("c").alias("all"))  # one row
+    ones = words.crossJoin(F.broadcast(total)).select(F.col("t").alias("ngram"), F.log10(F.col("c") / F.col("all")).alias("logp"))
+    ones = ones.join(per.select(F.col("h").alias("ngram"), "backoff"), "ngram", "full").select(F.lit(1).alias("ord"), "ngram", F.coalesce("logp", F.lit(-99.0)).alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
+    twos = n.join(per.select("h", F.col("c").alias("all")), "h").select(F.lit(2).alias("ord"), F.concat_ws(" ", "h", "t").alias("ngram"), F.log10((F.col("n") - 0.5) / F.col("all")).alias("logp"), F.lit(0.0).alias("backoff"))
+    return ones.union(twos)
+
+
+@query("WITH RECURSIVE " + fixtures.SQL + _LM_SQL)
+def lm_rank(spark, sf_dir):
+    """All paths of sentences with up to 200, the observed word standing for the first translation, scored by a
+    bigram model with back-off counted from the observed words, normalised and ranked."""
+    o = fixtures.observed(spark, sf_dir)
+    units = fixtures.units(spark, sf_dir).join(o.select("sent_id", "pos", "tl"), ["sent_id", "pos"])
+    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 201).select("sent_id")
+    options = F.array_sort(F.array_distinct(F.concat(F.array("tl"), F.slice("tls", 2, F.size("tls")))))
+    sents = units.join(few, "sent_id", "left_semi").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", options.alias("tls")))).alias("lus"))
+    paths = dictionary.paths(sents).withColumn("id", F.struct("sent_id", "path_id"))
+    scored = language_model.sentence_scores(paths.select("id", F.col("tls").alias("words")), _bigrams(o), 2)
+    scored = scored.select("id.sent_id", "id.path_id", F.round("score", 6).alias("score"))
+    return language_model.rank_paths(scored, fractional=True).select("sent_id", "path_id", "score", F.round("prob", 6).alias("prob"), "rank")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t FROM part)
+SELECT k AS segment_id, t || '\\\\' AS sl, 2 AS n_tl, 'a<p/' || k || '>' AS tl_1, t || '\\/y' AS tl_2 FROM p""")
+def lu_split(spark, sf_dir):
+    """Parts with a slash within a tag, an escaped one, and an escaped backslash before a separator."""
+    t = F.lower("p_type")
+    body = F.concat(t, F.lit("\\\\"), F.lit("/a<p/"), F.col("p_partkey").cast("string"), F.lit(">/"), t, F.lit("\\/y"))
+    text = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("segment_id"), F.concat(F.lit("x "), lu.wrap(body), F.lit(" y")).alias("text"))
+    return matching.parse_segments(text).select("segment_id", "sl", F.size("tls").alias("n_tl"), F.element_at("tls", 1).alias("tl_1"), F.element_at("tls", 2).alias("tl_2"))
+
+
+_BIDIX = """, x AS (SELECT DISTINCT sl, split_part(sl, '<', 1) AS lemma, replace(replace(tag, '<', ''), '>', '') AS t, length(sl) % 3 AS m FROM units),
+w AS (SELECT lemma || '<' || t || '><sg>' AS sl, lemma, t, m FROM x)"""
+
+
+@query(_BIDIX + """
+SELECT sl, CASE m WHEN 0 THEN ['@' || sl] WHEN 1 THEN [lemma || '_a<' || t || '><sg>', lemma || '_b<' || t || '><sg>'] ELSE [lemma || '_c<' || t || '><pl>'] END AS full_,
+  CASE m WHEN 0 THEN ['@' || sl] WHEN 1 THEN [lemma || '_a<' || t || '><*>', lemma || '_b<' || t || '><*>'] ELSE [lemma || '_c<' || t || '><pl>'] END AS short,
+  CASE m WHEN 0 THEN sl WHEN 1 THEN lemma || '<' || t || '><*>' ELSE lemma || '<' || t || '><*>' END AS short_sl
+FROM w""")
+def bidix_lookup(spark, sf_dir):
+    """Translations by the longest prefix of a word's tags, with the tags passed on, and trimmed to what the entries hold."""
+    u = fixtures.units(spark, sf_dir).select("sl").distinct()
+    lemma, t, m = lu.lemma(F.col("sl")), lu.first_tag(F.col("sl")), F.length("sl") % 3
+    words = u.select(lemma.alias("lemma"), t.alias("t"), m.alias("m"))
+    row = lambda tags, tl, out: F.struct(tags.alias("sl_tags"), F.concat("lemma", F.lit(tl)).alias("tl_lemma"), out.alias("tl_tags"))
+    one, both = F.array("t"), F.array("t", F.lit("sg"))
+    # an entry without tags holds for all words of its lemma and loses against longer ones
+    entries = F.when(F.col("m") == 1, F.array(row(one, "_a", one), row(one, "_b", one), row(F.array().cast("array<string>"), "_d", one))).when(F.col("m") == 2, F.array(row(one, "_a", one), row(both, "_c", F.array("t", F.lit("pl")))))
+    bidix = words.filter("m > 0").select(F.col("lemma").alias("sl_lemma"), F.explode(entries).alias("e")).select("sl_lemma", "e.*").distinct()
+    tokens = words.select(F.lit(1).alias("sent_id"), lu.token(F.col("lemma"), F.array("t", F.lit("sg"))).alias("sl"))
+    full = dictionary.expand(tokens, bidix).select("sl", F.col("tls").alias("full_"))
+    short = dictionary.expand(tokens.withColumn("own", F.col("sl")), bidix, trim=True)
+    return full.join(short.select(F.col("own").alias("sl"), F.col("tls").alias("short"), F.col("sl").alias("short_sl")), "sl")
+
+
+@query(""", n AS (SELECT sent_id FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 60),
+m AS (SELECT *, len(tls) AS k, product(len(tls)) OVER (PARTITION BY sent_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / len(tls) AS below, product(len(tls)) OVER (PARTITION BY sent_id) AS total FROM units JOIN n USING (sent_id))
+SELECT sl, tls[1 + floor(p / below)::BIGINT % k] AS tl, round(sum((p % 7 + 1) / 10.0), 6) AS freq
+FROM m, LATERAL (SELECT unnest(range(0, total::BIGINT)) AS p) WHERE k > 1 GROUP BY ALL""")
+def fractional_lexicon(spark, sf_dir):
+    """Ambiguous sentences and their weighted paths: each path adds its share to the translations that it chose."""
+    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 61).select("sent_id", "lus")
+    paths = dictionary.paths(few)
+    chosen = F.transform("tls", lambda t, i: F.struct(i.alias("pos"), F.lit(" ").alias("blank"), F.lit("").alias("sl"), F.array(t).alias("tls")))
+    annotated = paths.select("sent_id", "path_id", chosen.alias("lus"), ((F.col("path_id") % 7 + 1) / 10).alias("frac"))
+    pairs = lexicon.fractional_pairs(few, annotated)
+    return lexicon.frequencies(pairs, F.col("frac")).withColumn("freq", F.round("freq", 6))
 
 
-@query()
-def lm_rank(spark, sf_dir):
-    """Paths of short sentences, scored by a bigram table counted from the observed words, and ranked."""
+@query(""", f AS (SELECT sl, tl, count(*)::DOUBLE AS freq FROM obs GROUP BY sl, tl),
+r AS (SELECT *, row_number() OVER (PARTITION BY sl ORDER BY freq DESC, tl) AS n FROM f WHERE freq >= 3)
+SELECT lower(sl) AS sl, lower(tl) AS tl, freq, n = 1 AS is_default, (n - 1)::INT AS tl_idx FROM r""")
+def lexicon_round_trip(spark, sf_dir):
+    """A lexicon written as lines and read again, with a least frequency."""
+    rows = lexicon.lexicon_lines(lexicon.ranked(lexicon.frequencies(fixtures.observed(spark, sf_dir))))
+    lines = rows.select((F.xxhash64("sl").bitwiseAND(F.lit(0xFFFFFFFF)) * 1000 + F.col("tl_idx")).alias("line_no"), "value")
+    return readers.frequency_lexicon(lines, min_freq=3, lower=True)
+
+
+@query(""" SELECT u.sent_id, u.sent_id || chr(9) || string_agg('^' || u.sl || '/' || array_to_string(u.tls, '/') || '$', ' ' ORDER BY u.pos) AS biltrans, string_agg('^' || u.sl || '$', ' ' ORDER BY u.pos) AS tagger FROM units u GROUP BY u.sent_id""")
+def unit_lines(spark, sf_dir):
+    """Sentences as numbered lines of LUs, and as plain lines of their sources."""
+    s = fixtures.sentences(spark, sf_dir)
+    full, short = readers.unit_lines(s, numbered=True), readers.unit_lines(s, source_only=True)
+    return full.withColumnRenamed("value", "biltrans").join(short.withColumnRenamed("value", "tagger"), "sent_id")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS a, lower(p_name) AS b FROM part)
+SELECT k AS line_no, k || chr(9) || '^' || replace(replace(b, ' ', '$ ^') || '$ ^' || replace(a, ' ', '~') || '$', '~', ' ') AS value, (len(string_split(a, ' ')))::INT AS n_sl FROM p""")
+def candidate_lines(spark, sf_dir):
+    """Candidate blocks with stray lines between them: LUs of the second line, and the parsed blocks' sources."""
+    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower("p_type").alias("a"), F.lower("p_name").alias("b"))
+    tilde = F.translate("a", " ", "~")
+    head = F.concat(F.col("k").cast("string"), F.lit("\t"))
+    as_units = lambda c: F.concat(F.lit("^"), F.replace(c, F.lit(" "), F.lit("<n>$ ^")), F.lit("<n>$"))
+    block = F.array(F.concat(head, as_units(F.col("a"))), F.concat(head, "b", F.lit(" "), tilde), F.concat(head, as_units(F.col("b"))), F.concat(head, F.lit("0-0")), F.when(F.col("k") % 5 == 0, F.lit("stray")), F.lit("-" * 20))
+    lines = part.select("k", F.posexplode(F.array_compact(block)).alias("i", "value")).select((F.col("k").cast("long") * 10 + F.col("i")).alias("line_no"), "value")
+    blocks = readers.candidate_blocks(lines).select("line_no", F.size("sl").alias("n_sl"))
+    return readers.candidate_biltrans(lines).join(blocks, "line_no")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, replace(lower(p_type), ' ', '<b/>') AS a FROM part),
+d AS (SELECT *, k // 3 AS g FROM p), z AS (SELECT g, a AS da, k AS dk FROM d WHERE k % 3 = 0),
+r AS (SELECT DISTINCT da AS a, dk FROM d JOIN z USING (g) WHERE k % 3 > 0)
+SELECT a || '<s n="n"/>' AS source, 't' || dk || '<s n="adj"/>' AS target, '<rule><match lemma="' || replace(a, '<b/>', ' ') || '" tags="n.*"><select lemma="t' || dk || '" tags="adj.*"/></match></rule>' AS rule FROM r""")
+def bidix_slr_rules(spark, sf_dir):
+    """Every third entry is a default; the two behind it repeat its source, with slr 1, beside entries of other sources."""
+    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("<b/>")).alias("a"))
+    g = part.select(F.floor(F.col("k") / 3).alias("g"), (F.col("k") % 3).alias("m"), "k", "a")
+    first = g.filter("m = 0").select("g", F.col("a").alias("da"))
+    met = g.join(first, "g", "left").withColumn("s", F.coalesce("da", F.concat(F.lit("none"), "a")))
+    entry = lambda attrs, s, t: F.concat(F.lit("<e "), attrs, F.lit("><p><l>"), s, F.lit('<s n="n"/></l><r>'), t, F.lit('<s n="adj"/></r></p></e>'))
+    name = F.concat(F.lit("t"), F.col("k").cast("string"))
+    own = entry(F.when(F.col("m") == 0, F.lit('c="0"')).otherwise(F.lit('slr="1"')), F.col("s"), name)
+    other = entry(F.lit('slr="1"'), F.concat(F.lit("other"), "s"), name)
+    lines = met.select(F.posexplode(F.array(own, other)).alias("i", "value"), "k").select((F.col("k") * 2 + F.col("i")).alias("line_no"), "value")
+    return emit.bidix_default_rules(emit.bidix_entries(lines), slr=True)
+
+
+@query("""WITH u AS (SELECT lower(p_type) AS t, p_partkey AS k FROM part)
+SELECT k, CASE k % 4 WHEN 0 THEN t || '<n><sg><x>' WHEN 1 THEN 'W' || k || '<n><sg>' WHEN 2 THEN '*' || t ELSE t || k || '<np><b>' END AS cand, CASE k % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 END AS shared FROM u""")
+def tag_overlap(spark, sf_dir):
+    """Of a lemma's dictionary entries the one that shares most tags; names keep their case, unknown words stay."""
+    part = fixtures.table(spark, sf_dir, "part").select(F.lower("p_type").alias("t"), F.col("p_partkey").alias("k"))
+    k = F.col("k").cast("string")
+    sl = F.when(F.col("k") % 4 == 0, F.concat(F.upper("t"), F.lit("<n><sg>"))).when(F.col("k") % 4 == 1, F.concat(F.lit("W"), k, F.lit("<n><sg>"))).when(F.col("k") % 4 == 2, F.concat(F.lit("*"), "t")).otherwise(F.concat("t", k, F.lit("<np><a><b>")))
+    tails = F.array(F.lit("<n><pl>"), F.lit("<n><sg><x>"), F.lit("<vblex><sg>"))
+    common = part.filter("k % 4 = 0").select(F.col("t").alias("lemma"), F.explode(F.transform(tails, lambda x: F.concat("t", x))).alias("cand"))
+    names = part.filter("k % 4 = 3").select(F.concat("t", k).alias("lemma"), F.concat("t", k, F.lit("<np><b>")).alias("cand"))
+    words = part.withColumn("sl", sl)
+    found = dictionary.most_overlap(words, common.union(names).distinct())
+    # a name shares np and b
+    return words.join(found, "sl").select("k", "cand", (F.col("shared") - F.when(F.col("k") % 4 == 3, 1).otherwise(0)).alias("shared"))
+
+
+@query(""", a AS (SELECT sent_id, pos, list_filter(tls, lambda t: split_part(t, '<', 1) = stem || (pos % 4)) AS hit, tls, sl FROM units JOIN (SELECT sent_id, pos, stem FROM obs) USING (sent_id, pos))
+SELECT sent_id, pos, sl, array_to_string(CASE WHEN len(hit) > 0 THEN hit ELSE tls END, '/') AS kept FROM a""")
+def aligned_choice(spark, sf_dir):
+    """Translations whose lemma is that of an aligned target word; all where none is."""
     o = fixtures.observed(spark, sf_dir)
-    n = o.count()
-    lm = o.groupBy("sl").agg(F.log10(F.count(F.lit(1)) / n).alias("logp")).select(F.lit(1).alias("ord"), F.col("sl").alias("ngram"), "logp", F.lit(0.0).alias("backoff"))
-    s = o.groupBy(F.col("sent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sl"))), lambda x: x["sl"]).alias("words"))
-    return language_model.sentence_scores(s, lm, 2).withColumns({"score": F.round("score", 6), "perplexity": F.round("perplexity", 6)})
+    aligned = o.select("sent_id", "pos", F.concat(F.upper("stem"), (F.col("pos") % 4).cast("string"), F.lit("<x>")).alias("tl"))
+    out = filters.aligned_choice(fixtures.units(spark, sf_dir), aligned)
+    return out.select("sent_id", "pos", "sl", F.array_join("tls", "/").alias("kept"))
+
+
+@query(""", e AS (SELECT DISTINCT sl, CASE WHEN pos % 3 = 0 THEN tls[1] WHEN pos % 3 = 1 THEN split_part(sl, '<', 1) || '_new' || tag ELSE 'y<zz>' END AS tl, tag FROM units)
+SELECT sl, tl, '<e><p><l>' || replace(split_part(sl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></l><r>' || replace(split_part(tl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></r></p></e>' AS value
+FROM e WHERE contains(tl, '_new')""")
+def missing_entries(spark, sf_dir):
+    """Aligned pairs that agree in their first tag and that no unit offers, as dictionary lines."""
+    u = fixtures.units(spark, sf_dir)
+    tag = F.regexp_extract("sl", "(<.*>)", 1)
+    tl = F.when(F.col("pos") % 3 == 0, F.element_at("tls", 1)).when(F.col("pos") % 3 == 1, F.concat(lu.lemma(F.col("sl")), F.lit("_new"), tag)).otherwise(F.lit("y<zz>"))
+    return emit.dictionary_entries(filters.missing_entries(u.select("sl", tl.alias("tl")), u))
+
+
+#: Wildcards: any lemma with tags, one tag, any tags; several operations in one word.
+WILD = compile_rules(
+    """<rules>
+  <rule weight="2.0"><match lemma="*" tags="n.?"/><match tags="adj.+"><select suffix=".t1" tags="adj.*"/></match></rule>
+  <rule weight="1.0"><match lemma="promo" tags="*"><remove lemma="*" contains=".t0" tags="*"/><remove contains=".t2"/></match></rule>
+</rules>""".replace('lemma="*" contains=', "contains=")
+)
+
+
+@query(""", v AS (SELECT sent_id, pos, split_part(sl, '<', 1) AS lemma, tag, tls, lag(tag) OVER (PARTITION BY sent_id ORDER BY pos) AS before FROM units),
+d AS (SELECT *, CASE WHEN len(tls) = 1 THEN tls
+    WHEN tag = '<adj>' AND before = '<n>' AND len(tls) > 1 THEN tls[2:2]
+    WHEN lemma = 'promo' AND len(tls) = 2 THEN tls[2:2] WHEN lemma = 'promo' AND len(tls) = 3 THEN tls[2:2] ELSE tls END AS kept FROM v)
+SELECT sent_id, pos, array_to_string(kept, '/') AS kept FROM d""")
+def rule_wildcards(spark, sf_dir):
+    """Words get a second tag, so that ?, + and * in tags have something to match."""
+    lus = _lus(spark, sf_dir)
+    more = lus.withColumns({"sl": F.concat("sl", F.lit("<sg>")), "tls": F.transform("tls", lambda t: F.concat(t, F.lit("<sg>")))})
+    out = matching.apply_rules(more, WILD)
+    return out.select(F.col("segment_id").alias("sent_id"), "pos", F.regexp_replace(F.array_join("tls", "/"), "<sg>", "").alias("kept"))
+
+
+@query(_RULE_SQL + """,
+t AS (SELECT u.sent_id, u.pos, u.sl, u.tls, x.* FROM units u JOIN (
+    SELECT sent_id, pos, 0 AS step, 'select' AS op, 3.0::DOUBLE AS weight, 1 AS n_keep FROM s WHERE part = '.t1' AND op = 'select' AND score = 3.0) x USING (sent_id, pos) WHERE len(u.tls) > 1)
+SELECT sent_id, pos, step, op, weight, sl, n_keep, tls[2] AS tl FROM t
+UNION ALL SELECT u.sent_id, u.pos, 0, 'remove', 0.5::DOUBLE, u.sl, (len(u.tls) - 1)::INT, u.tls[2] FROM units u JOIN s USING (sent_id, pos)
+WHERE s.op = 'remove' AND s.part = '.t1' AND u.pos > 0 AND len(u.tls) > 1""")
+def rule_trace(spark, sf_dir):
+    """The steps of the decisions for one word, of which one rule ends at the first step."""
+    out = matching.trace_rules(_lus(spark, sf_dir), RULES).filter(lu.lemma(F.col("sl")) == "standard")
+    return out.withColumnRenamed("segment_id", "sent_id").filter("step = 0")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t, p_name AS n FROM part)
+SELECT k, replace(t, ' ', '~') || '<n>' AS stripped, replace(n, ' ', '') AS joined, 'a\-b\(' || n || '\) &amp; c' AS escaped, t || '#x y' AS cleaned, t AS trimmed, 'n.m.*' AS path, CASE WHEN k % 2 = 0 THEN k * 1.5 ELSE 0 END::DOUBLE AS number FROM p""")
+def text_functions(spark, sf_dir):
+    """Small text functions: stripping, escaping, markup, trimming, numbers."""
+    k, t, n = F.col("p_partkey"), F.lower("p_type"), F.col("p_name")
+    part = fixtures.table(spark, sf_dir, "part")
+    pair = F.concat(F.lit("x<adj>/"), t, F.lit("<n><sg>"))
+    line = F.concat(F.lit("[b] "), F.concat(F.lit("^"), n, F.lit("$")))
+    return part.select(
+        k.alias("k"), lu.strip_tags(pair, 1).alias("stripped"), F.replace(F.array_join(lu.tilde_words(line), " "), F.lit("~"), F.lit("")).alias("joined"),
+        lu.rule_escape(F.concat(F.lit("a-b("), n, F.lit(")~&~c"))).alias("escaped"), lu.clean_side(F.concat(F.replace(t, F.lit(" "), F.lit("<b/>")), F.lit('<g>x<b/>y</g><s n="n"/>'))).alias("cleaned"),
+        lu.trimmed_word(F.concat(F.lit(" *"), t, F.lit("\t"))).alias("trimmed"), lu.side_path(F.concat(t, F.lit('<s n="n"/><s n="m"/>'))).alias("path"),
+        lu.safe_double(F.when(k % 2 == 0, (k * 1.5).cast("string")).when(k % 3 == 0, "NaN").otherwise("no number")).alias("number"),
+    )
+
+
+@query(_GRAMS + """ SELECT printf('%.10f', n) || chr(9) || ngram || chr(9) || sl || chr(9) || tl AS value FROM k""")
+def ngram_text(spark, sf_dir):
+    return ngrams.ngram_lines(_ngrams(spark, sf_dir, "1"))
+
+
+@query(""", s AS (SELECT sent_id, list(sl ORDER BY pos) AS w FROM obs GROUP BY sent_id)
+SELECT o.sent_id, o.pos, CASE WHEN o.pos >= 1 THEN array_to_string(w[o.pos:o.pos + 1], ' ') ELSE CASE WHEN len(w) = 1 THEN w[1] ELSE '' END END AS before_,
+  array_to_string(w[o.pos + 1:o.pos + 2], ' ') AS after_, CASE WHEN o.pos >= 1 THEN array_to_string(w[o.pos:o.pos + 2], ' ') ELSE CASE WHEN len(w) <= 2 THEN w[len(w)] ELSE '' END END AS around
+FROM obs o JOIN s USING (sent_id)""")
+def edge_contexts(spark, sf_dir):
+    """Contexts as list slices give them at the edges of a sentence: wrapped or empty on the left, shortened on the right."""
+    o = fixtures.observed(spark, sf_dir)
+    s = o.groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sl"))), lambda x: x["sl"]).alias("words"))
+    c = ngrams.contexts(F.col("words"), F.col("pos"), 2, parity=True)
+    met = o.join(s, "sent_id").withColumn("c", c)
+    return met.select("sent_id", "pos", F.col("c")[0].alias("before_"), F.col("c")[1].alias("after_"), F.col("c")[2].alias("around"))
+
+
+@query(""", t AS (SELECT DISTINCT unnest(tls) AS tl FROM units WHERE len(tls) > 1), c AS (SELECT lower(p_type) || '.t' || (p_partkey % 4) || '<' || (['n', 'vblex', 'adj', 'pr'])[length(p_type) % 4 + 1] || '>' AS tl FROM part)
+SELECT tl, count(*) AS freq FROM c WHERE tl IN (SELECT tl FROM t) GROUP BY tl""")
+def target_counts(spark, sf_dir):
+    """Counts, in a target corpus, of the translations of ambiguous words only."""
+    lemma = F.lower("p_type")
+    tag = F.element_at(F.array(F.lit("n"), F.lit("vblex"), F.lit("adj"), F.lit("pr")), (F.length(lemma) % 4 + 1).cast("int"))
+    corpus = fixtures.table(spark, sf_dir, "part").select(F.concat(lemma, F.lit(".t"), (F.col("p_partkey") % 4).cast("string"), F.lit("<"), tag, F.lit(">")).alias("tl"))
+    return lexicon.target_analysis_counts(fixtures.units(spark, sf_dir), corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
