@@ -4,20 +4,22 @@ A text is the sequence of its lines' ids. Lines whose id occurs once in the corp
 document's end does; the maximal stretches between them are the segments whose suffixes are sorted.
 
 1. Prefix doubling: at level k a suffix has a rank that orders the first 2**k lines. The pair of ranks at
-   p and p + 2**k gives level k + 1: distinct pairs are sorted by range over all tasks, and a pair's place in
-   that order is its rank. Doubling ends when a level splits no class further; then equal ranks are equal
-   suffixes, and the ranks are the suffix array's order.
+p and p + 2**k gives level k + 1: distinct pairs are sorted by range over all tasks, and a pair's place in
+that order is its rank. A suffix alone with its rank shares 2**k lines with no other and is left out from there on;
+suffixes that end within their 2**k lines and have one rank are equal as a whole, and settled. Doubling ends when none is
+left.
 2. The suffixes of one rank at level k are an interval of the suffix array whose common prefix is 2**k lines
-   or more. Each level keeps the first place (document, line) of every interval. For a suffix p, let k be the
-   deepest level whose interval holds an earlier place, and t the first place there.
+or more. Each level keeps the first place (document, line) of every interval. A settled suffix that is not its
+interval's first shares all its lines. For another suffix p, let k be the
+deepest level whose interval holds an earlier place, and t the first place there.
 3. No earlier place shares 2**(k + 1) lines with p. The greatest length that one shares is found by descending
-   the levels below k: the suffixes of an interval of m common lines, p and those like it and the interval's
-   first, fall apart by their ranks at level j behind these m lines. Where several agree, all but the
-   first of them have an earlier place with m + 2**j lines and go on in that smaller interval, the first is held
-   in both. A suffix left out shares no more with p than one that is held. That is the maximal
-   repeated run from p on, over all earlier places. It counts if its lines have ``min_words`` words or more.
+the levels below k: the suffixes of an interval of m common lines, p and those like it and the interval's
+first, fall apart by their ranks at level j behind these m lines. Where several agree, all but the
+first of them have an earlier place with m + 2**j lines and go on in that smaller interval, the first is held
+in both. A suffix left out shares no more with p than one that is held. That is the maximal
+repeated run from p on, over all earlier places. It counts if its lines have ``min_words`` words or more.
 4. The lines of runs that count are deleted: each stands earlier in the corpus too, in the same company. The
-   first copy stays.
+first copy stays.
 
 DataFrame functions only. Hot lines: distinct pairs are aggregated before any shuffle, joins may split a
 large key, windows run over one document's segment or one range of the suffix array.
@@ -53,15 +55,15 @@ def _place() -> Column:
 
 
 def _ranked(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct ``by`` with a rank that follows their global order, and the first and the last place of each."""
-    distinct = pairs.groupBy(*by).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+    """Distinct ``by`` that two places or more have, with a rank that follows their global order, and the first place."""
+    distinct = pairs.groupBy(*by).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first < last").drop("last")
     return written(distinct.orderBy(*[F.col(c).asc_nulls_first() for c in by]).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """d, h, p of every line to delete."""
     lines = written(_lines(docs), "lines")
-    ids = _ranked(lines, ["id", "id2"], "ids").filter("first < last")
+    ids = _ranked(lines, ["id", "id2"], "ids")
     # rows equal in doc_id and text have their lines at the same places: one of them is left
     active = lines.join(ids.select("id", "id2", "rank", "first"), ["id", "id2"])
     active = active.repartition("d", "h").dropDuplicates(["d", "h", "p"])
@@ -73,31 +75,34 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     active = active.withColumn("left", F.count(F.lit(1)).over(segment) - (F.col("p") - F.min("p").over(segment))).withColumn("upto", upto.cast("long"))
     active = active.withColumn("words_left", F.sum("w").over(segment) - F.col("upto") + F.col("w"))
     base = written(active.select("d", "h", "p", "s", "left", "w", "upto", "words_left", "rank", "first"), "active")
-    now, classes, length, levels = base, base.select("rank").distinct().count(), 1, [base]
-    while classes:
-        w = Window.partitionBy("d", "h", "s").orderBy("p")
-        pairs = now.select("d", "h", "p", "s", "left", F.col("rank").alias("r1"), F.lead("rank", length).over(w).alias("r2"))
+    now, length, levels, settled = base.select("d", "h", "p", "left", "rank", "first"), 1, [base.select("d", "h", "p", "left", "rank", "first")], []
+    while True:
+        behind = Window.partitionBy("d", "h").orderBy("p").rangeBetween(length, length)
+        pairs = now.select("d", "h", "p", "left", F.col("rank").alias("r1"), F.when(F.col("left") > length, F.max("rank").over(behind)).alias("r2"))
+        pairs = pairs.filter((F.col("left") <= length) | F.col("r2").isNotNull())  # else alone with its pair
         ranks = _ranked(pairs, ["r1", "r2"], "ranks")
-        found = ranks.count()
-        if found == classes:
-            break
         at = (pairs["r1"] == ranks["r1"]) & pairs["r2"].eqNullSafe(ranks["r2"])
-        now = written(pairs.join(ranks, at).select("d", "h", "p", "s", "left", "rank", "first"), "level")
-        classes, length = found, 2 * length
+        met = written(pairs.join(ranks, at).select("d", "h", "p", "left", "rank", "first"), "level")
+        ended = met.filter((F.col("left") <= length) & (_place() > F.col("first")))
+        settled.append(ended.select("d", "h", "p", F.col("left").cast("long").alias("m")))
+        now, length = met.filter(F.col("left") > length), 2 * length
+        if now.isEmpty():
+            break
         levels.append(now.filter(F.col("left") >= length))
 
-    # for each suffix the deepest interval with an earlier place, and its first place
-    later = [x.filter(_place() > F.col("first")).select("d", "h", "p", "left", F.lit(k).alias("k"), "first") for k, x in enumerate(levels)]
-    deepest = reduce(DataFrame.union, later).groupBy("d", "h", "p").agg(F.max("left").alias("left"), F.max(F.struct("k", "first")).alias("x"))
+    # for each other suffix the deepest interval with an earlier place, and its first place
+    later = [x.filter(_place() > F.col("first")).select("d", "h", "p", F.lit(k).alias("k"), "first") for k, x in enumerate(levels)]
+    whole = reduce(DataFrame.union, settled)
+    deepest = reduce(DataFrame.union, later).groupBy("d", "h", "p").agg(F.max(F.struct("k", "first")).alias("x")).join(whole.select("d", "h", "p"), ["d", "h", "p"], "left_anti")
     # a run of too few words to its segment's end counts neither here nor for a suffix that shares it
-    start = base.select("d", "h", "p", (F.col("upto") - F.col("w")).alias("words_before"), "words_left").filter(F.col("words_left") >= min_words)
-    met = deepest.join(start.drop("words_left"), ["d", "h", "p"]).select("d", "h", "p", "left", "x.k", F.struct(*[F.col(f"x.first.{c}").alias(c) for c in "dhp"]).alias("t"), "words_before")
-    last = len(levels) - 1  # ranks there are those of whole suffixes
-    met = written(met.withColumn("m", F.when(F.col("k") == last, F.col("left").cast("long")).otherwise(F.expr("shiftleft(1L, k)"))), "met")
+    start = base.select("d", "h", "p", (F.col("upto") - F.col("w")).alias("words_before"), "words_left").filter(F.col("words_left") >= min_words).drop("words_left")
+    met = deepest.join(start, ["d", "h", "p"]).select("d", "h", "p", "x.k", F.struct(*[F.col(f"x.first.{c}").alias(c) for c in "dhp"]).alias("t"), "words_before")
+    met = written(met.withColumn("m", F.expr("shiftleft(1L, k)")), "met")
     cols = ["d", "h", "p", "words_before", "t", "m"]
-    runs = [met.filter((F.col("k") == last) | (F.col("k") == 0)).select(*cols)]
+    done = whole.join(start, ["d", "h", "p"]).select("d", "h", "p", "words_before", "m")
+    runs = [done, met.filter(F.col("k") == 0).select("d", "h", "p", "words_before", "m")]
     state = None
-    for j in range(last - 2, -1, -1):
+    for j in range(len(levels) - 2, -1, -1):
         own = met.filter(F.col("k") == j + 1).select(*cols)
         firsts = own.select("t", "m").distinct().select("t.d", "t.h", "t.p", F.lit(None).cast("long").alias("words_before"), "t", "m")
         state = reduce(DataFrame.union, [own, firsts] if state is None else [state, own, firsts])
@@ -111,7 +116,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         state = asked.filter("r is null").select(*cols).union(moved.select("d", "h", "p", "words_before", "x.t", "x.m"))
         state = written(state, "state")
     if state is not None:
-        runs.append(state.filter(_place() > F.col("t")))
+        runs.append(state.filter(_place() > F.col("t")).select("d", "h", "p", "words_before", "m"))
     met = reduce(DataFrame.union, runs)
 
     # words of the run [p, p + m): running sums at its ends
