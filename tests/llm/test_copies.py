@@ -312,6 +312,48 @@ def test_leaks_in_texts_that_end_in_blanks(spark):
     assert words == [["a", "b"], [], []]
 
 
+def test_multi_index(spark):
+    """All fingerprints within the radius are found, no others; and leaks of a similarity of 0.8 are within it."""
+    rng = np.random.default_rng(4)
+    items = rng.integers(-(2**63), 2**63, 20, dtype="i8")
+    rows = []
+    for n in range(3000):
+        i = int(rng.integers(20))
+        fp = int(items[i].view("u8"))
+        for b in rng.choice(64, int(rng.integers(0, 64)), replace=False):
+            fp ^= 1 << int(b)
+        rows.append((n, i, int(np.uint64(fp).view("i8"))))
+    far = [(3000 + n, int(rng.integers(20)), int(x)) for n, x in enumerate(rng.integers(-(2**63), 2**63, 3000, dtype="i8"))]
+    prints = spark.createDataFrame(rows + far, "n int, item_id int, fp long")
+    named = spark.createDataFrame([(k, int(x)) for k, x in enumerate(items)], "item_id int, item_fp long")
+    for radius in (7, 15, 23):
+        got = {(r.n, r.differing_bits) for r in decontamination.within(prints, named, radius).collect()}
+        bits = {n: int(np.bitwise_count(np.int64(fp).view("u8") ^ items[i].view("u8"))) for n, i, fp in rows + far}
+        assert got == {(n, b) for n, b in bits.items() if b <= radius}
+        assert sum(n >= 3000 for n, _ in got) < {7: 1, 15: 10, 23: 120}[radius]  # of 3000 others
+
+
+def test_fingerprints_of_leaks_are_near():
+    """Recall of the radius on windows with a similarity of 0.8 to 1 to their item, against exact search."""
+    rng = random.Random(12)
+    lost, n = 0, 0
+    grams = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    def fp(w):
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams(w)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    for _ in range(400):
+        item = [f"w{rng.randrange(500)}" for _ in range(rng.randint(30, 80))]
+        window = list(item)
+        window[rng.choice([0, 1, len(item) // 2, len(item) - 1])] = "changed"
+        a, b = grams(item), grams(window)
+        if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8:
+            n += 1
+            lost += (fp(item) ^ fp(window)).bit_count() > 23
+    assert n > 300 and lost == 0
+
+
 def test_simhash_votes(spark):
     h = [xxhash.xxh64_intdigest(str(i).encode(), 1) for i in range(13)]
     df = spark.createDataFrame([(int(np.uint64(x).astype("<i8")),) for x in h], "shingle long")

@@ -2,19 +2,23 @@
 
 Windows of an item's own size slide over a document; a window with its item's content is a leak.
 
-1. Shingles (five words; of an item with fewer words, all of them) of every whole document meet those of the
-   items. A window can only be similar to an item with which it shares shingles, and a window that starts at
-   a shared shingle, or as late as the document allows, shares as many as any: these are the windows. Those
-   that hold too few shared positions to reach the similarity at all are passed over, without loss.
-2. The windows and the items get SimHash fingerprints: 64 votes over all shingles of a window.
-3. Multi-index: 64 bits fall into radius + 1 blocks. Two fingerprints within the radius agree on a whole
-   block, so joining on (item, block, value) finds every window within the radius of its item.
-4. The exact weighted similarity of the multisets of shingles, sum of minima over sum of maxima, decides:
-   ``similarity`` or more is a leak. The radius of 24 is wide: at a similarity of 0.8 fingerprints differ
-   in about 10 bits with a deviation of 3.
+1. A similarity of s needs s of an item's m shingles (five words; of an item with fewer words, all of them), so a
+window lacks fewer than m - ceil(s m) + 1 of them: of each item so many, those that fewest items share, are its
+anchors, and only a document that has an anchor can leak the item. This passes over nothing.
+2. For these pairs of document and item all shared shingles are placed. A window that starts at a shared
+shingle, or as late as the document allows, shares as many as any: these are the windows. Those with under
+half of the shared positions that the similarity needs are passed over, without loss.
+3. The windows and the items get SimHash fingerprints: 64 votes over all shingles of a window.
+4. Multi-index: 64 bits fall into BLOCKS blocks. Of two fingerprints within the radius one block differs in at
+most radius // BLOCKS bits, so an item is entered under all values so near to its own, and joining on (item, block,
+value) finds every window within the radius of its item; most others are pruned.
+5. The exact weighted similarity of the multisets of shingles, sum of minima over sum of maxima, decides:
+``similarity`` or more is a leak. The radius of 23 is wide: at a similarity of 0.8 fingerprints differ
+in about 10 bits with a deviation of 3.
 
 DataFrame functions only. Items' shingles are broadcast up to BROADCAST_SHINGLES rows, keys of documents
-with windows up to BROADCAST_DOCUMENTS; beyond that they are joined by a shuffle. Items of equal text are one item, the smallest id stands for them, so copies of an item add nothing.
+with windows up to BROADCAST_DOCUMENTS; beyond that they are joined by a shuffle. Items of equal text are one item,
+the smallest id stands for them, so copies of an item add nothing.
 
 Words are separated by blanks, letters count as lower case. Defined cases: items without id or words take no part;
 null and empty documents have no windows; a document shorter than an item is one window; rows equal in
@@ -24,6 +28,7 @@ read whole; empty tables give no rows; other columns are not read."""
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ BROADCAST_SHINGLES = 1_000_000
 #: Keys of so many documents, 16 bytes each, are broadcast to filter the texts; more by a shuffle.
 BROADCAST_DOCUMENTS = 1_000_000
 LANES = 32
+#: Blocks of a fingerprint.
+BLOCKS = 8
 
 
 def plain_words(text: Column) -> Column:
@@ -62,12 +69,28 @@ def simhash() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """(block, value) of the radius + 1 blocks of a fingerprint."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    value = lambda a, b: F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    return F.array(*[F.struct(F.lit(i).alias("block"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def blocks(fp: str) -> Column:
+    """(block, value) of a fingerprint's blocks."""
+    width = 64 // BLOCKS
+    value = lambda i: F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*[F.struct(F.lit(i).alias("block"), value(i).alias("value")) for i in range(BLOCKS)])
+
+
+def near_values(fp: str, radius: int) -> Column:
+    """(block, value) of all values within radius // BLOCKS bits of those of a fingerprint's blocks."""
+    width = 64 // BLOCKS
+    flips = [sum(1 << i for i in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(width), n)]
+    flip = F.array(*[F.lit(x).cast("long") for x in flips])
+    return F.flatten(F.transform(blocks(fp), lambda b: F.transform(flip, lambda x: F.struct(b["block"].alias("block"), b["value"].bitwiseXOR(x).alias("value")))))
+
+
+def within(prints: DataFrame, item_prints: DataFrame, radius: int) -> DataFrame:
+    """prints (item_id, fp, …), item_prints (item_id, item_fp) -> prints with differing_bits, those within the radius of
+    their item."""
+    index = item_prints.select("item_id", "item_fp", F.explode(near_values("item_fp", radius)).alias("x")).select("item_id", "item_fp", "x.*")
+    met = prints.select(*prints.columns, F.explode(blocks("fp")).alias("x")).select(*prints.columns, "x.*").join(index, ["item_id", "block", "value"])
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    return met.withColumn("differing_bits", bits).filter(F.col("differing_bits") <= radius).select(*prints.columns, "differing_bits").distinct()
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -82,26 +105,39 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return one.select("item_id", n.alias("n"), F.least(n, F.lit(5)).alias("k"), shingles(F.col("words"), F.least(n, F.lit(5))).alias("shingles"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
-    """For each leaking document and item its most similar window: doc_id, item_id, start (word), n_words,
-    shared and total weight of shingles, similarity, differing_bits."""
+def anchors(spread: DataFrame, similarity: float) -> DataFrame:
+    """Of each item the shingles that fewest items share, as many as no window of the similarity can lack."""
+    shared = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("items")).select(F.col("shingle").alias("of"), "items")
+    order = Window.partitionBy("item_id").orderBy("items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("times").over(order), F.lit(0))
+    ranked = spread.join(shared, F.col("shingle") == F.col("of")).withColumn("before", before)
+    return ranked.filter(F.col("before") <= F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9)).select("item_id", "k", "shingle")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23) -> DataFrame:
+    """For each leaking document and item its most similar window: doc_id, item_id, start (word), h, n_shingles, shared
+    and total weight of shingles, similarity, differing_bits."""
     items = written(items_of(benchmark), "items")
     spread = written(items.select("item_id", "n", "k", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")).groupBy("item_id", "n", "k", "m", "shingle").agg(F.count(F.lit(1)).alias("times")), "shingles")
     small = spread.count() <= BROADCAST_SHINGLES
     sized = [r.k for r in items.select("k").distinct().collect()]  # 1 to 5
     maybe = lambda df: F.broadcast(df) if small else df
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    rare = anchors(spread, similarity)
 
     def positions(k: int, df: DataFrame) -> DataFrame:
         both = bind(plain_words(F.col("text")), lambda w: F.struct(F.size(w).alias("w"), shingles(w, F.lit(k)).alias("s")))
-        return df.withColumn("x", both).withColumn("size", F.col("x.w"))
-
-    hits = None
-    for k in sized or [5]:
-        own = positions(k, texts).select("doc_id", "h", "size", F.posexplode("x.s").alias("p", "shingle"))
-        own = own.join(maybe(spread.filter(F.col("k") == k)), "shingle").select("doc_id", "h", "size", "p", "shingle", "item_id", "n", "k", "m", "times")
-        hits = own if hits is None else hits.union(own)
-    hits = written(hits.dropDuplicates(["doc_id", "h", "p", "item_id"]), "hits")
+        return df.withColumn("x", both).select("doc_id", "h", F.lit(k).alias("k"), F.col("x.w").alias("size"), F.col("x.s").alias("s"))
+
+    pairs = [positions(k, texts).select("doc_id", "h", F.explode("s").alias("shingle")).join(maybe(rare.filter(F.col("k") == k).drop("k")), "shingle").select("doc_id", "h", "item_id") for k in sized or [5]]
+    pairs = written(reduce(DataFrame.union, pairs).distinct(), "pairs")
+    wanted = pairs.select(F.col("doc_id").alias("w_doc"), F.col("h").alias("w_h")).distinct()
+    found = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("h") == F.col("w_h")), "left_semi").dropDuplicates(["doc_id", "h"])
+    arrays = written(reduce(DataFrame.union, [positions(k, found) for k in sized or [5]]), "arrays")
+    own = arrays.select("doc_id", "h", "k", "size", F.posexplode("s").alias("p", "shingle")).join(maybe(spread), ["shingle", "k"])
+    asked = pairs.select(F.col("doc_id").alias("w_doc"), F.col("h").alias("w_h"), F.col("item_id").alias("w_item"))
+    asked_of = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("h") == F.col("w_h")) & (F.col("item_id") == F.col("w_item"))
+    hits = written(own.join(asked, asked_of, "left_semi").select("doc_id", "h", "size", "p", "shingle", "item_id", "n", "k", "m", "times"), "hits")
     of = ["doc_id", "h", "item_id"]
     # shared positions in the window that starts here; the last window starts where the document allows
     start = F.greatest(F.least(F.col("p"), F.col("size") - F.col("n")), F.lit(0))
@@ -117,25 +153,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     held = counted.groupBy(*of, "start").agg((F.max("running") - F.min("running")).alias("held"))
     same = lambda a, b, cols: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
     windows = windows.join(held, same(windows, held, [*of, "start"])).select(*[windows[c] for c in windows.columns], "held")
-    windows = written(windows.filter(F.col("held") >= F.lit(similarity) * F.col("m")), "windows")
+    windows = written(windows.filter(F.col("held") >= F.lit(similarity / 2) * F.col("m")), "windows")
 
     # SimHash over all shingles of the windows that are left
-    wanted = written(windows.select(F.col("doc_id").alias("w_doc"), F.col("h").alias("w_h")).distinct(), "wanted")
-    found = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("h") == F.col("w_h")), "left_semi").dropDuplicates(["doc_id", "h"])
-    prints = None
-    for k in sized or [5]:
-        own = windows.filter(F.col("k") == k)
-        arrays = positions(k, found).select(F.col("doc_id").alias("a_doc"), F.col("h").alias("a_h"), F.col("x.s").alias("s"))
-        met = own.join(arrays, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("h") == F.col("a_h")))
-        met = met.select(*of, "start", "stop", "m", F.explode(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start") + 1)).alias("shingle"))
-        prints = met if prints is None else prints.union(met)
-    prints = written(prints.groupBy(*of, "start", "stop", "m").agg(*votes()).select(*of, "start", "stop", "m", "n_shingles", simhash().alias("fp")), "prints")
+    own = arrays.select(F.col("doc_id").alias("a_doc"), F.col("h").alias("a_h"), F.col("k").alias("a_k"), "s")
+    met = windows.join(own, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("h") == F.col("a_h")) & (F.col("k") == F.col("a_k")))
+    met = met.select(*of, "start", "stop", "m", F.explode(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start") + 1)).alias("shingle"))
+    prints = written(met.groupBy(*of, "start", "stop", "m").agg(*votes()).select(*of, "start", "stop", "m", "n_shingles", simhash().alias("fp")), "prints")
     item_prints = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id").agg(*votes()).select("item_id", simhash().alias("item_fp"))
-    item_blocks = item_prints.select("item_id", "item_fp", F.explode(blocks("item_fp", radius)).alias("x")).select("item_id", "item_fp", "x.*")
-    window_blocks = prints.select("*", F.explode(blocks("fp", radius)).alias("x")).select(*prints.columns, "x.*")
-    near = window_blocks.join(item_blocks, ["item_id", "block", "value"])
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = near.withColumn("differing_bits", bits).filter(F.col("differing_bits") <= radius).select(*prints.columns, "differing_bits").distinct()
+    near = within(prints, item_prints, radius)
 
     # exact: minima over the shared shingles of a window
     shared = hits.select(*of, "p", "shingle", "times")
@@ -148,7 +174,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     return out.select("doc_id", "item_id", F.col("start").cast("long"), "h", "n_shingles", "shared", "total", "similarity", F.col("differing_bits").cast("int"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23) -> DataFrame:
     """``docs`` without the documents that hold a leak."""
     leak_doc, leak_hash = free_names(docs, "leak_doc", "leak_hash")
     found = leaks(docs, benchmark, similarity, radius).select(F.col("doc_id").alias(leak_doc), F.col("h").alias(leak_hash)).distinct()
