@@ -157,14 +157,15 @@ def filter_of(texts):
         sums[h] += g
     codes = {h: int(lm_scoring.code_of(np.array([g]))[0]) for h, g in sums.items()}
     probes = lm_scoring.probes_for(int((counts[is_word] > 1).sum()))
-    entries = level.sum() + sum(c.bit_count() for c in codes.values())
-    blocks = max(1, -(-int(entries * probes / math.log(2)) // lm_scoring.BLOCK_BITS))
+    ones = level[~is_word].sum() * probes + level[is_word].sum() * lm_scoring.WORD_PROBES + sum(c.bit_count() for c in codes.values()) * lm_scoring.CODE_PROBES
+    blocks = max(1, -(-int(ones / math.log(2)) // lm_scoring.BLOCK_BITS))
     names = np.array(sorted(codes), "<u8")
-    bits = lm_scoring.Bits(np.concatenate([keys, lm_scoring.code_key(names)]), 0, blocks, blocks, probes)
+    bits = lm_scoring.Bits(np.concatenate([keys, lm_scoring.code_key(names)]), 0, blocks, blocks)
     for j in range(1, level.max() + 1):
-        bits.fill(np.flatnonzero(level >= j), j)
+        bits.fill(np.flatnonzero((level >= j) & is_word), j, lm_scoring.WORD_PROBES)
+        bits.fill(np.flatnonzero((level >= j) & ~is_word), j, probes)
     for d in range(lm_scoring.DIGITS):
-        bits.fill(len(keys) + np.flatnonzero([codes[h] >> d & 1 for h in names.tolist()]), d)
+        bits.fill(len(keys) + np.flatnonzero([codes[h] >> d & 1 for h in names.tolist()]), d, lm_scoring.CODE_PROBES)
     lookup = lm_scoring.Filter(bits.blocks().ravel(), 0, blocks, probes, int(level.max()))
     norm = lm_scoring.middle_word(level[is_word]).sum() + is_word.sum() + 1
     return lookup, keys, counts, names, codes, norm, bits.bits.mean()
@@ -181,7 +182,9 @@ def filled():
 def test_filter_levels(filled):
     lookup, keys, counts, names, codes, _, density = filled
     assert 0.3 < density < 0.55  # as dense as filters of any size are, up to whole blocks
-    true, got = lm_scoring.levels_of(keys, counts), lookup.levels(keys)
+    is_word = keys & np.uint64(1) == 0
+    both = lambda f: np.where(is_word, f.levels(keys, lm_scoring.WORD_PROBES), f.levels(keys))
+    true, got = lm_scoring.levels_of(keys, counts), both(lookup)
     assert (got >= true).all() and (got == true).mean() > 0.999  # a filter never loses a count
     others = lm_scoring.mixed(np.random.default_rng(1).integers(0, 2**62, 200_000).astype("<u8"))
     assert (lookup.levels(others) > 0).mean() < 0.0001
@@ -190,7 +193,7 @@ def test_filter_levels(filled):
     half = len(data) // 2 // (lm_scoring.BLOCK_BITS // 8) * (lm_scoring.BLOCK_BITS // 8)
     first = lm_scoring.BLOCK_BITS // 8
     slices = [lm_scoring.Filter(data[a:b], a // first, lookup.total, lookup.probes, lookup.top) for a, b in ((0, half), (half, len(data)))]
-    assert np.array_equal(sum(s.levels(keys) for s in slices), got) and np.array_equal(sum(s.codes(names) for s in slices), lookup.codes(names))
+    assert np.array_equal(sum(both(s) for s in slices), got) and np.array_equal(sum(s.codes(names) for s in slices), lookup.codes(names))
 
 
 def test_levels_hold_counts():
@@ -208,15 +211,15 @@ def test_model_is_a_distribution(filled):
     hashes, per = lm_scoring.tokens(pa.array([" ".join(f"w{i}" for i in range(60_000)) + " " + " ".join(f"w{i % 997}" for i in range(1000))]))
     of = {int(k): h for k, h in zip(lm_scoring.mixed(hashes) & ~np.uint64(1), hashes, strict=True)}
     vocabulary = np.array([of[int(w)] for w in words], "<u8")
-    level = lookup.levels(words)
+    level = lookup.levels(words, lm_scoring.WORD_PROBES)
     sums, rng = [], np.random.default_rng(3)
     for before in [*hashes[:40], *rng.choice(hashes, 100), lm_scoring.START, np.uint64(12345)]:
         two = np.stack([np.full(len(words), before), vocabulary], 1).ravel()
         _, history, pair = lm_scoring.grams(two, np.full(len(words), 2))
         code = lookup.codes(history[1:2])[0]
-        for prior in (lm_scoring.PRIORS[0], lm_scoring.PRIORS[3]):
-            p = 10 ** lm_scoring.log_scores(level, lookup.levels(pair[1::2]), np.full(len(words), code), norm, prior)
-            unknown = 10 ** lm_scoring.log_scores(np.zeros(1, "i8"), np.zeros(1, "i8"), np.array([code]), norm, prior)
+        for prior in (lm_scoring.PRIORS[0], lm_scoring.PRIORS[2]):
+            p = 10 ** lm_scoring.log_scores(level, lookup.levels(pair[1::2]), np.full(len(words), code), norm, (prior,))[0]
+            unknown = 10 ** lm_scoring.log_scores(np.zeros(1, "i8"), np.zeros(1, "i8"), np.array([code]), norm, (prior,))[0]
             sums.append(p.sum() + unknown[0])
     sums = np.array(sums)
     assert (np.abs(sums - 1) < 0.01).mean() > 0.9 and (np.abs(sums - 1) < 0.3).all() and abs(sums.mean() - 1) < 0.01
@@ -234,7 +237,7 @@ def test_chat(spark):
     turns, roles = [], ["user", "assistant", "system", None]
     for c in range(40):
         for k in range(rng.randint(0, 6)):
-            turns.append((c, k, roles[rng.randrange(4)] if rng.random() < 0.3 else roles[k % 2], rng.choice(["a", "b\nc", "", None, "long text " * 3]), "x", 1))
+            turns.append((c, k, roles[rng.randrange(4)] if rng.random() < 0.3 else roles[k % 2], rng.choice(["a", "b\nc", "", None, "<|end|> <|x|>", "long text " * 3]), "x", 1))
     turns += [(None, 0, "assistant", "lost", "x", 1), (99, None, "user", "null turn", "x", 1), (99, 1, "assistant", "yes", "x", 1), (99, 1, "assistant", "yes", "x", 1)]
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string, turns string, said int")
     convs = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.conversations(df).collect()}
@@ -244,17 +247,34 @@ def test_chat(spark):
     pairs += [(1000, convs[ids[0]], convs[ids[0]] + [("assistant", "more")]), (1001, [], [])]
     got = chat.format_preferences(spark.createDataFrame(pairs, f"pair_id long, chosen {chat.TURNS}, rejected {chat.TURNS}")).collect()
     assert len(got) == len(pairs)
-    show = lambda ts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in ts)
+    safe = lambda t: t.replace("<|", "< |")
+    show = lambda ts: "".join(f"<|{safe(r)}|>\n{safe(t)}<|end|>\n" for r, t in ts)
     for r in got:
         _, a, b = next(p for p in pairs if p[0] == r.pair_id)
         n = len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(a, b, strict=False))))
         assert (r.n_common, r.prompt, r.chosen, r.rejected) == (n, show(a[:n]), show(a[n:]), show(b[n:]))
         for turns_, text, spans in ((a[n:], r.chosen, r.chosen_spans), (b[n:], r.rejected, r.rejected_spans)):
-            assert [text[s.start : s.stop] for s in spans] == [t + "<|end|>" for role, t in turns_ if role == "assistant"]
+            assert [text[s.start : s.stop] for s in spans] == [safe(t) + "<|end|>" for role, t in turns_ if role == "assistant"]
     stale = {r.pair_id: r for r in chat.with_stale_replies(chat.conversations(df)).collect()}
     assert set(stale) == {c for c, ts in convs.items() if any(role == "assistant" for role, _ in ts)}
-    for r in stale.values():
-        assert r.chosen[-1].role == r.rejected[-1].role == "assistant" and r.chosen[:-1] == r.rejected[:-1]
+    for c, r in stale.items():
+        assert [tuple(t) for t in r.chosen] == convs[c]
+        last = max(i for i, t in enumerate(r.chosen) if t.role == "assistant")
+        assert r.rejected[last].role == "assistant" and r.chosen[:last] == r.rejected[:last] and r.chosen[last + 1 :] == r.rejected[last + 1 :]
+    for chat.SHARE in (256, 3):  # with 3, groups of a third are hot
+        made = {r.pair_id: r for r in chat.preference_pairs(chat.conversations(df).cache()).collect()}
+        openings = {}
+        for c in ids:
+            first = openings.setdefault(convs[c][0], c)
+            if first != c:
+                equal = convs[c] == convs[first]
+                assert (c not in made) if equal else (made[c].rejected_id == first and [tuple(t) for t in made[c].rejected] == convs[first])
+            elif c in made:
+                assert made[c].rejected_id is None and made[c].rejected == stale[c].rejected
+            else:
+                assert c not in stale or stale[c].chosen == stale[c].rejected
+    chat.SHARE = 256
+    assert chat.preference_pairs(chat.conversations(df.limit(0))).count() == 0
     assert chat.format_preferences(chat.with_stale_replies(chat.conversations(df.limit(0)))).count() == 0
 
 
@@ -316,7 +336,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=12).round(2).tolist()) for i in range(600)]
     rows += [(k, [0.0] * 12) for k in (600, 650)] + [(700, rows[50][1]), (701, rows[50][1]), (100, rows[3][1]), (750, [1.0, 2.0]), (800, [])]
-    odd = [(801, None), (802, [None] * 12), (850, [float("nan")] * 12), (900, [float("inf")] + [0.0] * 11), (None, [1.0] * 12)]
+    odd = [(801, None), (802, [None] * 12), (850, [float("nan")] * 12), (900, [float("inf")] + [0.0] * 11), (None, [4.0] * 12)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, block int")
     got = top_k.top_k(df.repartition(3), block_rows=64, query_rows=4)
     v = np.zeros((len(rows), 12), "i8")
@@ -325,9 +345,13 @@ def test_top_k(spark):
     want = []
     for k, (i, _) in enumerate(rows):
         if i % 50 == 0:
-            best = sorted((-int(v[k] @ v[j]), rows[j][0]) for j in range(len(rows)) if j != k)[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+            best = [(-int(v[k] @ v[j]), rows[j][0]) for j in range(len(rows)) if j != k] + [(-int(v[k].sum()) * 1024, 10**9)]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(best)[:5])]
+    # the row without vec_id is a candidate, found with null
+    assert sorted((r.query_id, r.rank, 10**9 if r.vec_id is None else r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    assert any(j == 10**9 for _, _, j, _ in want)
+    far = spark.createDataFrame([(0, [2.0**22, 1.0]), (1, [2.0**22, 3.0]), (2, [2.0**22, 4.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in top_k.top_k(far).collect()] == [2**60 + 1024 * 256, 2**60 + 768 * 256]
     assert top_k.top_k(df.limit(0)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in top_k.top_k(two).collect()] == [(0, 1, 1, 128 * 256)]

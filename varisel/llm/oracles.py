@@ -2,27 +2,37 @@
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: The prefix is searched turn by turn, for every pair.
 OP4 = r"""
 WITH a AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+g AS (SELECT *, min(conv_id) OVER (PARTITION BY turns[1]) AS first_id FROM a),
+two AS (
+  SELECT g.conv_id, f.conv_id AS rejected_id, g.turns AS c, f.turns AS r FROM g JOIN a f ON f.conv_id = g.first_id AND f.conv_id < g.conv_id),
 s AS (
-  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM a),
-p AS (
-  SELECT conv_id, turns, said[-1] AS last, turns[said[-1]].text AS good,
-    coalesce(CASE WHEN len(said) > 1 THEN turns[said[-2]].text END, CASE WHEN said[-1] > 1 THEN turns[said[-1] - 1].text END, '') AS stale
+  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM g WHERE conv_id = first_id),
+one AS (
+  SELECT conv_id, NULL::BIGINT AS rejected_id, turns AS c,
+    list_concat(list_concat(turns[:said[-1] - 1], [{'role': 'assistant', 'text': coalesce(CASE WHEN len(said) > 1 THEN turns[said[-2]].text END, CASE WHEN said[-1] > 1 THEN turns[said[-1] - 1].text END, '')}]), turns[said[-1] + 1:]) AS r
   FROM s WHERE len(said) > 0),
+p AS (SELECT * FROM two UNION ALL SELECT * FROM one),
 n AS (
-  SELECT *, (CASE WHEN good = stale THEN last ELSE last - 1 END)::INT AS n_common FROM p),
-r AS (
-  SELECT *, '<|assistant|>' || chr(10) AS head, '<|end|>' || chr(10) AS foot FROM n)
-SELECT conv_id, n_common,
-  coalesce(array_to_string(list_transform(turns[1:n_common], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || foot), ''), '') AS prompt,
-  CASE WHEN n_common = last THEN '' ELSE head || good || foot END AS chosen,
-  CASE WHEN n_common = last THEN '' ELSE '14-' || (21 + length(good)) END AS chosen_spans,
-  CASE WHEN n_common = last THEN '' ELSE head || stale || foot END AS rejected,
-  CASE WHEN n_common = last THEN '' ELSE '14-' || (21 + length(stale)) END AS rejected_spans
-FROM r
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role <> r[i].role OR c[i].text <> r[i].text)) - 1, least(len(c), len(r)))::INT AS n_common
+  FROM p WHERE len(c) <> len(r) OR len(list_filter(range(1, len(c) + 1), lambda i: c[i].role <> r[i].role OR c[i].text <> r[i].text)) > 0),
+e AS (
+  SELECT conv_id, rejected_id, n_common, list_transform(c[1:n_common], lambda t: {'role': replace(t.role, '<|', '< |'), 'text': replace(t.text, '<|', '< |'), 'on': t.role = 'assistant'}) AS p,
+    list_transform(c[n_common + 1:], lambda t: {'role': replace(t.role, '<|', '< |'), 'text': replace(t.text, '<|', '< |'), 'on': t.role = 'assistant'}) AS c,
+    list_transform(r[n_common + 1:], lambda t: {'role': replace(t.role, '<|', '< |'), 'text': replace(t.text, '<|', '< |'), 'on': t.role = 'assistant'}) AS r FROM n),
+x AS (
+  SELECT *, list_transform(c, lambda t: length(t.role) + length(t.text) + 13) AS cl, list_transform(r, lambda t: length(t.role) + length(t.text) + 13) AS rl FROM e)
+SELECT conv_id, rejected_id, n_common,
+  coalesce(array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].on), lambda i: (coalesce(list_sum(cl[:i - 1]), 0) + 5 + length(c[i].role))::BIGINT || '-' || (coalesce(list_sum(cl[:i - 1]), 0) + 12 + length(c[i].role) + length(c[i].text))::BIGINT), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].on), lambda i: (coalesce(list_sum(rl[:i - 1]), 0) + 5 + length(r[i].role))::BIGINT || '-' || (coalesce(list_sum(rl[:i - 1]), 0) + 12 + length(r[i].role) + length(r[i].text))::BIGINT), ','), '') AS rejected_spans
+FROM x
 """
 
 OP9 = rf"""
@@ -58,7 +68,7 @@ OP8 = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c AS (
   SELECT row_no, vec_id, generate_subscripts(e, 1) AS d, unnest(e) AS x FROM v),
 s AS (

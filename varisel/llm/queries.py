@@ -36,11 +36,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import conversations, format_preferences, with_stale_replies
+    from .chat import conversations, format_preferences, preference_pairs
 
-    pairs = with_stale_replies(conversations(common.table(spark, sf_dir, "conversations")))
+    pairs = preference_pairs(common.written(conversations(common.table(spark, sf_dir, "conversations")), "conversations"))
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",").alias(c)
-    return format_preferences(pairs).select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
+    return format_preferences(pairs).select(F.col("pair_id").alias("conv_id"), "rejected_id", "n_common", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
