@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, free_names, lean, written
 from .components import components
 
-#: Blocks: at least so many, so that tasks are even; more where a block would exceed BLOCK fingerprints.
+#: Blocks: about so many at least, so that groups can be pruned; more where a block would exceed BLOCK fingerprints.
 LEAST_BLOCKS, BLOCK, FANOUT = 64, 1 << 16, 8
 #: Beyond so many blocks the blocks grow, so the roots that every task holds have a bounded size.
 MOST_ROOTS = 1 << 20
@@ -181,8 +181,9 @@ def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
     of each other; with ``share`` most of them, in far fewer steps."""
     spark = fps.sparkSession
     n, turns = fps.count(), TURNS if share else 1
-    most = max(BLOCK, -(-2 * n * turns // MOST_ROOTS))
-    blocks = max(LEAST_BLOCKS, -(-n // most))
+    # blocks of a turn: at least LEAST_BLOCKS, of at most BLOCK fingerprints; a task packs several
+    most = max(1, min(max(BLOCK, -(-2 * n * turns // MOST_ROOTS)), -(-n // LEAST_BLOCKS)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * turns // (4 * BLOCK)))
     shifts = [64 // turns * t for t in range(turns)]
     turn = lambda t: F.col("fp") if t == 0 else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))
     each = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), turn(t).alias("fp")) for t in shifts])).alias("x")).select("x.*")
@@ -191,7 +192,7 @@ def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
         rank_of = rank_of.bitwiseXOR(F.shiftrightunsigned(rank_of, shift))
     # signed order of the rank with its top bit flipped is unsigned order
     ranked = each.withColumn("rank", rank_of.bitwiseXOR(F.lit(-(2**63)).cast("long")))
-    in_order = ranked.repartitionByRange(blocks * turns, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "fp")
+    in_order = ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "fp")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
