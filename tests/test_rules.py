@@ -41,6 +41,16 @@ CASES = {
     ),
     "escapes": ('<rules><rule><match lemma="$"><select lemma="y"/></match></rule></rules>', "^\\$<sym>/x<n>/y<n>$", "^\\$<sym>/y<n>$"),
     "across lines": ('<rules><rule><match lemma="b"/><match lemma="a"><select lemma="y"/></match></rule></rules>', "^b<n>/b<n>$\n^a<n>/x<n>/y<n>$\n", "^b<n>/b<n>$\n^a<n>/y<n>$\n"),
+    "any lemma, one tag": ('<rules><rule><match lemma="*" tags="n.?"/><match lemma="a" tags="+"><select lemma="y" tags="n.?"/></match></rule></rules>', "^q<n><sg>/q<n>$ ^a<n>/x<n><pl>/y<n><pl>$ ^q<n>/q<n>$ ^a<n>/x<n><pl>/y<n><pl>$", "^q<n><sg>/q<n>$ ^a<n>/y<n><pl>$ ^q<n>/q<n>$ ^a<n>/x<n><pl>/y<n><pl>$"),
+    "no tags are unknown words": ('<rules><rule><match tags=""/><match lemma="a"><select lemma="y"/></match></rule></rules>', "^*q/*q$ ^a<n>/x<n>/y<n>$ ^q<n>/q<n>$ ^a<n>/x<n>/y<n>$", "^*q/*q$ ^a<n>/y<n>$ ^q<n>/q<n>$ ^a<n>/x<n>/y<n>$"),
+    "several removes": ('<rules><rule><match lemma="a"><remove lemma="x"/><remove lemma="z"/></match></rule></rules>', "^a<n>/x<n>/y<n>/z<n>$", "^a<n>/y<n>$"),
+    "sets by weight": (
+        '<lrx><def-seqs><def-set n="t"><lemma>d</lemma><lemma>e</lemma></def-set></def-seqs><rules><rule weight="1"><set n="t"/><match lemma="a"><select lemma="x"/></match></rule><rule weight="4"><set n="t" tags="v"/><match lemma="a"><select lemma="y"/></match></rule></rules></lrx>',
+        "^d<n>/d<n>$ ^a<n>/x<n>/y<n>$ ^e<v>/e<v>$ ^a<n>/x<n>/y<n>$ ^f<v>/f<v>$ ^a<n>/x<n>/y<n>$",
+        "^d<n>/d<n>$ ^a<n>/x<n>$ ^e<v>/e<v>$ ^a<n>/y<n>$ ^f<v>/f<v>$ ^a<n>/x<n>/y<n>$",
+    ),
+    "alternatives with operations": ('<rules><rule><or><match lemma="a"><select lemma="y"/></match><match lemma="b"/></or><match lemma="c"><select lemma="q"/></match></rule></rules>', "^a<n>/x<n>/y<n>$ ^c<n>/p<n>/q<n>$ ^b<n>/x<n>/y<n>$ ^c<n>/p<n>/q<n>$", "^a<n>/y<n>$ ^c<n>/q<n>$ ^b<n>/x<n>/y<n>$ ^c<n>/q<n>$"),
+    "a slash in a tag, an escaped backslash": ('<rules><rule><match lemma="a"><select lemma="y"/></match></rule></rules>', "^a<n>/x<p/q>/y<p/q>$ ^b\\\\/x<n>/y<n>$", "^a<n>/y<p/q>$ ^b\\\\/x<n>/y<n>$"),
     "no translation": ("<rules/>", "^a<n>$ ^b<n>/$", "^a<n>/$ ^b<n>/$"),
 }
 
@@ -80,7 +90,19 @@ def test_properties(spark):
     for s, p, _, _, tls in lus:
         kept = out[0][s, p]
         assert kept and [t for t in tls if t in kept] == kept
-    assert trace_rules(df, compile_rules(f"<rules>{''.join(rules)}</rules>")).count() > 0
+    steps = trace_rules(df, compile_rules(f"<rules>{''.join(rules)}</rules>")).collect()
+    left = {}
+    for t in sorted(steps, key=lambda t: (t.segment_id, t.pos, t.step)):
+        assert t.step == 0 or t.weight <= left[t.segment_id, t.pos][1]  # heavier first
+        left[t.segment_id, t.pos] = (t.n_keep, t.weight)
+    assert {k: n for k, (n, _) in left.items()} == {k: len(v) for k, v in out[0].items() if k in left}
+    assert {k for k, v in out[0].items() if len(v) < len({(s, p): t for s, p, _, _, t in lus}[k])} <= set(left)
+
+
+def test_sets_are_not_multiplied_out():
+    lemmas = "".join(f"<lemma>w{i}</lemma>" for i in range(3000))
+    rules = compile_rules(f'<lrx><def-seqs><def-set n="t">{lemmas}</def-set></def-seqs><rules><rule><set n="t"/><repeat from="1" upto="2"><set n="t"/></repeat><match lemma="a"><select lemma="y"/></match></rule></rules></lrx>')
+    assert len({(w[0], w[1]) for w in rules.words}) == 2 and len(rules.words) == 5 * 3000 + 2
 
 
 @pytest.mark.parametrize(
