@@ -41,7 +41,7 @@ def rank_paths(scored: DataFrame, fractional: bool = False, kept: float = 1.0) -
     """scored (sent_id, path_id, score) -> ``ranked`` paths with ``value``: the log10 score, or with ``fractional`` the share of the
     sentence's probability. Paths that begin at a mass of ``kept`` or more are left out."""
     out = ranked(normalised(scored), 0.5).withColumn("value", F.col("prob") if fractional else F.col("score"))
-    return out.filter((F.col("rank") == 1) | (F.col("cumulative") - F.col("prob") < kept))
+    return out.filter((F.col("rank") == 1) | (F.col("cumulative") - F.col("prob") < kept)) if kept < 1 else out
 
 
 def ranked(probable: DataFrame, mass: float = 0.5) -> DataFrame:

@@ -380,7 +380,7 @@ u AS (SELECT t, log10(count(*) / (SELECT count(*) FROM f)) AS lp FROM f GROUP BY
 b AS (SELECT before, t, count(*) AS n FROM h GROUP BY ALL),
 g AS (SELECT before, t, n, log10((n - 0.5) / sum(n) OVER (PARTITION BY before)) AS lp FROM b),
 k AS (SELECT before, log10(0.5 * count(*) / sum(n)) AS bo FROM g GROUP BY before),
-ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 200),
+ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 10000),
 c AS (SELECT u.sent_id, u.pos, list_distinct(list_concat([o.tl], u.tls[2:])) AS opts FROM units u JOIN obs o USING (sent_id, pos)),
 s AS (SELECT sent_id, pos, list_sort(opts) AS opts FROM c),
 p AS (
@@ -415,11 +415,11 @@ def _bigrams(o: DataFrame) -> DataFrame:
 
 @query("WITH RECURSIVE " + fixtures.SQL + _LM_SQL)
 def lm_rank(spark, sf_dir):
-    """All paths of sentences with up to 200, the observed word standing for the first translation, scored by a
-    bigram model with back-off counted from the observed words, normalised and ranked."""
+    """All paths of sentences (up to the operator's 10,000), the observed word standing for the first translation, scored
+    by a bigram model with back-off counted from the observed words, normalised and ranked."""
     o = fixtures.observed(spark, sf_dir)
     units = fixtures.units(spark, sf_dir).join(o.select("sent_id", "pos", "tl"), ["sent_id", "pos"])
-    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 201).select("sent_id")
+    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 10_001).select("sent_id")
     options = F.array_sort(F.array_distinct(F.concat(F.array("tl"), F.slice("tls", 2, F.size("tls")))))
     sents = units.join(few, "sent_id", "left_semi").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", options.alias("tls")))).alias("lus"))
     paths = dictionary.paths(sents).withColumn("id", F.struct("sent_id", "path_id"))
@@ -463,13 +463,13 @@ def bidix_lookup(spark, sf_dir):
     return full.join(short.select(F.col("own").alias("sl"), F.col("tls").alias("short"), F.col("sl").alias("short_sl")), "sl")
 
 
-@query(""", n AS (SELECT sent_id FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 60),
+@query(""", n AS (SELECT sent_id FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 10000),
 m AS (SELECT *, len(tls) AS k, product(len(tls)) OVER (PARTITION BY sent_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / len(tls) AS below, product(len(tls)) OVER (PARTITION BY sent_id) AS total FROM units JOIN n USING (sent_id))
 SELECT sl, tls[1 + floor(p / below)::BIGINT % k] AS tl, round(sum((p % 7 + 1) / 10.0), 6) AS freq
 FROM m, LATERAL (SELECT unnest(range(0, total::BIGINT)) AS p) WHERE k > 1 GROUP BY ALL""")
 def fractional_lexicon(spark, sf_dir):
     """Ambiguous sentences and their weighted paths: each path adds its share to the translations that it chose."""
-    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 61).select("sent_id", "lus")
+    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 10_001).select("sent_id", "lus")
     paths = dictionary.paths(few)
     chosen = F.transform("tls", lambda t, i: F.struct(i.alias("pos"), F.lit(" ").alias("blank"), F.lit("").alias("sl"), F.array(t).alias("tls")))
     annotated = paths.select("sent_id", "path_id", chosen.alias("lus"), ((F.col("path_id") % 7 + 1) / 10).alias("frac"))
