@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bind, free_names, written
+from .common import bind, discard, free_names, written
 
 LAST = 2**63 - 1
 
@@ -75,6 +75,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     active = active.withColumn("left", F.count(F.lit(1)).over(segment) - (F.col("p") - F.min("p").over(segment))).withColumn("upto", upto.cast("long"))
     active = active.withColumn("words_left", F.sum("w").over(segment) - F.col("upto") + F.col("w"))
     base = written(active.select("d", "h", "p", "s", "left", "w", "upto", "words_left", "rank", "first"), "active")
+    discard(lines, ids)
     now, length, levels, settled = base.select("d", "h", "p", "left", "rank", "first"), 1, [base.select("d", "h", "p", "left", "rank", "first")], []
     while True:
         behind = Window.partitionBy("d", "h").orderBy("p").rangeBetween(length, length)
@@ -83,6 +84,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         ranks = _ranked(pairs, ["r1", "r2"], "ranks")
         at = (pairs["r1"] == ranks["r1"]) & pairs["r2"].eqNullSafe(ranks["r2"])
         met = written(pairs.join(ranks, at).select("d", "h", "p", "left", "rank", "first"), "level")
+        discard(ranks)
         ended = met.filter((F.col("left") <= length) & (_place() > F.col("first")))
         settled.append(ended.select("d", "h", "p", F.col("left").cast("long").alias("m")))
         now, length = met.filter(F.col("left") > length), 2 * length
@@ -101,7 +103,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     cols = ["d", "h", "p", "words_before", "t", "m"]
     done = whole.join(start, ["d", "h", "p"]).select("d", "h", "p", "words_before", "m")
     runs = [done, met.filter(F.col("k") == 0).select("d", "h", "p", "words_before", "m")]
-    state = None
+    state, old = None, []
     for j in range(len(levels) - 2, -1, -1):
         own = met.filter(F.col("k") == j + 1).select(*cols)
         firsts = own.select("t", "m").distinct().select("t.d", "t.h", "t.p", F.lit(None).cast("long").alias("words_before"), "t", "m")
@@ -115,6 +117,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         moved = asked.filter("r is not null").join(groups, ["t", "m", "r"], "left").select("d", "h", "p", "words_before", F.explode(to).alias("x"))
         state = asked.filter("r is null").select(*cols).union(moved.select("d", "h", "p", "words_before", "x.t", "x.m"))
         state = written(state, "state")
+        discard(asked, *old)
+        old = [state]
     if state is not None:
         runs.append(state.filter(_place() > F.col("t")).select("d", "h", "p", "words_before", "m"))
     met = reduce(DataFrame.union, runs)

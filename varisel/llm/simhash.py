@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, free_names, lean, written
+from .common import ASCII_LOWER, discard, free_names, lean, written
 from .components import components
 
 #: Blocks: about so many at least, so that groups can be pruned; more where a block would exceed BLOCK fingerprints.
@@ -354,6 +354,7 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 4, reach: int
     of = lambda c, name: sets.select(F.col("fp").alias(f"fp_{c}"), F.col("shingles").alias(name))
     pairs = asked.join(of("a", "one"), F.col("a") == F.col("fp_a")).join(of("b", "other"), F.col("b") == F.col("fp_b"))
     held = components(_named(similar(pairs, similarity), distinct))
+    discard(found, asked, sets)
     return _labelled(prints, distinct, held)
 
 
