@@ -16,10 +16,10 @@ pairs: the forest joins what the links join, at every smaller radius too.
 a similarity, which a small radius does not hold: at a similarity of 0.8 of shingle sets fingerprints differ in about
 10 bits of 64, with a deviation of 3. There the index is built over several turns of the fingerprints, so that other bits come
 first, and within a node only a share of the radius that goes with the bits of its mask is allowed. A pair that
-differs evenly survives in one turn or another; how many do is measured in the tests and the README. A link holds if
-the shingle sets of the two texts have the ``similarity``. Links of up to ``radius`` bits make tight groups; of
-each its lightest spanning forest is verified, and of the wider links, up to ``reach`` bits, between the same two
-groups the one of fewest bits. So the number of verified links goes with the number of fingerprints, not of pairs.
+differs evenly survives in one turn or another; how many do is measured in the tests and the README. A link of up to
+``reach`` bits holds if the shingle sets of the two texts have the ``similarity``. Of the links of a group that they join,
+FORESTS spanning forests, the lightest of each rest, are verified, so their number goes with the number of
+fingerprints, not of pairs: a node's nearest neighbours are among them.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; equal texts and
 repeated rows share a fingerprint; component_id is the smallest doc_id that is not null, null if there is
@@ -47,6 +47,8 @@ MOST_ROOTS = 1 << 20
 MOST_PAIRS = 1 << 21
 #: Turns of the fingerprints in a search that allows a share of the radius.
 TURNS = 4
+#: Edge-disjoint spanning forests whose links are verified.
+FORESTS = 3
 LAST = 2**63 - 1
 ALL = np.uint64(2**64 - 1)
 
@@ -306,9 +308,19 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "one", "other").mapInArrow(lean(task), pairs.select("a", "b").schema)
 
 
+def forests(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the links of FORESTS spanning forests, each the lightest of what the ones before left."""
+    left, chosen = np.arange(len(a)), []
+    for _ in range(FORESTS):
+        tree = spanning(a[left], b[left], bits[left])
+        chosen.append(left[tree])
+        left = np.delete(left, tree)
+    return np.concatenate(chosen)
+
+
 def _sparse(edges: DataFrame, group_edges: int = 1 << 20) -> DataFrame:
-    """edges (group, a, b, bits) -> a, b: spanning forests of the groups; a group of more than ``group_edges`` edges is
-    dealt to several tasks, each with a forest of its own."""
+    """edges (group, a, b, bits) -> a, b: ``forests`` of the groups; a group of more than ``group_edges`` edges is
+    dealt to several tasks, each with forests of its own."""
     sizes = edges.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select(F.col("group").alias("of"), "n")
     salted = edges.join(sizes, F.col("group") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / group_edges)))
     dealt = salted.select("group", "salt", "a", "b", "bits").repartition("group", "salt").sortWithinPartitions("group", "salt")
@@ -324,26 +336,22 @@ def _sparse(edges: DataFrame, group_edges: int = 1 << 20) -> DataFrame:
                     new = [np.concatenate(z) for z in zip(kept, new, strict=True)]
                 elif kept is not None:
                     yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
-                tree = spanning(*new)
-                key, kept = tuple(of[x]), [z[tree] for z in new]
+                on = forests(*new)
+                key, kept = tuple(of[x]), [z[on] for z in new]
         if kept is not None:
             yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
 
     return dealt.mapInArrow(lean(task), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, radius: int = 4, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, reach: int = 13, similarity: float = 0.8) -> DataFrame:
     """``docs``' prints with the root of each row's group; see above."""
     prints, distinct = _prints(docs, width)
     found = written(links(distinct.select("fp"), reach, share=True), "found")
-    tight = components(found.filter(F.col("bits") <= radius).select("a", "b"))
-    of = lambda c: tight.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}"))
-    met = found.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
-    met = met.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
-    inside = _sparse(met.filter(F.col("bits") <= radius).select(F.col("root_a").alias("group"), "a", "b", "bits"))
-    least = F.min(F.struct("bits", "a", "b")).alias("x")
-    across = met.filter("root_a <> root_b").groupBy(F.least("root_a", "root_b").alias("g"), F.greatest("root_a", "root_b").alias("h")).agg(least)
-    asked = written(inside.union(across.select("x.a", "x.b")), "asked")
+    joined = components(found.select("a", "b"))
+    # the root itself is no node of its component's table
+    met = found.join(joined, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("group"), "a", "b", "bits")
+    asked = written(_sparse(met), "asked")
     # the first document of a fingerprint stands for its texts
     ends = asked.select("a").union(asked.select("b")).distinct()
     wanted = ends.join(distinct, F.col("a") == F.col("fp")).select("fp", F.col("node.d").alias("d"), F.col("node.h").alias("h"))
@@ -358,10 +366,10 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 4, reach: int
     return _labelled(prints, distinct, held)
 
 
-def first_of_each(docs: DataFrame, width: int = 5, radius: int = 4, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, reach: int = 13, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar texts, that of the smallest doc_id, then text hash. Rows
     without doc_id all stay; of rows equal in doc_id and text one stays."""
-    known = similar_groups(docs.filter("doc_id is not null"), width, radius, reach, similarity)
+    known = similar_groups(docs.filter("doc_id is not null"), width, reach, similarity)
     first_id, first_hash = free_names(docs, "first_id", "first_hash")
     hashed = F.coalesce(F.col("text_hash"), F.lit(0).cast("long"))
     first = written(known.filter((F.col("doc_id") == F.col("root.d")) & (hashed == F.col("root.h"))).select("doc_id", hashed.alias("h")), "first")
