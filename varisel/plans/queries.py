@@ -598,7 +598,7 @@ def rule_trace(spark, sf_dir):
     return out.withColumnRenamed("segment_id", "sent_id").filter("step = 0")
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t, p_name AS n FROM part)
+@query(r"""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t, p_name AS n FROM part)
 SELECT k, replace(t, ' ', '~') || '<n>' AS stripped, replace(n, ' ', '') AS joined, 'a\-b\(' || n || '\) &amp; c' AS escaped, t || '#x y' AS cleaned, t AS trimmed, 'n.m.*' AS path, CASE WHEN k % 2 = 0 THEN k * 1.5 ELSE 0 END::DOUBLE AS number FROM p""")
 def text_functions(spark, sf_dir):
     """Small text functions: stripping, escaping, markup, trimming, numbers."""
