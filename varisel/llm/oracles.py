@@ -77,3 +77,22 @@ s AS (
 SELECT query_id, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+#: Links are found through shared shingles of distinct sets, components by what each can reach.
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT s, min(doc_id) AS node, len(s) AS k FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT node, k, unnest(s) AS x FROM n),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.k, b.k) >= 85 * greatest(a.k, b.k)
+  GROUP BY a.node, b.node, a.k, b.k HAVING 100 * count(*) >= 85 * (a.k + b.k - count(*))),
+r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.root, doc_id) AS component_id, doc_id = coalesce(c.root, doc_id) AS kept
+FROM s LEFT JOIN n ON s.s = n.s LEFT JOIN c ON c.node = n.node
+"""

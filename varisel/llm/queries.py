@@ -85,9 +85,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_shingles", "shared", "total", "similarity")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op4_chat, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op4_chat, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup, op11_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": oracles.OP4, "op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9}
+    return {"op4_chat": oracles.OP4, "op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9, "op11_minhash": oracles.OP11}
