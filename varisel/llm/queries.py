@@ -91,9 +91,21 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(common.table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repaired
+
+    return repaired(common.table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op4_chat, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup, op11_minhash)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_lm_scoring, op4_chat, op5_token_output, op6_quality, op7_simhash, op8_top_k, op9_decontamination, op10_line_dedup, op11_minhash, op12_spelling, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": oracles.OP4, "op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9, "op11_minhash": oracles.OP11}
+    return {"op4_chat": oracles.OP4, "op8_top_k": oracles.OP8, "op9_decontamination": oracles.OP9, "op11_minhash": oracles.OP11, "op12_spelling": oracles.OP12, "op13_repair": oracles.OP13}
