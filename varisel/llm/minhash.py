@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, lean, text_hash, written
 from .components import components
@@ -161,31 +162,27 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Long lists (value, df, node, n) -> block, nodes, sets, values: blocks of nodes that entered under like values."""
-    per = hot.groupBy("node").agg(F.max_by("value", F.struct("df", "value")).alias("top"), F.collect_set("value").alias("values"))
-    rows = per.join(sets, "node")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(tasks, "top", "node").sortWithinPartitions("top", "node")
+    """Long lists (value, df, node, n) -> block, nodes, sets, values: blocks of nodes that entered under like values.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def row() -> pa.RecordBatch:
-            values = np.unique(np.concatenate([h[2] for h in held]))
-            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + k], pa.int64()), "nodes": pa.array([[h[0] for h in held]], pa.list_(pa.int64())), "sets": pa.array([[h[1] for h in held]], pa.list_(pa.binary())), "values": pa.array([values], pa.list_(pa.int64()))})
+    Nodes in that order are weighed by their sets, at least a BLOCK_NODES-th of a block each; a block is a range of the running sum, which is
+    taken within tasks and over the tasks' sums, so blocks are the same however many tasks there are."""
+    per = hot.groupBy("node").agg(F.max_by("value", F.struct("df", "value")).alias("top"), F.collect_set("value").alias("values"), F.greatest(8 * F.first("n"), F.lit(BLOCK_BYTES // BLOCK_NODES)).alias("weight"))
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = per.repartitionByRange(tasks, "top", "node").sortWithinPartitions("top", "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for node, shingles, values in zip(batch.column("node").to_pylist(), batch.column("shingles"), batch.column("values"), strict=True):
-                own = shingles.as_py()
-                if held and (len(held) >= BLOCK_NODES or size + len(own) > BLOCK_BYTES):
-                    yield row()
-                    k, held, size = k + 1, [], 0
-                held.append((node, own, np.asarray(values.values)))
-                size += len(own)
-        if held:
-            yield row()
-
-    return ordered.select("node", "shingles", "values").mapInArrow(lean(pack), "block long, nodes array<long>, sets array<binary>, values array<long>")
+            upto = before + np.cumsum(batch.column("weight").to_numpy())
+            before = int(upto[-1]) if len(upto) else before
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("values"), pa.array(np.full(len(upto), part)), pa.array(upto)], names=["node", "values", "part", "upto"])
+
+    placed = written(ordered.select("node", "values", "weight").mapInArrow(lean(run), "node long, values array<long>, part long, upto long"), "placed")
+    sums = placed.groupBy("part").agg(F.max("upto").alias("sum"))  # one row for each task
+    earlier = sums.select(F.col("part").alias("of"), (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("earlier"))
+    block = F.floor((F.col("earlier") + F.col("upto") - 1) / BLOCK_BYTES)
+    rows = placed.join(F.broadcast(earlier), F.col("part") == F.col("of")).select(block.alias("block"), "node", "values").join(sets, "node")
+    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("x"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("values")).select("block", F.col("x.node").alias("nodes"), F.col("x.shingles").alias("sets"), "values")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
