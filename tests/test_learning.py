@@ -153,13 +153,49 @@ def test_paths_and_lookup(spark):
     sents = dictionary.expand(units, bidix).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", "tls"))).alias("lus"))
     paths = dictionary.paths(sents).orderBy("path_id").collect()
     assert [r.tls for r in paths] == [list(p) for p in itertools.product(["x<n><pl>", "y<n><pl>"], ["w<v>"], ["@c<n>"], ["*d"], ["z<n>"])]
-    assert dictionary.path_lines(dictionary.paths(sents)).orderBy("path_id").first().value.startswith(".[][1 0].[]\t^x<n><pl>$ ^w<v>$")
+    assert dictionary.path_lines(dictionary.paths(sents)).orderBy("path_id").first().value.startswith(".[][1 0].[]\t^a<n><pl>/x<n><pl>$ ^b<v>/w<v>$")
+    again = readers.annotated_paths(dictionary.path_lines(dictionary.paths(sents))).orderBy("path_id").collect()
+    assert [[(u.sl, u.tls) for u in r.lus] for r in again] == [[(s, [t]) for s, t in zip(p.sls, p.tls, strict=True)] for p in paths]
     overlap = dictionary.most_overlap(spark.createDataFrame([("a<n><sg>",)], "sl string"), spark.createDataFrame([("a", "a<n><pl>"), ("a", "a<n><sg><x>")], "lemma string, cand string"))
     assert overlap.first().cand == "a<n><sg><x>"
     others = dictionary.most_overlap(spark.createDataFrame([("B<n><sg>",), ("B<np><sg>",), ("*c",), ("d<n>",)], "sl string"), spark.createDataFrame([("b", "b<vblex>"), ("B", "B<np>"), ("c", "c<n>")], "lemma string, cand string"))
     assert {r.sl: r.cand for r in others.collect()} == {"B<n><sg>": "b", "B<np><sg>": "B<np>", "*c": "*c", "d<n>": "d<n>"}
 
 
+def test_trimming(spark):
+    """Tags that a dictionary entry inserts, drops or moves."""
+    rows = [("house", ["n"], "casa", ["n", "f"]), ("run", ["v", "past"], "correr", ["past", "v"]), ("old", ["adj"], "viejo", ["adj"]), ("of", ["pr"], "", ["pr"])]
+    bidix = spark.createDataFrame(rows, "sl_lemma string, sl_tags array<string>, tl_lemma string, tl_tags array<string>")
+    units = spark.createDataFrame([(1, i, s, s) for i, s in enumerate(["house<n><sg>", "run<v><past>", "old<adj><sup>", "*x", "y<n>"])], "sent_id long, pos int, sl string, own string")
+    got = {r.own: (r.sl, r.tls) for r in dictionary.expand(units, bidix, trim=True).collect()}
+    assert got == {"house<n><sg>": ("house<n><*>", ["casa<n><f><*>"]), "run<v><past>": ("run<*>", ["correr<past><v>"]), "old<adj><sup>": ("old<adj><sup>", ["viejo<adj><*>"]), "*x": ("*x", ["*x"]), "y<n>": ("y<n>", ["@y<n>"])}
+    lines_ = {r.sl: r.value for r in dictionary.tagger_units(units, bidix).collect()}
+    assert lines_ == {"house<n><sg>": "house<n>/casa<n><f>", "run<v><past>": "run<v><past>/correr<past><v>", "old<adj><sup>": "old<adj>/viejo<adj>", "*x": "*x/@*x", "y<n>": "y<n>/@y<n>"}
+
+
+def test_admissible_patterns(spark):
+    """Every reason of both forms, in their order, and the weight of a rule."""
+    cols = "sign string, crisp double, weight double, sl string, ngram string, tl string"
+    rows = [
+        ("+", 4.0, 0.5, "a<n>", "the<det> a<n>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "a<n> .<sent>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "the<det> A<n>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "the<det> a<n>", "x<adj>"),
+        ("+", 4.0, 0.5, "a<n>", "the<det> a<n>", "x<vbmod>"), ("+", 4.0, 0.5, "a<n>", "the<det> a<n>", "x<pr>"), ("+", 3.0, 0.5, "a<n>", "the<det> a<n>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "*u a<n>", "x<n>"),
+        ("-", 4.0, 0.5, "a<n>", "the<det> a<n>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "a<n>", "x<n>"), ("+", 4.0, 0.5, "a<adj>", "a<adj> b<n>", "x<n>"), ("+", 4.0, 0.5, "a<n>", "", "x<n>"), ("+", 4.0, 0.5, "a<n>", "a<n> (<lpar>", "x<n>"),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], cols + ", i int").repartition(1)
+    reasons = lambda **o: [r.reason for r in emit.admissible(df, **o).orderBy("i").collect()]
+    assert reasons() == [None, "punctuation", "word not in pattern", "class differs", "class differs", "part of speech", "weight", "unknown word", None, None, None, "word not in pattern", None]
+    assert reasons(learned=True) == [None, "punctuation", None, "class differs", "class differs", "part of speech", None, None, "default", "too short", None, None, None]
+    rules = [r.rule for r in emit.pattern_rules(df.filter("i in (0, 11)"), learned=True).orderBy("ngram").collect()]
+    assert rules == ['<rule weight="4.0000000000"><match lemma="a" tags="n"><select lemma="x" tags="n"/></match></rule>', '<rule weight="4.0000000000"><match lemma="the" tags="det"/><match lemma="a" tags="n"><select lemma="x" tags="n"/></match></rule>']
+
+
+def test_pattern_lines_round_trip(spark):
+    p = spark.createDataFrame([("+", 3.5, 0.25, 8.0, 5.0, 2.0, "a<n>", "the<det> a<n>", "x<n>")], "sign string, crisp double, weight double, total double, max_freq double, tl_freq double, sl string, ngram string, tl string")
+    (line,) = ngrams.pattern_lines(p).collect()
+    assert line.value == "+ 3.5000000000 0.2500000000 8.0000000000 5.0000000000 2.0000000000\t^a<n>$\tthe<det> a<n>\t^x<n>$\t2.0000000000"
+    assert tuple(ngrams.read_patterns(ngrams.pattern_lines(p)).first()) == ("+", 3.5, "a<n>", "the<det> a<n>", "x<n>", 2.0)
+
+
 def test_filters(spark):
     df = lines(spark, "^a<n>/x/y$", "^a<n>/x$", "^*u/*u$ ^b<pr>/q/r$")
     sents = readers.sentences(df)
@@ -167,6 +203,9 @@ def test_filters(spark):
     assert [r.sent_id for r in filters.covered(sents).orderBy("sent_id").collect()] == [0, 1]
     assert [(r.sent_id, r.fertility) for r in filters.fertile(sents).orderBy("sent_id").collect()] == [(0, 2), (2, 2)]
     assert [r.sent_id for r in filters.enumerable(sents).collect()] == [0]
+    unit = lambda *words: readers.sentences(lines(spark, " ".join(words)))
+    # an unknown word counts twice: 1 of 16 is 87.5 %, 1 of 20 is 90 %
+    assert filters.enumerable(unit("^a<n>/x/y$", *["^b<n>/z$"] * 14, "^*u/*u$")).isEmpty() and not filters.enumerable(unit("^a<n>/x/y$", *["^b<n>/z$"] * 18, "^*u/*u$")).isEmpty()
     numbers = readers.line_numbers(lines(spark, "0", "2", "x"))
     assert filters.retained(df, numbers).count() == 2 and filters.discarded(df, numbers).count() == 1
     many = spark.range(1000).select(F.col("id").alias("line_no"))
@@ -176,6 +215,16 @@ def test_filters(spark):
     assert a.count() == 30 and a.exceptAll(b).isEmpty()
 
 
+def test_missing_entries(spark):
+    units = spark.createDataFrame([(1, 0, "a<n>", ["x<n>", "y<n>"]), (1, 1, "b<n>", ["z<n>"]), (2, 0, "a<n>", ["x<n>", "w<n>"])], "sent_id long, pos int, sl string, tls array<string>")
+    aligned = spark.createDataFrame([(1, 0, "w<n>"), (1, 0, "v<adj>"), (1, 1, "q<n>"), (2, 0, "w<n>")], "sent_id long, pos int, tl string")
+    assert {tuple(r) for r in filters.missing_entries(aligned, units).collect()} == {("a<n>", "w<n>"), ("a<n>", "v<adj>")}
+    assert {tuple(r) for r in filters.missing_entries(aligned, units, same_class=True).collect()} == {("a<n>", "w<n>")}
+    table = spark.createDataFrame([("n.sg", "NOUN")], "tags string, value string")
+    back = dictionary.tag_backoff(spark.createDataFrame([("a<n><sg><x>",), ("b<v><past>",)], "sl string"), table)
+    assert {r.sl: (r.tags, r.value) for r in back.collect()} == {"a<n><sg><x>": ("n.sg", "NOUN"), "b<v><past>": (None, "v.past")}
+
+
 def test_evaluation(spark):
     sents = lambda *v: readers.sentences(lines(spark, *v)).withColumnRenamed("sent_id", "line_no")
     src = sents("^a<n>/x<n>/y<n>$ ^b<n>/p<n>$", "^a<n>/x<n>/y<n>/z<n>$")
@@ -210,6 +259,12 @@ def test_emitters(spark):
     entries = emit.bidix_entries(lines(spark, '<e><p><l>a<s n="n"/></l><r>x<s n="n"/></r></p></e>', '<e r="LR"><p><l>b<s n="n"/></l><r>p<s n="n"/></r></p></e>', '<e r="RL"><p><l>a<s n="n"/></l><r>y<s n="n"/></r></p></e>'))
     got = emit.bidix_default_rules(entries).collect()
     assert [r.rule for r in got] == ['<rule><match lemma="a" tags="n.*"><select lemma="x" tags="n.*"/></match></rule>']
+    entry = lambda attrs, a, b: f'<e{attrs}><p><l>{a}<s n="n"/></l><r>{b}<s n="n"/></r></p></e>'
+    pairs = [(' r="LR"', "a", "x"), (' r="RL"', "a", "y"), (' r="LR"', "b", "x"), (' r="LR"', "b", "y"), ("", "c", "x"), (' r="LR"', "c", "y"), (' r="RL"', "d", "x"), (' r="RL"', "d", "y"), ("", "e", "x"), ("", "f", "z"), (' r="RL"', "f", "z")]
+    one_way = emit.bidix_entries(lines(spark, *[entry(*p) for p in pairs]))
+    named = lambda direction: {(r.source[0], r.target[0]) for r in emit.bidix_default_rules(one_way, direction).collect()}
+    assert named("lr") == {("a", "x"), ("f", "z")}
+    assert named("rl") == set()
     assert emit.constraint_grammar('<rules><rule><match lemma="b"/><match lemma="a" tags="n.*"><select lemma="y"/></match></rule></rules>') == ['SELECT ("y") IF (0 ("a" n)) (-1 ("b")) ;']
 
 
@@ -242,5 +297,8 @@ def test_legacy(spark):
     units = spark.createDataFrame([(1, 0, "b<n>", ["b<n>"]), (1, 1, "a<n>", ["x<n>", "y<n>", "z<n>"]), (1, 2, "a<n>", ["x<n>", "y<n>", "z<n>"])], "sent_id long, pos int, sl string, tls array<string>")
     got = {r.pos: r.tls for r in legacy.apply(units, rules).collect()}
     assert got == {0: ["b<n>"], 1: ["y<n>"], 2: ["y<n>", "z<n>"]}
+    near = spark.createDataFrame([(1, 0, "a<n>", ["y<n><f>", "yes<n>", "y<vblex>", "z<n>"]), (2, 0, "a<np>", ["y<n>", "z<n>"])], "sent_id long, pos int, sl string, tls array<string>")
+    select = legacy.parse_rules(spark.createDataFrame([(1, 's\t("a" n)\t("y" n)\t')], "rule_id int, value string"))
+    assert {r.sent_id: r.tls for r in legacy.apply(near, select).collect()} == {1: ["y<n><f>"], 2: ["y<n>", "z<n>"]}
     chosen = legacy.frequency_choice(units, spark.createDataFrame([("y<n>", 5), ("x<n>", 2)], "tl string, freq long"))
     assert {r.pos: r.tls for r in chosen.collect()} == {0: ["b<n>"], 1: ["y<n>"], 2: ["y<n>"]}

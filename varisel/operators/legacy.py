@@ -27,8 +27,11 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
 def apply(units: DataFrame, rules: DataFrame) -> DataFrame:
     """units (sent_id, pos, sl, tls) after rules: at each centre the rule with most contexts (then the first)
-    of those whose contexts all match, selects or removes translations by prefix; nothing is emptied."""
-    fits = lambda lemma, tags, sl: ((lemma == "") | (F.lower(lu.lemma(sl)) == F.lower(lemma))) & ((tags == "") | lu.tag_path(lu.tags(sl)).startswith(F.replace(tags, F.lit(" "), F.lit("."))))
+    of those whose contexts all match, selects or removes the translations that begin with the target's lemma and tags;
+    nothing is emptied."""
+    closed = lambda tags: F.when(tags == "", "").otherwise(F.concat(F.lit("<"), F.replace(tags, F.lit(" "), F.lit("><")), F.lit(">")))
+    of_tags = lambda token: F.regexp_extract(token, r"^[^\\<]*(?:\\.[^\\<]*)*(<.*)?$", 1)
+    fits = lambda lemma, tags, sl: ((lemma == "") | (F.lower(lu.lemma(sl)) == F.lower(lemma))) & of_tags(sl).startswith(closed(tags))
     flat = rules.withColumn("need", F.size("contexts"))
     centres = units.join(flat, F.lower(lu.lemma(F.col("sl"))) == F.lower(F.col("centre.lemma"))).filter(fits(F.col("centre.lemma"), F.col("centre.tags"), F.col("sl")))
     wanted = centres.select("sent_id", "pos", "rule_id", F.explode("contexts").alias("c")).withColumn("at", F.col("pos") + F.col("c.off"))
@@ -38,7 +41,7 @@ def apply(units: DataFrame, rules: DataFrame) -> DataFrame:
     full = centres.join(count, ["sent_id", "pos", "rule_id"], "left").filter(F.coalesce("met", F.lit(0)) == F.col("need"))
     best = full.groupBy("sent_id", "pos").agg(F.min_by(F.struct("op", "target"), F.struct((-F.col("need")).alias("n"), "rule_id")).alias("x"))
     out = units.join(best, ["sent_id", "pos"], "left")
-    hit = lambda t: t.startswith(F.col("x.target.lemma"))
+    hit = lambda t: t.startswith(F.concat(F.col("x.target.lemma"), closed(F.col("x.target.tags"))))
     kept = F.filter("tls", lambda t: F.when(F.col("x.op") == "select", hit(t)).otherwise(~hit(t)))
     return out.withColumn("tls", F.when(F.col("x").isNull() | (F.size(kept) == 0), F.col("tls")).otherwise(kept)).drop("x")
 

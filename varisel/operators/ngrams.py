@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lu
+
 
 def contexts(words: Column, pos: Column, max_n: int = 3, parity: bool = False) -> Column:
     """For j = 1 to max_n - 1: words pos - j to pos, pos to pos + j, pos - j to pos + j, joined by spaces.
@@ -75,8 +77,18 @@ def top_translations(ngrams: DataFrame, k: int) -> DataFrame:
 
 
 def pattern_lines(patterns: DataFrame) -> DataFrame:
+    """sign and numbers, the word, its context, the translation and its count, parted by tabs; numbers by spaces."""
     number = lambda c: F.format_string("%.10f", c)
-    return patterns.select(F.concat_ws("\t", "sign", number("crisp"), number("weight"), number("total"), number("max_freq"), number("tl_freq"), "ngram", "sl", "tl").alias("value"))
+    head = F.concat_ws(" ", "sign", *[number(c) for c in ("crisp", "weight", "total", "max_freq", "tl_freq")])
+    return patterns.select(F.concat_ws("\t", head, lu.wrap(F.col("sl")), "ngram", lu.wrap(F.col("tl")), number("tl_freq")).alias("value"))
+
+
+def read_patterns(lines: DataFrame) -> DataFrame:
+    """Pattern lines (value) -> sign, strength (the first number), sl, ngram, tl, tl_freq."""
+    part = F.split("value", "\t")
+    at = lambda i: F.coalesce(F.try_element_at(part, F.lit(i)), F.lit(""))
+    head = F.filter(F.split(at(1), " "), lambda x: x != "")
+    return lines.filter(F.size(part) > 3).select(head[0].alias("sign"), lu.safe_double(F.try_element_at(head, F.lit(2))).alias("weight"), lu.unwrap(F.trim(at(2))).alias("sl"), at(3).alias("ngram"), lu.unwrap(at(4)).alias("tl"), lu.safe_double(at(5)).alias("tl_freq"))
 
 
 def ngram_lines(ngrams: DataFrame) -> DataFrame:

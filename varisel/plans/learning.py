@@ -34,7 +34,7 @@ def from_fractions(ambiguous: DataFrame, annotated: DataFrame, max_n: int = 3, c
     weighted = maxent.join_lambdas(lambdas, ranked)
     front = ngrams.pareto(weighted)
     kept = weighted.join(front.select("sl", "tl"), ["sl", "tl"], "left_semi")
-    return {"lexicon": ranked, "defaults": emit.default_rules(ranked), "lambdas": lambdas, "front": front, "rules": emit.pattern_rules(kept, threshold=1.0)}
+    return {"lexicon": ranked, "defaults": emit.default_rules(ranked), "lambdas": lambdas, "front": front, "rules": emit.pattern_rules(kept, learned=True)}
 
 
 def target_words(tl: DataFrame) -> DataFrame:

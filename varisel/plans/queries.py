@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lu
@@ -12,20 +10,7 @@ from ..operators import dictionary, emit, evaluate, filters, language_model, leg
 from ..operators.rules import compile_rules
 from ..sources import readers
 from . import fixtures
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = "WITH " + fixtures.SQL + sql if not sql.lstrip().startswith("WITH") else sql
-        return f
-
-    return add
-
+from .registry import query
 
 #: Rules over the derived sentences: context on either side, alternation, repetition, removal, an anchor.
 RULES = compile_rules(
@@ -445,7 +430,7 @@ w AS (SELECT lemma || '<' || t || '><sg>' AS sl, lemma, t, m FROM x)"""
 @query(_BIDIX + """
 SELECT sl, CASE m WHEN 0 THEN ['@' || sl] WHEN 1 THEN [lemma || '_a<' || t || '><sg>', lemma || '_b<' || t || '><sg>'] ELSE [lemma || '_c<' || t || '><pl>'] END AS full_,
   CASE m WHEN 0 THEN ['@' || sl] WHEN 1 THEN [lemma || '_a<' || t || '><*>', lemma || '_b<' || t || '><*>'] ELSE [lemma || '_c<' || t || '><pl>'] END AS short,
-  CASE m WHEN 0 THEN sl WHEN 1 THEN lemma || '<' || t || '><*>' ELSE lemma || '<' || t || '><*>' END AS short_sl
+  CASE m WHEN 1 THEN sl WHEN 2 THEN lemma || '<' || t || '><*>' ELSE sl END AS short_sl
 FROM w""")
 def bidix_lookup(spark, sf_dir):
     """Translations by the longest prefix of a word's tags, with the tags passed on, and trimmed to what the entries hold."""
@@ -553,15 +538,16 @@ def aligned_choice(spark, sf_dir):
     return out.select("sent_id", "pos", "sl", F.array_join("tls", "/").alias("kept"))
 
 
-@query(""", e AS (SELECT DISTINCT sl, CASE WHEN pos % 3 = 0 THEN tls[1] WHEN pos % 3 = 1 THEN split_part(sl, '<', 1) || '_new' || tag ELSE 'y<zz>' END AS tl, tag FROM units)
-SELECT sl, tl, '<e><p><l>' || replace(split_part(sl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></l><r>' || replace(split_part(tl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></r></p></e>' AS value
-FROM e WHERE contains(tl, '_new')""")
+@query(""", e AS (SELECT sl, tls, CASE WHEN pos % 3 = 0 THEN tls[1] WHEN pos % 3 = 1 THEN split_part(sl, '<', 1) || '_new' || tag WHEN sent_id % 2 = 0 THEN split_part(sl, '<', 1) || '.t2' || tag ELSE 'y<zz>' END AS tl, tag FROM units)
+SELECT DISTINCT sl, tl, '<e><p><l>' || replace(split_part(sl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></l><r>' || replace(split_part(tl, '<', 1), ' ', '<b/>') || '<s n="' || replace(replace(tag, '<', ''), '>', '') || '"/></r></p></e>' AS value
+FROM e WHERE len(tls) > 1 AND NOT list_contains(tls, tl) AND tl <> 'y<zz>'""")
 def missing_entries(spark, sf_dir):
-    """Aligned pairs that agree in their first tag and that no unit offers, as dictionary lines."""
+    """Aligned translations of ambiguous units that agree in their first tag and that the unit itself does not offer, as dictionary lines."""
     u = fixtures.units(spark, sf_dir)
     tag = F.regexp_extract("sl", "(<.*>)", 1)
-    tl = F.when(F.col("pos") % 3 == 0, F.element_at("tls", 1)).when(F.col("pos") % 3 == 1, F.concat(lu.lemma(F.col("sl")), F.lit("_new"), tag)).otherwise(F.lit("y<zz>"))
-    return emit.dictionary_entries(filters.missing_entries(u.select("sl", tl.alias("tl")), u))
+    third = F.when(F.col("sent_id") % 2 == 0, F.concat(lu.lemma(F.col("sl")), F.lit(".t2"), tag)).otherwise(F.lit("y<zz>"))
+    tl = F.when(F.col("pos") % 3 == 0, F.element_at("tls", 1)).when(F.col("pos") % 3 == 1, F.concat(lu.lemma(F.col("sl")), F.lit("_new"), tag)).otherwise(third)
+    return emit.dictionary_entries(filters.missing_entries(u.select("sent_id", "pos", tl.alias("tl")), u, same_class=True))
 
 
 #: Wildcards: any lemma with tags, one tag, any tags; several operations in one word.
@@ -640,11 +626,3 @@ def target_counts(spark, sf_dir):
     tag = F.element_at(F.array(F.lit("n"), F.lit("vblex"), F.lit("adj"), F.lit("pr")), (F.length(lemma) % 4 + 1).cast("int"))
     corpus = fixtures.table(spark, sf_dir, "part").select(F.concat(lemma, F.lit(".t"), (F.col("p_partkey") % 4).cast("string"), F.lit("<"), tag, F.lit(">")).alias("tl"))
     return lexicon.target_analysis_counts(fixtures.units(spark, sf_dir), corpus)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
