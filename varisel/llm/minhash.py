@@ -44,6 +44,8 @@ SKETCH = 128
 #: Lists of so many nodes at most give pairs, longer ones are packed into blocks.
 COLD = 32
 BLOCK_NODES, BLOCK_BYTES = 512, 2 << 20
+#: Keys of so many nodes, 24 bytes each, are broadcast to find their texts; more by a shuffle of the texts.
+BROADCAST_NODES = 500_000
 #: Columns of a matrix product that are held at once.
 COLUMNS = 4096
 LAST = 2**63 - 1
@@ -92,8 +94,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], schema=schema)
 
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     texts = docs.select(F.col("text").cast("string").alias("text")).select(text_hash(F.col("text")).alias("t_key"), "text")
-    met = texts.join(wanted, F.col("t_key") == F.col("text_key")).dropDuplicates(["node"])
+    met = texts.join(few, F.col("t_key") == F.col("text_key")).dropDuplicates(["node"])
     return met.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(lean(task), "node long, shingles binary")
 
 
@@ -264,12 +267,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     met = pairs.join(of("a", "one"), F.col("a") == F.col("node_a")).join(of("b", "other"), F.col("b") == F.col("node_b"))
     asked = written(estimated(met, share), "asked")
     ends = asked.select(F.col("a").alias("end")).union(asked.select("b")).union(hot.select("node")).distinct()
-    wanted = nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", "text_key")
+    wanted = written(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", "text_key"), "wanted")
     sets = written(full_sets(docs, wanted, width), "sets")
     full = lambda c, name: sets.select(F.col("node").alias(f"node_{c}"), F.col("shingles").alias(name))
     met = asked.join(full("a", "one"), F.col("a") == F.col("node_a")).join(full("b", "other"), F.col("b") == F.col("node_b"))
     found = verified(met, percent)
-    spent = [lists, asked, sets, hot]
+    spent = [lists, asked, sets, hot, wanted]
     if not hot.isEmpty():
         packed = written(blocks(hot, sets), "blocks")
         found = found.union(block_links(packed, percent))
