@@ -31,10 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, lean, written
+from .common import ASCII_LOWER, discard, lean, written
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWERED = str.maketrans(UPPER, LOWER)
 #: One run in so many loses a code point.
 DAMAGED = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
@@ -44,44 +42,38 @@ HELD = 1 << 17
 LAST = "\U0010ffff"
 
 
-def damaged(doc_id: int | None, run: str) -> str:
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    if h % DAMAGED:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
-
-
-def words_of(doc_id: int | None, text: str) -> Counter:
-    runs: Counter = Counter()
-    for run, n in Counter(RUN.findall(text)).items():
-        runs[run.translate(LOWERED)] += n
-    out: Counter = Counter()
-    for run, n in runs.items():
-        out[damaged(doc_id, run)] += n
-    return out
+def words_of(doc_id: int | None, text: bytes, run: re.Pattern, held: dict[str, int], least_length: int) -> None:
+    """Adds the text's words to ``held``. Letters are lower-cased as bytes, and runs that are too short for a word are passed over."""
+    key = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for w, n in Counter(run.findall(text.translate(ASCII_LOWER).decode())).items():
+        h = zlib.crc32(w.encode(), key)
+        if h % DAMAGED == 0:
+            at = h % len(w)
+            w = w[:at] + w[at + 1 :]
+            if len(w) < least_length:
+                continue
+        held[w] = held.get(w, 0) + n
 
 
 def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """word, n."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, int] = {}
+        run = re.compile(f"[a-zÀ-ÿ]{{{max(1, least_length)},}}")
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for w, n in words_of(i, text.as_py() or "").items():
-                    if len(w) >= least_length:
-                        held[w] += n
+                words_of(i, text.as_buffer().to_pybytes() if text.is_valid else b"", run, held, least_length)
                 if len(held) > HELD:
                     yield row()
                     held.clear()
         yield row()
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(task), "word string, n long")
+    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lean(task), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
@@ -146,41 +138,45 @@ class Automaton:
         first, points, target, skipped = (x[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
         return cls(first.tolist(), points.tobytes().decode("utf-32-le"), target.tolist(), skipped.tolist(), x[cuts[-1] :].astype(bool).tolist())
 
-    def step(self, state: int, number: int, c: str) -> tuple[int, int] | None:
-        at = self.label.find(c, self.first[state], self.first[state + 1])
-        return None if at < 0 else (self.target[at], number + self.skipped[at])
-
     def follow(self, state: int, number: int, text: str) -> tuple[int, int] | None:
         for c in text:
-            to = self.step(state, number, c)
-            if to is None:
+            at = self.label.find(c, self.first[state], self.first[state + 1])
+            if at < 0:
                 return None
-            state, number = to
+            state, number = self.target[at], number + self.skipped[at]
         return state, number
 
     def near(self, word: str, exact: int) -> set[int]:
         """Numbers of words that begin as ``word`` does, for ``exact`` code points, and differ by one error behind them."""
-        now, out = self.follow(len(self.final) - 1, 0, word[:exact]), set()
-
-        def ends(at: tuple[int, int] | None, tail: str) -> None:
-            to = at and self.follow(*at, tail)
-            if to and self.final[to[0]]:
-                out.add(to[1])
+        first, label, target, skipped, final, out = self.first, self.label, self.target, self.skipped, self.final, set()
+        now = self.follow(len(final) - 1, 0, word[:exact])
+
+        def ends(state: int, number: int, tail: str) -> None:
+            for c in tail:
+                at = label.find(c, first[state], first[state + 1])
+                if at < 0:
+                    return
+                state, number = target[at], number + skipped[at]
+            if final[state]:
+                out.add(number)
 
         for i in range(exact, len(word) + 1):
             if now is None:
                 break
             state, number = now
             here, before = word[i : i + 1], word[i - 1] if i > exact else ""
+            rest, later = word[i:], word[i + 1 :]
             if here and here != before:  # within a run of one letter each deletion gives the same word
-                ends(now, word[i + 1 :])
-            for at in range(self.first[state], self.first[state + 1]):
-                to = (self.target[at], number + self.skipped[at])
-                if self.label[at] != before:  # so does an insertion of that letter
-                    ends(to, word[i:])
-                if here and self.label[at] != here:
-                    ends(to, word[i + 1 :])
-            now = self.step(state, number, here) if here else None
+                ends(state, number, later)
+            now = None
+            for at in range(first[state], first[state + 1]):
+                c, to, n = label[at], target[at], number + skipped[at]
+                if c != before:  # so does an insertion of that letter
+                    ends(to, n, rest)
+                if c == here:
+                    now = (to, n)
+                elif here:
+                    ends(to, n, later)
         return out
 
 
