@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from varisel.operators import matching
 from varisel.operators.matching import apply_rules, apply_to_text, apply_to_units, parse_segments, trace_rules
-from varisel.operators.rules import RuleError, compile_rules, validate_rules
+from varisel.operators.rules import RuleError, compile_rules, op_text, validate_rules
 
 CASES = {
     "select": ('<rules><rule><match lemma="bank"><select lemma="orilla"/></match></rule></rules>', "^bank<n>/banco<n>/orilla<n>$", "^bank<n>/orilla<n>$"),
@@ -129,3 +132,106 @@ def test_parse_round_trip(spark):
     rows = parse_segments(df).orderBy("pos").collect()
     assert [r.sl for r in rows] == ["x\\/y<n>", "*un"] and rows[0].tls == ["p\\$<n>", "q<n>"] and rows[0].blank == "a \\^ b "
     assert apply_to_text(df, compile_rules("<rules/>")).first().text == text
+
+
+def written_out(rules, lus):
+    """Matches by every path of every rule at every place: (segment, start, end, rule), once for a rule and end."""
+    import regex
+
+    def text(sl):
+        bare = sl.removeprefix("*")
+        return regex.sub(r"(?<!\\\\)<([^>]*)>", "\x02\\1\x03", bare)
+
+    by = {}
+    for s, p, _, sl, _ in lus:
+        by.setdefault(s, {})[p] = text(sl)
+    found = {}
+    for s, units in by.items():
+        for rule_id, words, anchored in rules.paths():
+            for start in [0] if anchored else sorted(units):
+                places = [units.get(start + k) for k in range(len(words))]
+                if all(t is not None and any(regex.search(x, t) for _, x in w.patterns) for t, w in zip(places, words, strict=True)):
+                    key = (s, start + len(words) - 1, rule_id)
+                    new = ([op_text(w) for w in words], len(words), start)
+                    found[key] = min(found.get(key, new), new)
+    return {(s, start, end, r) for (s, end, r), (_, _, start) in found.items()}
+
+
+def random_rule(rng, depth=0):
+    """A body of words, alternations of several words, and repetitions within each other."""
+    out = []
+    for _ in range(rng.randint(1, 3)):
+        kind = rng.random()
+        if depth < 3 and kind < 0.25:
+            out.append("<or>" + "".join(f'<seq n="q{rng.randint(0, 2)}"/>' if rng.random() < 0.3 else random_rule(rng, 3) for _ in range(rng.randint(2, 3))) + "</or>")
+        elif depth < 2 and kind < 0.45:
+            low = rng.randint(0, 1)
+            out.append(f'<repeat from="{low}" upto="{low + rng.randint(0, 2)}">{random_rule(rng, depth + 1)}</repeat>')
+        else:
+            op = rng.choice(["", "", f'<select lemma="{rng.choice("uvw")}"/>', f'<remove lemma="{rng.choice("uvw")}"/>'])
+            attrs = rng.choice(['lemma="{0}"', 'suffix="{0}"', 'contains="{0}"', 'tags="n.*"', 'lemma="{0}{0}" tags="n.?"', 'suffix="b{0}" tags="*"', 'lemma="*" tags="?"']).format(rng.choice("abc"))
+            out.append(f"<match {attrs}>{op}</match>")
+        if depth == 3:
+            break
+    return "".join(out)
+
+
+def test_graphs_equal_paths_written_out(spark, monkeypatch):
+    """Random rules of nested alternations and repetitions, over segments cut into small blocks."""
+    rng = random.Random(12)
+    lemmas = ["a", "b", "c", "aa", "bb", "Ab", "cab", "bc", "ba"]
+    lus = [(s, p, " ", f"{rng.choice(lemmas)}{rng.choice(['<n>', '<v>', '<n><sg>', ''])}", [f"{x}<n>" for x in "uvw"[: rng.randint(1, 3)]]) for s in range(3) for p in range(24)]
+    df = spark.createDataFrame(lus, "segment_id long, pos int, blank string, sl string, tls array<string>").repartition(3)
+    seqs = "".join(f'<def-seq n="q{i}">{random_rule(rng, 3)}{random_rule(rng, 3)}</def-seq>' for i in range(3))
+    rules = compile_rules(f"<lrx><def-seqs>{seqs}</def-seqs><rules>" + "".join(f'<rule weight="{1 + i * 0.13:.2f}">{"<begin/>" if i % 7 == 3 else ""}{random_rule(rng)}</rule>' for i in range(12)) + "</rules></lrx>")
+    want = written_out(rules, lus)
+    assert len(want) > 30 and any(not a[3] for a in rules.arcs)
+    decisions = []
+    for size in (matching.BLOCK, 9):
+        monkeypatch.setattr(matching, "BLOCK", size)
+        got = [(r.segment_id, r.start, r.end, r.rule_id) for r in matching.rule_matches(df, rules).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        decisions.append({(r.segment_id, r.pos): r.tls for r in apply_rules(df, rules).collect()})
+    assert decisions[0] == decisions[1] and len(decisions[0]) == len(lus)
+    units = df.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", "tls"))).alias("lus"))
+    streamed = units.select("segment_id", F.explode(apply_to_units(F.col("lus"), rules)).alias("u")).select("segment_id", "u.pos", "u.tls").collect()
+    assert {(r.segment_id, r.pos): r.tls for r in streamed} == decisions[0]
+
+
+def test_rows_go_with_the_words_of_a_rule():
+    """Six alternations of three two-word branches are 729 paths, and 36 words."""
+    branch = lambda x: f'<seq n="{x}"/>'
+    seqs = "".join(f'<def-seq n="{x}"><match lemma="{x}"/><match lemma="{x}{x}"/></def-seq>' for x in "abc")
+    xml = f'<lrx><def-seqs>{seqs}</def-seqs><rules><rule>{("<or>" + "".join(map(branch, "abc")) + "</or>") * 6}<match lemma="z"><select lemma="y"/></match></rule></rules></lrx>'
+    rules = compile_rules(xml)
+    assert len(rules.arcs) == 37 and len(rules.patterns) == 7 and len(rules.paths()) == 729
+    many = compile_rules(xml.replace("<rules>", "<rules>" + "<rule>" + ("<or>" + "".join(map(branch, "abc")) + "</or>") * 12 + '<match lemma="z"><select lemma="y"/></match></rule>'))
+    with pytest.raises(RuleError):
+        many.paths()
+    assert len(many.arcs) == 37 + 73
+
+
+def test_fifty_thousand_patterns(spark):
+    """Suffixes, parts and tags by an index: an LU meets the patterns that share its keys, not all."""
+    words = "".join(f'<match suffix="{i:05d}x"/>' for i in range(25_000)) + "".join(f'<match contains="y{i:05d}"/>' for i in range(25_000))
+    rules = compile_rules(f'<rules><rule><or>{words}</or><match lemma="a"><select lemma="q"/></match></rule></rules>')
+    assert len(rules.patterns) == 50_001
+    lus = [(0, i, " ", sl, ["p<n>", "q<n>"]) for i, sl in enumerate(["k00017X<n>", "a<n>", "zy24999z<n>", "a<n>", "k25000x<n>", "a<n>"])]
+    df = spark.createDataFrame(lus, "segment_id long, pos int, blank string, sl string, tls array<string>")
+    got = {r.pos: r.tls for r in apply_rules(df, rules).collect()}
+    assert [got[i] for i in (1, 3, 5)] == [["q<n>"], ["q<n>"], ["p<n>", "q<n>"]]
+
+
+def test_index_keys_cover_case_and_short_patterns(spark):
+    """Every pattern meets every word that its regex matches: capitals, the Kelvin sign, final sigma, empty and one-letter parts."""
+    import regex
+
+    cases = ["", "k", "K", "σ", "ς", "as", "å", "ing", "NG", "ß", "éa", "i", "longer"]
+    xml = "".join(f'<rule><match {kind}="{x}"><select lemma="u"/></match></rule>' for kind in ("suffix", "contains", "lemma") for x in cases)
+    rules = compile_rules(f"<rules>{xml}</rules>")
+    lemmas = ["", "k", "K", "\u212a", "ΟΔΟΣ", "οδος", "οδοσ", "Ås", "\u212bs", "SinginG", "ing", "NG", "ß", "ẞ", "ÉA", "İi", "a longer one", "i"]
+    lus = [(i, 0, " ", f"{x}<n>", ["u<n>", "v<n>"]) for i, x in enumerate(lemmas)]
+    df = spark.createDataFrame(lus, "segment_id long, pos int, blank string, sl string, tls array<string>")
+    got = {(r.segment_id, r.rule_id) for r in matching.rule_matches(df, rules).collect()}
+    patterns = {r: w[0].patterns[0][1] for r, w, _ in rules.paths()}
+    assert got == {(i, r) for i, x in enumerate(lemmas) for r, p in patterns.items() if regex.search(p, f"{x}\x02n\x03")}

@@ -209,7 +209,10 @@ def apply_to_units(units: Column, rules: Rules, at_start: Column | None = None)
     Same decisions as ``apply_rules``; no join, so nothing is kept between records. ``at_start``: whether the array begins its segment."""
     begins = F.lit(True) if at_start is None else at_start
     weights = {r[0]: r[1] for r in rules.rules}
-    paths = [p for p in rules.paths() if any(w.ops for w in p[1])]
+    paths = rules.paths()
+    # a way without operations may be the one that counts for its rule
+    acting = {r for r, words, _ in paths if any(w.ops for w in words)}
+    paths = [p for p in paths if p[0] in acting]
     if not paths:
         return units
     # each pattern is tested once on a unit
