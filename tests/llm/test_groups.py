@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from varisel.llm import minhash, oracles, repair, spelling
+from varisel.llm import minhash, oracles, repair, shingles, spelling
 
 from tests.llm.conftest import DOCS, rows, words
 
@@ -86,12 +86,12 @@ def test_large_groups_of_near_copies(spark, n_words):
 def test_overlap_matrix_and_union_sketch():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 9000, n).astype("u8")) for n in (1, 5, 200, 4000, 4000)]
-    got = minhash.overlaps(sets, sets[::-1])
+    got = shingles.overlaps(sets, sets[::-1])
     assert got.astype(int).tolist() == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
     for a in sets:
         for b in sets:
-            x, y = a[: minhash.SKETCH], b[: minhash.SKETCH]
-            both = np.union1d(x, y)[: minhash.SKETCH]
+            x, y = a[: shingles.SKETCH], b[: shingles.SKETCH]
+            both = np.union1d(x, y)[: shingles.SKETCH]
             assert minhash.union_overlap(x, y) == len(np.intersect1d(np.intersect1d(both, x), y))
 
 
@@ -100,9 +100,9 @@ def test_least_shared_holds_for_small_sets():
     for n in range(1, 151):
         for m in range(n, 151):
             for shared in range(1, n + 1):
-                if 100 * shared >= 85 * (n + m - shared) and (n <= minhash.SKETCH):
-                    lost = max(0, m - minhash.SKETCH)
-                    assert min(minhash.least_shared(n, 0.85), minhash.least_shared(m, 0.85)) <= max(1, shared - lost)
+                if 100 * shared >= 85 * (n + m - shared) and (n <= shingles.SKETCH):
+                    lost = max(0, m - shingles.SKETCH)
+                    assert min(shingles.least_shared(n, 0.85), shingles.least_shared(m, 0.85)) <= max(1, shared - lost)
                     break
 
 

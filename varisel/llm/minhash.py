@@ -26,44 +26,19 @@ none; kept is false where doc_id is null; empty tables give no rows; other colum
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import discard, lean, text_hash, written
 from .components import components
-from .simhash import shingle_hashes, spanning
+from .shingles import BROADCAST_NODES, SKETCH, block_links, blocks, least_shared, shingle_hashes
 
-SKETCH = 128
 #: Lists of so many nodes at most give pairs, longer ones are packed into blocks.
 COLD = 32
-BLOCK_NODES, BLOCK_BYTES = 512, 2 << 20
-#: Keys of so many nodes, 24 bytes each, are broadcast to find their texts; more by a shuffle of the texts.
-BROADCAST_NODES = 500_000
-#: Columns of a matrix product that are held at once.
-COLUMNS = 4096
-LAST = 2**63 - 1
-
-
-def least_shared(size: int, share: float) -> int:
-    """Values that the sketch of a set of ``size`` shares with that of any linked set; ``share``: the similarity."""
-    if size <= SKETCH:
-        # of a partner of size / share values, some of the shared ones may lie outside its sketch
-        beyond = max(0, math.floor(size / share) - SKETCH)
-        return max(1, math.ceil(share * size - 1e-9) - beyond)
-    low = math.log(1e10) / SKETCH
-    # the largest count whose tail is under 1e-10
-    for x in range(int(share * SKETCH), 0, -1):
-        p = x / SKETCH
-        if p < share and p * math.log(p / share) + (1 - p) * math.log((1 - p) / (1 - share)) >= low:
-            return x
-    return 1
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -164,93 +139,6 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "one", "other").mapInArrow(lean(task), "a long, b long")
 
 
-def blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Long lists (value, df, node, n) -> block, nodes, sets, values: blocks of nodes that entered under like values.
-
-    Nodes in that order are weighed by their sets, at least a BLOCK_NODES-th of a block each; a block is a range of the running sum, which is
-    taken within tasks and over the tasks' sums, so blocks are the same however many tasks there are."""
-    per = hot.groupBy("node").agg(F.max_by("value", F.struct("df", "value")).alias("top"), F.collect_set("value").alias("values"), F.greatest(8 * F.first("n"), F.lit(BLOCK_BYTES // BLOCK_NODES)).alias("weight"))
-    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = per.repartitionByRange(tasks, "top", "node").sortWithinPartitions("top", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            upto = before + np.cumsum(batch.column("weight").to_numpy())
-            before = int(upto[-1]) if len(upto) else before
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("values"), pa.array(np.full(len(upto), part)), pa.array(upto)], names=["node", "values", "part", "upto"])
-
-    placed = written(ordered.select("node", "values", "weight").mapInArrow(lean(run), "node long, values array<long>, part long, upto long"), "placed")
-    sums = placed.groupBy("part").agg(F.max("upto").alias("sum"))  # one row for each task
-    earlier = sums.select(F.col("part").alias("of"), (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("earlier"))
-    block = F.floor((F.col("earlier") + F.col("upto") - 1) / BLOCK_BYTES)
-    rows = placed.join(F.broadcast(earlier), F.col("part") == F.col("of")).select(block.alias("block"), "node", "values").join(sets, "node")
-    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("x"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("values")).select("block", F.col("x.node").alias("nodes"), F.col("x.shingles").alias("sets"), "values")
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, as products of 0-1 matrices over the values that both sides hold."""
-    out = np.zeros((len(left), len(right)), "f4")
-    x, y = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(x, y)
-    if not len(both):
-        return out
-    rows = []
-    for values, sets in ((x, left), (y, right)):
-        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        place = np.searchsorted(both, values).clip(max=len(both) - 1)
-        on = both[place] == values
-        rows.append((of[on], place[on]))
-    for at in range(0, len(both), COLUMNS):
-        width = min(COLUMNS, len(both) - at)
-        parts = []
-        for (of, place), sets in zip(rows, (left, right), strict=True):
-            m = np.zeros((len(sets), width), "f4")
-            own = (place >= at) & (place < at + width)
-            m[of[own], place[own] - at] = 1
-            parts.append(m)
-        out += parts[0] @ parts[1].T
-    return out
-
-
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked sets, those on the left and on the right; ``same``: both sides are one block."""
-    share = percent / 100
-    shared = overlaps([s[:SKETCH] for s in left], [s[:SKETCH] for s in right])
-    need = [np.array([least_shared(len(s), share) for s in side]) for side in (left, right)]
-    may = shared >= np.minimum(need[0][:, None], need[1][None, :])
-    if same:
-        may = np.triu(may, 1)
-    i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-    if not len(i):
-        return i, j
-    exact = overlaps([left[k] for k in i], [right[k] for k in j])
-    size = [np.array([len(side[k]) for k in at], "f8") for side, at in ((left, i), (right, j))]
-    on = may[np.ix_(i, j)] & (100 * exact >= percent * (size[0][:, None] + size[1][None, :] - exact))
-    a, b = np.nonzero(on)
-    return i[a], j[b]
-
-
-def block_links(packed: DataFrame, percent: int) -> DataFrame:
-    """Blocks that a value leads to -> a, b: a spanning forest of the verified links of each pair of blocks."""
-    led = packed.select("block", F.explode("values").alias("value"))
-    other = led.select(F.col("block").alias("to"), F.col("value").alias("v"))
-    asked = led.join(other, (F.col("value") == F.col("v")) & (F.col("block") <= F.col("to"))).select("block", "to").distinct()
-    side = lambda key, n, s: packed.select(F.col("block").alias(key), F.col("nodes").alias(n), F.col("sets").alias(s))
-    met = asked.join(side("x", "left_nodes", "left_sets"), F.col("block") == F.col("x")).join(side("y", "right_nodes", "right_sets"), F.col("to") == F.col("y"))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y, ln, ls, rn, rs in zip(*(batch.column(c) for c in ("block", "to", "left_nodes", "left_sets", "right_nodes", "right_sets")), strict=True):
-                left, right = ([np.frombuffer(b.as_buffer(), "<u8") for b in s.values] for s in (ls, rs))
-                i, j = linked(left, right, percent, x.as_py() == y.as_py())
-                a, b = np.asarray(ln.values)[i], np.asarray(rn.values)[j]
-                tree = spanning(a, b, np.zeros(len(a), "i8"))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[tree], pa.int64()), "b": pa.array(b[tree], pa.int64())})
-
-    return met.select("block", "to", "left_nodes", "left_sets", "right_nodes", "right_sets").mapInArrow(lean(task), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept. Documents are linked where
     100 * intersection >= ``percent`` * union."""

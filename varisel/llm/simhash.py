@@ -16,10 +16,10 @@ pairs: the forest joins what the links join, at every smaller radius too.
 a similarity, which a small radius does not hold: at a similarity of 0.8 of shingle sets fingerprints differ in about
 10 bits of 64, with a deviation of 3. There the index is built over several turns of the fingerprints, so that other bits come
 first, and within a node only a share of the radius that goes with the bits of its mask is allowed. A pair that
-differs evenly survives in one turn or another; how many do is measured in the tests and the README. A link of up to
-``reach`` bits holds if the shingle sets of the two texts have the ``similarity``. Of the links of a group that they join,
-FORESTS spanning forests, the lightest of each rest, are verified, so their number goes with the number of
-fingerprints, not of pairs: a node's nearest neighbours are among them.
+differs evenly survives in one turn or another; how many do is measured in the tests and the README. A met pair of up to ``reach`` bits
+is a candidate if the signatures, one bit of each of 64 minima, are near too; of unlike texts one pair in some ten thousand is. Candidates only
+say which documents come together in a group: within a group every pair of shingle sets is compared exactly, in blocks, as in ``minhash``; a
+pair of blocks returns a spanning forest of its links. So a forest's links never stand for a pair that was not compared.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; equal texts and
 repeated rows share a fingerprint; component_id is the smallest doc_id that is not null, null if there is
@@ -36,8 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, discard, free_names, lean, written
+from .common import discard, free_names, lean, written
 from .components import components
+from .shingles import BROADCAST_NODES, block_links, blocks, shingle_hashes, spanning
 
 #: Blocks: about so many at least, so that groups can be pruned; more where a block would exceed BLOCK fingerprints.
 LEAST_BLOCKS, BLOCK, FANOUT = 64, 1 << 16, 8
@@ -47,25 +48,12 @@ MOST_ROOTS = 1 << 20
 MOST_PAIRS = 1 << 21
 #: Turns of the fingerprints in a search that allows a share of the radius.
 TURNS = 4
-#: Edge-disjoint spanning forests whose links are verified.
-FORESTS = 3
+#: Bits in which the signatures of similar texts may differ, of 64: at a similarity of 0.8 they differ in 6.4 with a deviation of 2.4.
+SIGNED = 15
 LAST = 2**63 - 1
 ALL = np.uint64(2**64 - 1)
-
-
-def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
-    """XXH64 of each run of ``width`` words, repeats included; of fewer words the whole sequence; none without words."""
-    from xxhash import xxh64_intdigest
-
-    tokens = (text or b"").translate(ASCII_LOWER).split()
-    if not tokens:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), "i8", len(tokens)) + 1)
-    starts = ends - np.diff(ends, prepend=0)
-    width = min(width, len(tokens))
-    a, b = starts[: len(tokens) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist()
-    return np.fromiter([xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], "<u8", len(a))
+#: Odd multipliers of the signature's minima, by a rule.
+LANES = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1) ** 3 + 0x632BE59BD9B4E019 * i) % 2**64 | 1 for i in range(64)], "<u8")
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -77,18 +65,29 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, text_hash, fp: the fingerprint's 64 bits as a long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+def signature(text: bytes | None, width: int) -> int:
+    """One bit of each of 64 minima: two texts agree in a bit with probability (1 + similarity) / 2. Without words: zero."""
+    hashes = shingle_hashes(text, width)
+    least = np.full(64, ALL)
+    for i in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, (hashes[i : i + (1 << 11), None] * LANES).min(0))
+    bits = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return int(np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
+def fingerprints(docs: DataFrame, width: int = 4, signed: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp: the fingerprint's 64 bits as a long; with ``signed`` also sig, the ``signature``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())] + [("sig", pa.int64())] * signed)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, width) for t in batch.column("text")], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view("<i8"))], schema=schema)
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column("text")]
+            made = [np.array([f(t, width) for t in texts], "<u8").view("<i8") for f in (fingerprint, signature)[: 1 + signed]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, made)], schema=schema)
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     cols = cols.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    return cols.mapInArrow(lean(task), "doc_id long, text_hash long, fp long")
+    return cols.mapInArrow(lean(task), "doc_id long, text_hash long, fp long" + ", sig long" * signed)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -147,40 +146,9 @@ class GrayIndex:
                 todo.append((k - 1, np.repeat(q[own], FANOUT)[on], child[on]))
 
 
-def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of the links (a, b) that are the lightest spanning forest by ``bits``; ties fall at random, so no
-    node draws all of them."""
-    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    weight = np.empty(len(a), "i8")
-    weight[np.lexsort((np.random.default_rng(0).permutation(len(a)), bits))] = np.arange(len(a))
-    left, root, chosen = np.arange(len(a)), np.arange(len(nodes)), []
-    place = np.argsort(weight)
-    while True:
-        left = left[root[x[left]] != root[y[left]]]
-        if not len(left):
-            return np.concatenate([np.zeros(0, "i8"), *chosen])
-        best = np.full(len(nodes), len(a))
-        np.minimum.at(best, root[x[left]], weight[left])
-        np.minimum.at(best, root[y[left]], weight[left])
-        new = place[np.unique(best[best < len(a)])]
-        chosen.append(new)
-        while True:  # nodes that the new links join get the smallest root
-            low = np.minimum(root[x[new]], root[y[new]])
-            to = root.copy()
-            np.minimum.at(to, root[x[new]], low)
-            np.minimum.at(to, root[y[new]], low)
-            while not np.array_equal(to, to[to]):
-                to = to[to]
-            to = to[root]
-            if np.array_equal(to, root):
-                break
-            root = to
-
-
 def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
     """``fps`` (fp, distinct) -> (a, b, bits): links, of at most ``radius`` bits, that join all fingerprints within the radius
-    of each other; with ``share`` most of them, in far fewer steps."""
+    of each other; with ``share`` most of them, in far fewer steps. Where ``fps`` has sig, links also need signatures within SIGNED bits."""
     spark = fps.sparkSession
     n, turns = fps.count(), TURNS if share else 1
     # blocks of a turn: at least LEAST_BLOCKS, of at most BLOCK fingerprints; a task packs several
@@ -188,28 +156,30 @@ def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * turns // (4 * BLOCK)))
     shifts = [64 // turns * t for t in range(turns)]
     turn = lambda t: F.col("fp") if t == 0 else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))
-    each = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), turn(t).alias("fp")) for t in shifts])).alias("x")).select("x.*")
+    signed = ["sig"] if "sig" in fps.columns else []
+    each = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), turn(t).alias("fp"), *signed) for t in shifts])).alias("x")).select("x.*")
     rank_of = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank_of = rank_of.bitwiseXOR(F.shiftrightunsigned(rank_of, shift))
     # signed order of the rank with its top bit flipped is unsigned order
     ranked = each.withColumn("rank", rank_of.bitwiseXOR(F.lit(-(2**63)).cast("long")))
-    in_order = ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "fp")
+    in_order = ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "fp", *signed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         of = np.concatenate([np.zeros(0, "i4"), *(b.column("turn").to_numpy() for b in held)])
         fps = np.concatenate([np.zeros(0, "<i8"), *(b.column("fp").to_numpy() for b in held)]).view("<u8")
+        sigs = [np.concatenate([np.zeros(0, "<i8"), *(b.column("sig").to_numpy() for b in held)])] if signed else []
         part, k = TaskContext.get().partitionId(), 0
         for t in np.unique(of):
-            same = fps[of == t]
+            same, marks = fps[of == t], [x[of == t] for x in sigs]
             for at in range(0, len(same), most):
                 own = same[at : at + most]
                 mask, value = agreed(np.full(len(own), ALL), own, np.zeros(1, "i8"))
-                yield pa.RecordBatch.from_pydict({"block": [(part << 20) + k], "turn": pa.array([t], pa.int32()), "mask": mask.view("<i8"), "value": value.view("<i8"), "members": [own.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [(part << 20) + k], "turn": pa.array([t], pa.int32()), "mask": mask.view("<i8"), "value": value.view("<i8"), "members": [own.tobytes()], "sigs": pa.array([x[at : at + most].tobytes() for x in marks] or [None], pa.binary())})
                 k += 1
 
-    index = written(in_order.mapInArrow(lean(pack), "block long, turn int, mask long, value long, members binary"), "gray")
+    index = written(in_order.mapInArrow(lean(pack), "block long, turn int, mask long, value long, members binary, sigs binary"), "gray")
     roots = index.select("block", "turn", "mask", "value").orderBy("block").toPandas()  # one row for each block
     roots = {t: (r.block.to_numpy(), r["mask"].to_numpy().view("<u8"), r.value.to_numpy().view("<u8")) for t, r in roots.groupby("turn")}
     sent = spark.sparkContext.broadcast(roots)
@@ -218,43 +188,48 @@ def links(fps: DataFrame, radius: int = 4, share: bool = False) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = {t: (ids, GrayIndex(value, mask)) for t, (ids, mask, value) in sent.value.items()}
         for batch in batches:
-            for own, t, members in zip(batch.column("block").to_pylist(), batch.column("turn").to_pylist(), batch.column("members"), strict=True):
+            for own, t, members, marks in zip(batch.column("block").to_pylist(), batch.column("turn").to_pylist(), batch.column("members"), batch.column("sigs"), strict=True):
                 fps, (ids, tree) = np.frombuffer(members.as_py(), "<u8"), trees[t]
+                sigs = np.frombuffer(marks.as_py(), "<u8") if signed else fps
                 for at in range(0, len(fps), 4096):
-                    part = fps[at : at + 4096]
+                    part, sig = fps[at : at + 4096], sigs[at : at + 4096]
                     found = [(q[ids[leaf] <= own], leaf[ids[leaf] <= own]) for q, leaf, _ in tree.within(part, allowed)]
                     q, leaf = (np.concatenate([f[i] for f in found]) for i in range(2)) if found else (np.zeros(0, "i8"),) * 2
                     q, leaf = q[order := np.argsort(leaf, kind="stable")], leaf[order]
                     to = np.unique(leaf)
                     cuts = np.append(np.searchsorted(leaf, to), len(leaf))
-                    yield pa.RecordBatch.from_pydict({"to": pa.array(ids[to], pa.int64()), "asked": pa.array([part[q[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"to": pa.array(ids[to], pa.int64()), "asked": pa.array([part[q[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()), "marked": pa.array([sig[q[x:y]].tobytes() if signed else None for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, members, asked in zip(batch.column("turn").to_pylist(), batch.column("members"), batch.column("asked"), strict=True):
+            for t, members, asked, sigs, marked in zip(batch.column("turn").to_pylist(), *(batch.column(c) for c in ("members", "asked", "sigs", "marked")), strict=True):
                 own, queries = np.frombuffer(members.as_py(), "<u8"), np.frombuffer(asked.as_py(), "<u8")
+                sig_m, sig_q = (np.frombuffer(x.as_py() or b"", "<u8") for x in (sigs, marked))
                 kept = (np.zeros(0, "<u8"), np.zeros(0, "<u8"), np.zeros(0, "u1"))
                 for q, m, bits in GrayIndex(own).within(queries, allowed):
                     a, b = queries[q], own[m]
                     on = bits > 0
+                    if signed:
+                        on &= np.bitwise_count(sig_q[q] ^ sig_m[m]) <= SIGNED
                     new = [np.concatenate([x, y]) for x, y in zip(kept, (a[on], b[on], bits[on]), strict=True)]
                     tree = spanning(*new)
                     kept = tuple(x[tree] for x in new)
                 a, b = (turned(x, 64 - t).view("<i8") for x in kept[:2])
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64()), "bits": pa.array(kept[2].astype("i4"))})
 
-    routed = index.select("block", "turn", "members").mapInArrow(lean(route), "to long, asked binary")
-    met = routed.join(index.select("block", "turn", "members"), F.col("to") == F.col("block"))
-    return met.select("turn", "members", "asked").mapInArrow(lean(probe), "a long, b long, bits int").distinct()
+    routed = index.select("block", "turn", "members", "sigs").mapInArrow(lean(route), "to long, asked binary, marked binary")
+    met = routed.join(index.select("block", "turn", "members", "sigs"), F.col("to") == F.col("block"))
+    return met.select("turn", "members", "asked", "sigs", "marked").mapInArrow(lean(probe), "a long, b long, bits int").distinct()
 
 
-def _prints(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def _prints(docs: DataFrame, width: int, signed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row's fingerprint; each fingerprint's first document, by doc_id (null last) and text hash, as ``node``."""
-    prints = written(fingerprints(docs, width), "prints")
+    prints = written(fingerprints(docs, width, signed), "prints")
     name = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text_hash")
-    first = prints.groupBy("fp").agg(F.min(name).alias("x"), F.min("doc_id").alias("least"))
+    sig = [F.min_by("sig", name).alias("sig")] * signed
+    first = prints.groupBy("fp").agg(F.min(name).alias("x"), F.min("doc_id").alias("least"), *sig)
     node = F.struct("x.d", F.coalesce("x.text_hash", F.lit(0).cast("long")).alias("h"), "fp")
-    return prints, written(first.select("fp", "least", node.alias("node")), "distinct")
+    return prints, written(first.select("fp", "least", node.alias("node"), *["sig"] * signed), "distinct")
 
 
 def _named(found: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -293,83 +268,32 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(lean(task), "fp long, shingles binary")
 
 
-def similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b, one, other: shingle sets as binary) -> a, b of those with the Jaccard similarity."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = []
-            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
-                x, y = np.frombuffer(one.as_py(), "<u8"), np.frombuffer(other.as_py(), "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
-
-    return pairs.select("a", "b", "one", "other").mapInArrow(lean(task), pairs.select("a", "b").schema)
-
-
-def forests(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of the links of FORESTS spanning forests, each the lightest of what the ones before left."""
-    left, chosen = np.arange(len(a)), []
-    for _ in range(FORESTS):
-        tree = spanning(a[left], b[left], bits[left])
-        chosen.append(left[tree])
-        left = np.delete(left, tree)
-    return np.concatenate(chosen)
-
-
-def _sparse(edges: DataFrame, group_edges: int = 1 << 20) -> DataFrame:
-    """edges (group, a, b, bits) -> a, b: ``forests`` of the groups; a group of more than ``group_edges`` edges is
-    dealt to several tasks, each with forests of its own."""
-    sizes = edges.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select(F.col("group").alias("of"), "n")
-    salted = edges.join(sizes, F.col("group") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / group_edges)))
-    dealt = salted.select("group", "salt", "a", "b", "bits").repartition("group", "salt").sortWithinPartitions("group", "salt")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kept = None, None
-        for batch in batches:
-            of = np.stack([batch.column(c).to_numpy() for c in ("group", "salt")], 1)
-            cuts = np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1
-            for x, y in zip([0, *cuts], [*cuts, len(of)], strict=True):
-                new = [batch.column(c).to_numpy()[x:y] for c in ("a", "b", "bits")]
-                if key is not None and tuple(of[x]) == key:
-                    new = [np.concatenate(z) for z in zip(kept, new, strict=True)]
-                elif kept is not None:
-                    yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
-                on = forests(*new)
-                key, kept = tuple(of[x]), [z[on] for z in new]
-        if kept is not None:
-            yield pa.RecordBatch.from_pydict({"a": kept[0], "b": kept[1]})
-
-    return dealt.mapInArrow(lean(task), "a long, b long")
-
-
-def similar_groups(docs: DataFrame, width: int = 5, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, reach: int = 16, percent: int = 80) -> DataFrame:
     """``docs``' prints with the root of each row's group; see above."""
-    prints, distinct = _prints(docs, width)
-    found = written(links(distinct.select("fp"), reach, share=True), "found")
-    joined = components(found.select("a", "b"))
+    prints, distinct = _prints(docs, width, signed=True)
+    found = written(links(distinct.select("fp", "sig"), reach, share=True).select("a", "b"), "found")
     # the root itself is no node of its component's table
-    met = found.join(joined, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("group"), "a", "b", "bits")
-    asked = written(_sparse(met), "asked")
+    joined = components(found)
+    grouped = joined.select(F.col("root").alias("value"), F.col("node")).union(joined.select("root", "root").distinct())
     # the first document of a fingerprint stands for its texts
-    ends = asked.select("a").union(asked.select("b")).distinct()
-    wanted = ends.join(distinct, F.col("a") == F.col("fp")).select("fp", F.col("node.d").alias("d"), F.col("node.h").alias("h"))
+    wanted = written(grouped.join(distinct.select("fp", F.col("node").alias("first")), F.col("node") == F.col("fp")).select("fp", F.col("first.d").alias("d"), F.col("first.h").alias("h")), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("t_d"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("t_h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-    sets = texts.join(wanted, (F.col("t_d") == F.col("d")) & (F.col("t_h") == F.col("h"))).dropDuplicates(["fp"])
-    sets = written(_shingle_sets(sets, width), "sets")
-    of = lambda c, name: sets.select(F.col("fp").alias(f"fp_{c}"), F.col("shingles").alias(name))
-    pairs = asked.join(of("a", "one"), F.col("a") == F.col("fp_a")).join(of("b", "other"), F.col("b") == F.col("fp_b"))
-    held = components(_named(similar(pairs, similarity), distinct))
-    discard(found, asked, sets)
+    sets = texts.join(few, (F.col("t_d") == F.col("d")) & (F.col("t_h") == F.col("h"))).dropDuplicates(["fp"])
+    sets = written(_shingle_sets(sets, width).select(F.col("fp").alias("node"), "shingles"), "sets")
+    sized = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")).filter("n > 0")
+    lists = written(grouped.join(sized, "node").select("value", F.lit(1).cast("long").alias("df"), "node", "n"), "groups")
+    packed = written(blocks(lists, sets), "blocks")
+    held = components(_named(block_links(packed, percent), distinct))
+    discard(found, wanted, sets, lists, packed)
     return _labelled(prints, distinct, held)
 
 
-def first_of_each(docs: DataFrame, width: int = 5, reach: int = 13, similarity: float = 0.8) -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 5, reach: int = 16, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of similar texts, that of the smallest doc_id, then text hash. Rows
     without doc_id all stay; of rows equal in doc_id and text one stays."""
-    known = similar_groups(docs.filter("doc_id is not null"), width, reach, similarity)
+    known = similar_groups(docs.filter("doc_id is not null"), width, reach, percent)
     first_id, first_hash = free_names(docs, "first_id", "first_hash")
     hashed = F.coalesce(F.col("text_hash"), F.lit(0).cast("long"))
     first = written(known.filter((F.col("doc_id") == F.col("root.d")) & (hashed == F.col("root.h"))).select("doc_id", hashed.alias("h")), "first")
