@@ -48,6 +48,7 @@ def test_crispiness(spark):
 def test_pareto_against_all_pairs(spark):
     rng = np.random.default_rng(0)
     rows = [(f"s{s}", f"g{g}", f"t{t}", float(w)) for s in range(6) for t in range(5) for g, w in enumerate(rng.integers(0, 3, 3)) if w]
+    rows += [("wide", f"g{g}", f"t{t}", float(w)) for t in range(150) for g, w in enumerate(rng.integers(0, 9, 5)) if w]  # bits in three blocks
     got = {(r.sl, r.tl): r.mass for r in ngrams.pareto(spark.createDataFrame(rows, "sl string, ngram string, tl string, weight double")).collect()}
     vectors = {}
     for s, g, t, w in rows:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from varisel.operators import matching
 from varisel.operators.matching import apply_rules, apply_to_text, apply_to_units, parse_segments, trace_rules
-from varisel.operators.rules import RuleError, compile_rules, op_text, validate_rules
+from varisel.operators.rules import RuleError, compile_rules, op_text
+from varisel.operators.validation import faults, validate_rules
 
 CASES = {
     "select": ('<rules><rule><match lemma="bank"><select lemma="orilla"/></match></rule></rules>', "^bank<n>/banco<n>/orilla<n>$", "^bank<n>/orilla<n>$"),
@@ -235,3 +236,27 @@ def test_index_keys_cover_case_and_short_patterns(spark):
     got = {(r.segment_id, r.rule_id) for r in matching.rule_matches(df, rules).collect()}
     patterns = {r: w[0].patterns[0][1] for r, w, _ in rules.paths()}
     assert got == {(i, r) for i, x in enumerate(lemmas) for r, p in patterns.items() if regex.search(p, f"{x}\x02n\x03")}
+
+
+BROKEN = {
+    "an element that is none": ("<rules>\n <rule><word/></rule></rules>", [(2, "rule"), (2, "word")]),
+    "a child in the wrong place": ("<rules><match/></rules>", [(1, "rules")]),
+    "two operations": ('<rules><rule><match lemma="a"><select/><remove/></match></rule></rules>', [(1, "match")]),
+    "an attribute that is none": ('<rules>\n\n<rule wieght="2"/></rules>', [(3, "rule")]),
+    "a missing name": ("<lrx><def-seqs><def-seq/></def-seqs></lrx>", [(1, "def-seq")]),
+    "no definitions": ("<lrx>\n<def-seqs/></lrx>", [(2, "def-seqs")]),
+    "a name defined twice": ('<lrx><def-seqs><def-seq n="a"/>\n<def-set n="a"/></def-seqs></lrx>', [(2, "def-set")]),
+    "a name not defined": ('<rules><rule><seq n="x"/></rule></rules>', [(1, "seq")]),
+    "text in a rule": ("<rules><rule>text</rule></rules>", [(1, "rule")]),
+    "something in an empty element": ("<rules><rule><begin> </begin></rule></rules>", [(1, "begin")]),
+    "a wrong value": ('<lrx glob="many"/>', [(1, "lrx")]),
+    "no XML": ("<rules><rule></rules>", [(1, "rule")]),
+}
+
+
+def test_faults_have_their_place():
+    for name, (xml, want) in BROKEN.items():
+        assert sorted((f.line, f.element) for f in faults(xml)) == want, name
+    for name, (xml, _, _) in CASES.items():
+        assert faults(xml) == [] or name == "several removes", name
+    assert str(faults('<rules><rule wieght="2"/></rules>')[0]) == "line 1, column 8, rule: unknown attribute wieght"

@@ -99,13 +99,26 @@ def pareto(patterns: DataFrame) -> DataFrame:
     """patterns (sl, ngram, tl, weight) -> sl, tl, mass: translations that no other one of their word dominates.
 
     A translation is a vector of weights over its word's contexts, 0 where it has none. t dominates u if it
-    is at least as heavy in every context and heavier in one. Only contexts that u has can show that t is not
-    dominating, so pairs meet by context; a context of u without t is one where t has 0."""
-    v = patterns.groupBy("sl", "ngram", "tl").agg(F.sum("weight").alias("weight"))
-    size = v.filter("weight > 0").groupBy("sl", "tl").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass"))
-    t, u = (v.filter("weight > 0").select("sl", "ngram", F.col("tl").alias(x), F.col("weight").alias(f"w_{x}")) for x in "tu")
-    met = t.join(u, ["sl", "ngram"]).filter("t <> u").groupBy("sl", "t", "u").agg(F.count(F.lit(1)).alias("both"), F.min((F.col("w_t") >= F.col("w_u")).cast("int")).alias("all"), F.max((F.col("w_t") > F.col("w_u")).cast("int")).alias("some"))
-    n_of = lambda x: size.select("sl", F.col("tl").alias(x), F.col("n").alias(f"n_{x}"))
-    full = met.join(n_of("t"), ["sl", "t"]).join(n_of("u"), ["sl", "u"])
-    dominated = full.filter("both = n_u and all = 1 and (some = 1 or n_t > n_u)").select("sl", F.col("u").alias("tl")).distinct()
-    return size.join(dominated, ["sl", "tl"], "left_anti").select("sl", "tl", "mass")
+    is at least as heavy in every context and heavier in one. A word's translations are numbered and stand for bits, 64 to a block. In
+    each context a running union by falling weight gives u the set of those as heavy; the intersection over u's contexts holds whoever
+    may dominate it. One of them does if it is heavier in one of them, or has more contexts. No pairs are formed: rows are those of
+    the patterns, times the blocks of their word."""
+    v = patterns.groupBy("sl", "ngram", "tl").agg(F.sum("weight").alias("weight")).filter("weight > 0")
+    size = v.groupBy("sl", "tl").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass"))
+    own = Window.partitionBy("sl")
+    numbered = size.withColumn("i", F.row_number().over(own.orderBy(F.desc("mass"), "tl")) - 1).withColumn("last", F.floor(F.max("i").over(own) / 64).cast("int"))
+    each = numbered.select("sl", "tl", "n", "mass", "i", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
+    bit = F.when(F.floor(F.col("i") / 64) == F.col("block"), F.expr("shiftleft(1L, i % 64)")).otherwise(F.lit(0).cast("long"))
+
+    def heavier(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+        """``as_``: bits of the rows with at least as much; ``more``: with more."""
+        upto = F.bit_or("bit").over(Window.partitionBy(*keys).orderBy(F.desc(by)))  # rows of equal value come in together
+        same = F.bit_or("bit").over(Window.partitionBy(*keys, by))
+        return df.withColumns({"as_": upto, "more": upto.bitwiseAND(F.bitwise_not(same))})
+
+    bits = each.withColumn("bit", bit)
+    wide = heavier(bits, ["sl", "block"], "n").select("sl", "tl", "block", "mass", "bit", F.col("more").alias("wider"))
+    met = heavier(v.join(bits.select("sl", "tl", "block", "bit"), ["sl", "tl"]), ["sl", "ngram", "block"], "weight")
+    sets = met.groupBy("sl", "tl", "block").agg(F.bit_and("as_").alias("all_"), F.bit_or("more").alias("some"))
+    lost = sets.join(wide, ["sl", "tl", "block"]).withColumn("over", F.col("all_").bitwiseAND(F.bitwise_not(F.col("bit"))).bitwiseAND(F.col("some").bitwiseOR(F.col("wider"))))
+    return lost.groupBy("sl", "tl").agg(F.max("mass").alias("mass"), F.bit_or("over").alias("over")).filter("over = 0").select("sl", "tl", "mass")

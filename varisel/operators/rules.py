@@ -389,12 +389,3 @@ def compile_rules(xml: str) -> Rules:
         raise RuleError(str(e)) from e
     compiler.top(root)
     return compiler.out
-
-
-def validate_rules(xml: str) -> list[str]:
-    """What is wrong with a rule file; an empty list if it is valid."""
-    try:
-        compile_rules(xml)
-    except (RuleError, ValueError) as e:
-        return [str(e)]
-    return []
