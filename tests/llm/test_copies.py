@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -313,24 +314,57 @@ def test_leaks_in_texts_that_end_in_blanks(spark):
 
 
 def test_multi_index(spark):
-    """All fingerprints within the radius are found, no others; and leaks of a similarity of 0.8 are within it."""
+    """Every window finds all items of its size within the radius, and no others, whatever item it was made from."""
     rng = np.random.default_rng(4)
-    items = rng.integers(-(2**63), 2**63, 20, dtype="i8")
+    items = [(k, 10 + k % 2, int(x)) for k, x in enumerate(rng.integers(-(2**63), 2**63, 20, dtype="i8"))]
     rows = []
-    for n in range(3000):
-        i = int(rng.integers(20))
-        fp = int(items[i].view("u8"))
-        for b in rng.choice(64, int(rng.integers(0, 64)), replace=False):
+    for r in range(3000):
+        fp = int(np.int64(items[int(rng.integers(20))][2]).view("u8"))
+        for b in rng.choice(64, int(rng.integers(0, 40)), replace=False):
             fp ^= 1 << int(b)
-        rows.append((n, i, int(np.uint64(fp).view("i8"))))
-    far = [(3000 + n, int(rng.integers(20)), int(x)) for n, x in enumerate(rng.integers(-(2**63), 2**63, 3000, dtype="i8"))]
-    prints = spark.createDataFrame(rows + far, "n int, item_id int, fp long")
-    named = spark.createDataFrame([(k, int(x)) for k, x in enumerate(items)], "item_id int, item_fp long")
+        rows.append((r, 10 + int(rng.integers(2)), int(np.uint64(fp).view("i8"))))
+    prints = spark.createDataFrame(rows, "row int, n int, fp long")
+    named = spark.createDataFrame(items, "item_id int, n int, item_fp long")
     for radius in (7, 15, 23):
-        got = {(r.n, r.differing_bits) for r in decontamination.within(prints, named, radius).collect()}
-        bits = {n: int(np.bitwise_count(np.int64(fp).view("u8") ^ items[i].view("u8"))) for n, i, fp in rows + far}
-        assert got == {(n, b) for n, b in bits.items() if b <= radius}
-        assert sum(n >= 3000 for n, _ in got) < {7: 1, 15: 10, 23: 120}[radius]  # of 3000 others
+        got = [(r.row, r.item_id, r.differing_bits) for r in decontamination.within(prints, named, radius).collect()]
+        bits = {(r, i): int(np.bitwise_count(np.int64(fp).view("u8") ^ np.int64(x).view("u8"))) for r, n, fp in rows for i, size, x in items if n == size}
+        assert len(got) == len(set(got)) and set(got) == {(r, i, b) for (r, i), b in bits.items() if b <= radius}
+
+
+def test_index_alone_finds_the_same_leaks(spark):
+    """Every window of every document, looked up in the index without any shared shingle, then compared exactly: the same leaks."""
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(k, draw(rng.randint(12, 40))) for k in range(12)]
+    docs_ = []
+    for d in range(40):
+        body = draw(rng.randint(30, 120))
+        if d % 3 == 0:
+            own = list(items[d % 12][1])
+            if d % 2:
+                own[-1] = "changed"
+            at = rng.randrange(len(body))
+            body[at:at] = own
+        docs_.append((d, body))
+    df = lambda rows, c: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} long, text string")
+    got = {(r.doc_id, r.item_id, r.shared, r.total) for r in decontamination.leaks(df(docs_, "doc_id"), df(items, "item_id")).collect()}
+
+    def prints_of(rows):
+        sized = spark.createDataFrame([(key, n, s) for key, n, w in rows for s in range(len(w) - 4) for s in [" ".join(w[s : s + 5])]], "key string, n int, s string")
+        shingles = sized.select("key", "n", F.xxhash64("s").alias("shingle"))
+        return shingles.groupBy("key", "n").agg(*decontamination.votes()).select("key", "n", decontamination.simhash().alias("fp"))
+
+    windows = prints_of([(f"{d}/{p}", n, w[p : p + n]) for d, w in docs_ for n in sorted({len(w) for _, w in items}) for p in range(len(w) - n + 1)])
+    named = prints_of([(str(i), len(w), w) for i, w in items]).select(F.col("key").cast("int").alias("item_id"), "n", F.col("fp").alias("item_fp"))
+    met, best = decontamination.within(windows, named, 23).collect(), {}
+    grams = lambda w: Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+    for r in met:
+        d, p = map(int, r.key.split("/"))
+        a, b = grams(docs_[d][1][p : p + r.n]), grams(items[r.item_id][1])
+        shared, total = sum((a & b).values()), sum((a | b).values())
+        if shared >= 0.8 * total:
+            best[d, r.item_id] = max(best.get((d, r.item_id), (0, 0, 0)), (shared / total, shared, total))
+    assert got == {(d, i, s, t) for (d, i), (_, s, t) in best.items()} and len(got) >= 10
 
 
 def test_fingerprints_of_leaks_are_near():

@@ -5,13 +5,14 @@ Windows of an item's own size slide over a document; a window with its item's co
 1. A similarity of s needs s of an item's m shingles (five words; of an item with fewer words, all of them), so a
 window lacks fewer than m - ceil(s m) + 1 of them: of each item so many, those that fewest items share, are its
 anchors, and only a document that has an anchor can leak the item. This passes over nothing.
-2. For these pairs of document and item all shared shingles are placed. A window that starts at a shared
-shingle, or as late as the document allows, shares as many as any: these are the windows. Those with under
-half of the shared positions that the similarity needs are passed over, without loss.
+2. In these documents all shared shingles are placed. A window that starts at a shared
+shingle, or as late as the document allows, shares as many as any: these are the windows, of the size of each item that shares. Those with under
+half of the shared positions that the similarity needs, for every item of their size, are passed over, without loss. A window knows its place and size,
+not its item.
 3. The windows and the items get SimHash fingerprints: 64 votes over all shingles of a window.
-4. Multi-index: 64 bits fall into BLOCKS blocks. Of two fingerprints within the radius one block differs in at
-most radius // BLOCKS bits, so an item is entered under all values so near to its own, and joining on (item, block,
-value) finds every window within the radius of its item; most others are pruned.
+4. Multi-index over all items: 64 bits fall into BLOCKS blocks. Of two fingerprints within the radius one block differs in at
+most radius // BLOCKS bits, so an item is entered under all values so near to its own, with its size, and joining on (size, block,
+value) finds every item within the radius of a window.
 5. The exact weighted similarity of the multisets of shingles, sum of minima over sum of maxima, decides:
 ``similarity`` or more is a leak. The radius of 23 is wide: at a similarity of 0.8 fingerprints differ
 in about 10 bits with a deviation of 3.
@@ -85,12 +86,11 @@ def near_values(fp: str, radius: int) -> Column:
 
 
 def within(prints: DataFrame, item_prints: DataFrame, radius: int) -> DataFrame:
-    """prints (item_id, fp, …), item_prints (item_id, item_fp) -> prints with differing_bits, those within the radius of
-    their item."""
-    index = item_prints.select("item_id", "item_fp", F.explode(near_values("item_fp", radius)).alias("x")).select("item_id", "item_fp", "x.*")
-    met = prints.select(*prints.columns, F.explode(blocks("fp")).alias("x")).select(*prints.columns, "x.*").join(index, ["item_id", "block", "value"])
+    """prints (n, fp, …), item_prints (item_id, n, item_fp) -> prints with item_id and differing_bits, of all items of the same size within the radius."""
+    index = item_prints.select("item_id", "n", "item_fp", F.explode(near_values("item_fp", radius)).alias("x")).select("item_id", "n", "item_fp", "x.*")
+    met = prints.select(*prints.columns, F.explode(blocks("fp")).alias("x")).select(*prints.columns, "x.*").join(index, ["n", "block", "value"])
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    return met.withColumn("differing_bits", bits).filter(F.col("differing_bits") <= radius).select(*prints.columns, "differing_bits").distinct()
+    return met.withColumn("differing_bits", bits).filter(F.col("differing_bits") <= radius).select(*prints.columns, "item_id", "differing_bits").distinct()
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -153,14 +153,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     held = counted.groupBy(*of, "start").agg((F.max("running") - F.min("running")).alias("held"))
     same = lambda a, b, cols: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
     windows = windows.join(held, same(windows, held, [*of, "start"])).select(*[windows[c] for c in windows.columns], "held")
-    windows = written(windows.filter(F.col("held") >= F.lit(similarity / 2) * F.col("m")), "windows")
+    placed = ["doc_id", "h", "n", "k", "m", "start", "stop"]
+    windows = written(windows.filter(F.col("held") >= F.lit(similarity / 2) * F.col("m")).select(*placed).distinct(), "windows")
 
     # SimHash over all shingles of the windows that are left
     own = arrays.select(F.col("doc_id").alias("a_doc"), F.col("h").alias("a_h"), F.col("k").alias("a_k"), "s")
     met = windows.join(own, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("h") == F.col("a_h")) & (F.col("k") == F.col("a_k")))
-    met = met.select(*of, "start", "stop", "m", F.explode(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start") + 1)).alias("shingle"))
-    prints = written(met.groupBy(*of, "start", "stop", "m").agg(*votes()).select(*of, "start", "stop", "m", "n_shingles", simhash().alias("fp")), "prints")
-    item_prints = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id").agg(*votes()).select("item_id", simhash().alias("item_fp"))
+    met = met.select(*placed, F.explode(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start") + 1)).alias("shingle"))
+    prints = written(met.groupBy(*placed).agg(*votes()).select(*placed, "n_shingles", simhash().alias("fp")), "prints")
+    item_prints = items.select("item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "n").agg(*votes()).select("item_id", "n", simhash().alias("item_fp"))
     near = within(prints, item_prints, radius)
 
     # exact: minima over the shared shingles of a window
