@@ -80,6 +80,18 @@ def test_maxent(spark):
     assert (maxent.fit_word(pd.DataFrame(rows, columns=["sl", "n_cls", "cls", "w", "feats"]), smooth=1.0)["lambda"].abs() < 10).all()
 
 
+def test_numbered_features_give_the_same_weights(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{s}", 2, int(rng.integers(2)), float(rng.integers(1, 5)), sorted({f"f{x}" for x in rng.integers(0, 6, rng.integers(0, 4))})) for s in range(3) for _ in range(25)]
+    ev = spark.createDataFrame(rows, "sl string, n_cls int, cls int, w double, feats array<string>").groupBy("sl", "n_cls", "cls", "feats").agg(F.sum("w").alias("w"))
+    ids = maxent.feature_ids(ev)
+    assert sorted((r.feature, r.feature_id) for r in ids.collect()) == [(f"f{i}", i) for i in range(6)]
+    for size in (20_000, 3):  # in tasks, and as joins
+        want = {(r.sl, r.feature, r.cls): r["lambda"] for r in maxent.train(ev, iterations=3, group_rows=size).collect()}
+        got = {(r.sl, r.feature, r.cls): r["lambda"] for r in maxent.decoded(maxent.train(maxent.encoded(ev, ids), iterations=3, group_rows=size), ids).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def plain_scaling(events, n_cls, rounds, least_gain, smooth, label_smooth, length_norm):
     """The same model by plain loops over events, classes and features."""
     lam, size = {}, 1.0 if length_norm else max(max(len(f) for *_, f in events), 1)

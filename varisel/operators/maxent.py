@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.intermediate import written
+from ..sources.intermediate import discard, written
 
 LAMBDAS = "sl string, feature string, cls int, lambda double"
 
@@ -27,11 +27,41 @@ def events(observed: DataFrame, ngrams_of: DataFrame, lexicon: DataFrame) -> Dat
     """observed (sent_id, pos, sl, tl, w), ngrams_of (sent_id, pos, ngram), lexicon (sl, tl, tl_idx) -> sl,
     n_cls, cls, w, feats: a word's contexts with the place of its translation, for words with two or more."""
     classes = lexicon.groupBy("sl").agg(F.count(F.lit(1)).cast("int").alias("n_cls")).filter("n_cls > 1")
+    named = lexicon.select("sl", "tl", F.col("tl_idx").alias("cls")).join(classes, "sl")
     feats = ngrams_of.groupBy("sent_id", "pos").agg(F.sort_array(F.collect_set("ngram")).alias("feats"))
-    met = observed.join(lexicon.select("sl", "tl", F.col("tl_idx").alias("cls")), ["sl", "tl"]).join(classes, "sl").join(feats, ["sent_id", "pos"])
+    # one join of the observed places by word and translation: a frequent word is not gathered by itself
+    met = observed.join(named, ["sl", "tl"]).join(feats, ["sent_id", "pos"])
     return met.groupBy("sl", "n_cls", "cls", "feats").agg(F.sum("w").alias("w")).filter("w > 0").select("sl", "n_cls", "cls", "w", "feats")
 
 
+def feature_ids(ev: DataFrame) -> DataFrame:
+    """feature, feature_id: all features of the events in order of their text, numbered from 0 without gaps.
+
+    They are sorted by range over all tasks; a feature's number is its place in its task plus the counts of the tasks before, one row for
+    each in the only window."""
+    names = ev.select(F.explode("feats").alias("feature")).distinct()
+    tasks = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = names.repartitionByRange(tasks, "feature").sortWithinPartitions("feature").select("feature", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    placed = written(ordered, "features")  # both reads below see the same tasks
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), F.col("part") == F.col("of")).select("feature", (F.col("before") + F.col("i")).alias("feature_id"))
+
+
+def encoded(ev: DataFrame, ids: DataFrame) -> DataFrame:
+    """Events with features as sorted numbers; training and scoring take them as they do texts. Equal lists of features are translated
+    once, an event without features keeps none."""
+    lists = ev.select("feats").distinct()
+    each = lists.select("feats", F.explode("feats").alias("feature")).join(ids, "feature")
+    numbers = each.groupBy("feats").agg(F.array_sort(F.collect_list("feature_id")).alias("_ids"))
+    return ev.join(numbers, "feats", "left").withColumn("feats", F.coalesce("_ids", F.array().cast("array<bigint>"))).select(*ev.columns)
+
+
+def decoded(lambdas: DataFrame, ids: DataFrame) -> DataFrame:
+    """Weights of numbered features with the features' texts."""
+    return lambdas.withColumnRenamed("feature", "feature_id").join(ids, "feature_id").select("sl", "feature", "cls", "lambda")
+
+
 def event_lines(ev: DataFrame) -> DataFrame:
     """class $ weight # features # features # for each class, as trainers read it."""
     block = F.array_join("feats", " ")
@@ -150,16 +180,19 @@ def fit_large(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, s
 
             step = F.aggregate(F.sequence(F.lit(1), F.lit(20)), step, newton)
         moved = F.when(F.col("expected").isNotNull() & (F.col("seen") > 0), F.col("lambda") + step).otherwise(F.col("lambda"))
-        lam = written(met.withColumn("lambda", moved).drop("expected"), "lambdas")
+        new = written(met.withColumn("lambda", moved).drop("expected"), "lambdas")
         done = F.col("done") | F.coalesce(F.abs(F.col("before") - F.col("now")) <= least_gain, F.lit(False))
-        state = written(state.join(now, "sl", "left").select("sl", F.coalesce("now", "before").alias("before"), done.alias("done")), "state")
+        last, state = state, written(state.join(now, "sl", "left").select("sl", F.coalesce("now", "before").alias("before"), done.alias("done")), "state")
+        discard(lam, p, *[last] * hasattr(last, "written_at"))
+        lam = new
         if state.filter("not done").isEmpty():
             break
     return lam.select("sl", "feature", "cls", "lambda")
 
 
 def train(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, smooth: float = 0.0, label_smooth: float = 0.0, length_norm: bool = False, start: DataFrame | None = None, group_rows: int = 20_000) -> DataFrame:
-    """LAMBDAS for every word. ``start``: LAMBDAS to begin with."""
+    """LAMBDAS for every word, with features as the events have them, texts or numbers. ``start``: LAMBDAS to begin with."""
+    kind = ev.schema["feats"].dataType.elementType.simpleString()
     sizes = ev.groupBy("sl").agg(F.count(F.lit(1)).alias("n"))
     small = ev.join(sizes.filter(F.col("n") <= group_rows).select("sl"), "sl", "left_semi")
     if start is not None:
@@ -167,7 +200,7 @@ def train(ev: DataFrame, iterations: int = 1000, least_gain: float = 0.01, smoot
         given = start.groupBy("sl").agg(F.collect_list(F.struct("feature", "cls", "lambda")).alias("start"))
         first = F.row_number().over(Window.partitionBy("sl").orderBy("cls", "feats")) == 1
         small = small.withColumn("_first", first).join(given, "sl", "left").withColumn("start", F.when(F.col("_first"), F.col("start"))).drop("_first")
-    out = small.groupBy("sl").applyInPandas(lambda pdf: fit_word(pdf, iterations, least_gain, smooth, label_smooth, length_norm), LAMBDAS)
+    out = small.groupBy("sl").applyInPandas(lambda pdf: fit_word(pdf, iterations, least_gain, smooth, label_smooth, length_norm), LAMBDAS.replace("feature string", f"feature {kind}"))
     large = sizes.filter(F.col("n") > group_rows).select("sl")
     if large.isEmpty():
         return out
