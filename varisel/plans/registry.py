@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import decoding, learned, queries  # noqa: F401  they register themselves
+    from . import corpus, decoding, learned, queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
