@@ -150,13 +150,13 @@ def filter_of(texts):
     hashes, per = lm_scoring.tokens(pa.array(texts))
     word, history, pair = lm_scoring.grams(hashes, per)
     keys, counts = np.unique(np.concatenate([word, pair]), return_counts=True)
-    level, is_word = lm_scoring.levels_of(keys, counts), keys & np.uint64(1) == 0
+    level, is_word = lm_scoring.levels_of(counts), keys & np.uint64(1) == 0
     sums = collections.Counter()
-    on = ~is_word & (counts > 1)
+    on = ~is_word
     for h, g in zip((keys[on] >> np.uint64(32)).tolist(), lm_scoring.middle(level[on]), strict=True):
         sums[h] += g
     codes = {h: int(lm_scoring.code_of(np.array([g]))[0]) for h, g in sums.items()}
-    probes = lm_scoring.probes_for(int((counts[is_word] > 1).sum()))
+    probes = lm_scoring.probes_for(int(is_word.sum()))
     ones = level[~is_word].sum() * probes + level[is_word].sum() * lm_scoring.WORD_PROBES + sum(c.bit_count() for c in codes.values()) * lm_scoring.CODE_PROBES
     blocks = max(1, -(-int(ones / math.log(2)) // lm_scoring.BLOCK_BITS))
     names = np.array(sorted(codes), "<u8")
@@ -167,7 +167,7 @@ def filter_of(texts):
     for d in range(lm_scoring.DIGITS):
         bits.fill(len(keys) + np.flatnonzero([codes[h] >> d & 1 for h in names.tolist()]), d, lm_scoring.CODE_PROBES)
     lookup = lm_scoring.Filter(bits.blocks().ravel(), 0, blocks, probes, int(level.max()))
-    norm = lm_scoring.middle_word(level[is_word]).sum() + is_word.sum() + 1
+    norm = lm_scoring.middle(level[is_word]).sum() + is_word.sum() + 1
     return lookup, keys, counts, names, codes, norm, bits.bits.mean()
 
 
@@ -184,11 +184,12 @@ def test_filter_levels(filled):
     assert 0.3 < density < 0.55  # as dense as filters of any size are, up to whole blocks
     is_word = keys & np.uint64(1) == 0
     both = lambda f: np.where(is_word, f.levels(keys, lm_scoring.WORD_PROBES), f.levels(keys))
-    true, got = lm_scoring.levels_of(keys, counts), both(lookup)
+    true, got = lm_scoring.levels_of(counts), both(lookup)
     assert (got >= true).all() and (got == true).mean() > 0.999  # a filter never loses a count
     others = lm_scoring.mixed(np.random.default_rng(1).integers(0, 2**62, 200_000).astype("<u8"))
     assert (lookup.levels(others) > 0).mean() < 0.0001
-    assert np.array_equal(lookup.codes(names), [codes[h] for h in names.tolist()])
+    own = np.array([codes[h] for h in names.tolist()])
+    assert (lookup.codes(names) & own == own).all() and (lookup.codes(names) == own).mean() > 0.9998  # nor a digit
     data = lookup.data
     half = len(data) // 2 // (lm_scoring.BLOCK_BITS // 8) * (lm_scoring.BLOCK_BITS // 8)
     first = lm_scoring.BLOCK_BITS // 8
@@ -198,10 +199,34 @@ def test_filter_levels(filled):
 
 def test_levels_hold_counts():
     c = np.arange(1, 5000)
-    pair, word = lm_scoring.levels_of(np.full(len(c), 1, "<u8"), c), lm_scoring.levels_of(np.full(len(c), 2, "<u8"), c)
-    assert np.array_equal(pair, np.floor(np.log2(c))) and np.array_equal(word, pair + 1)
-    assert (np.abs(np.log2(lm_scoring.middle(pair[1:]) / c[1:])) < 1).all() and (lm_scoring.middle(pair)[:1] == 0).all()
-    assert np.array_equal(lm_scoring.middle_word(word)[1:], lm_scoring.middle(pair)[1:]) and lm_scoring.middle_word(word)[0] == 1
+    level = lm_scoring.levels_of(c)
+    assert np.array_equal(level, 1 + np.floor(np.log2(c)))
+    assert (np.abs(np.log2(lm_scoring.middle(level) / c)) < 1).all() and lm_scoring.middle(level)[0] == 1 and lm_scoring.middle(np.zeros(1))[0] == 0
+
+
+def test_scores_equal_a_plain_model(spark):
+    """Scores against dictionaries of the same levels, pairs that occur once among them."""
+    rng = random.Random(21)
+    texts = [(i, " ".join(f"w{int(400 * rng.random() ** 3)}" for _ in range(rng.randint(5, 80)))) for i in range(150)]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    g = lambda c: 0.0 if c == 0 else 1.5 * 2.0 ** (c.bit_length() - 1) - 0.5
+    words, pairs = {}, {}
+    framed = {i: ["<s>", *t.split(), "</s>"] for i, t in texts}
+    for i, w in framed.items():
+        if not lm_scoring.held_out(i):
+            for a, b in zip(w, w[1:], strict=False):
+                words[b] = words.get(b, 0) + 1
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    sums = {}
+    for (a, _), c in pairs.items():
+        sums[a] = sums.get(a, 0.0) + g(c)
+    rounded = lambda x: 0.0 if x == 0 else lm_scoring.STEP ** round(math.log(x) / math.log(lm_scoring.STEP))
+    norm = sum(map(g, words.values())) + len(words) + 1
+    prob = lambda a, b, k: (g(pairs.get((a, b), 0)) + k * (g(words.get(b, 0)) + 1) / norm) / (rounded(sums.get(a, 0.0)) + k)
+    score = lambda i, k: sum(math.log10(prob(a, b, k)) for a, b in zip(framed[i], framed[i][1:], strict=False))
+    best = min(lm_scoring.PRIORS, key=lambda k: sum(abs(score(i, k) - got[i]) for i in got))
+    near = [abs(score(i, best) - got[i]) < 1e-6 for i in got]
+    assert sum(near) >= 0.97 * len(near)  # a false member may lift one
 
 
 def test_model_is_a_distribution(filled):
