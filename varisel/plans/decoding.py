@@ -13,15 +13,15 @@ from .registry import query
 #: All paths with their arcs: the weights of ``lm_rank``'s model, as whole billionths, and the places chosen.
 _PATHS = _LM_SQL[: _LM_SQL.index("p AS (")] + """
 p AS (
-  SELECT sent_id, -1 AS pos, '<s>' AS prev, 0::BIGINT AS score, []::INT[] AS path FROM ok0
+  SELECT sent_id, -1 AS pos, '<s>' AS prev, 0::BIGINT AS score, 0::DOUBLE AS raw, []::INT[] AS path FROM ok0
   UNION ALL
-  SELECT p.sent_id, s.pos, x.t, p.score + round(coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) * 1e9)::BIGINT, list_append(p.path, x.j::INT)
+  SELECT p.sent_id, s.pos, x.t, p.score + round(coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) * 1e9)::BIGINT, p.raw + coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)), list_append(p.path, x.j::INT)
   FROM p JOIN s ON s.sent_id = p.sent_id AND s.pos = p.pos + 1, LATERAL (SELECT unnest(s.opts) AS t, generate_subscripts(s.opts, 1) - 1 AS j) x
   LEFT JOIN g ON g.before = p.prev AND g.t = x.t LEFT JOIN k ON k.before = p.prev LEFT JOIN u ON u.t = x.t),
 e AS (
-  SELECT p.sent_id, p.path, p.score + round(coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) * 1e9)::BIGINT AS score
+  SELECT p.sent_id, p.path, p.score + round(coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) * 1e9)::BIGINT AS score, p.raw + coalesce(g.lp, coalesce(k.bo, 0) + coalesce(u.lp, -7)) AS raw
   FROM p JOIN ok0 ON p.sent_id = ok0.sent_id AND p.pos = ok0.last LEFT JOIN g ON g.before = p.prev AND g.t = '</s>' LEFT JOIN k ON k.before = p.prev JOIN u ON u.t = '</s>'),
-n AS (SELECT *, pow(10, score / 1e9) / sum(pow(10, score / 1e9)) OVER (PARTITION BY sent_id) AS prob FROM e)"""
+n AS (SELECT *, pow(10, raw) / sum(pow(10, raw)) OVER (PARTITION BY sent_id) AS prob, pow(10, score / 1e9) / sum(pow(10, raw)) OVER (PARTITION BY sent_id) AS best FROM e)"""
 _PATHS = _PATHS.replace("ok AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id HAVING product(len(tls)) BETWEEN 2 AND 10000)", "ok0 AS (SELECT sent_id, max(pos) AS last FROM units GROUP BY sent_id)")
 
 
@@ -43,7 +43,7 @@ def lattice_fractions(spark, sf_dir):
 
 
 @query("WITH RECURSIVE " + fixtures.SQL + _PATHS + """
-SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, path)::INT AS rank, score AS billionths, round(prob, 6) AS prob, array_to_string(path, ' ') AS path
+SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, path)::INT AS rank, score AS billionths, round(best, 6) AS prob, array_to_string(path, ' ') AS path
 FROM n QUALIFY rank <= 4""")
 def lattice_best(spark, sf_dir):
     """The four best paths of each sentence, from the lattice."""
