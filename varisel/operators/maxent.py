@@ -62,6 +62,23 @@ def decoded(lambdas: DataFrame, ids: DataFrame) -> DataFrame:
     return lambdas.withColumnRenamed("feature", "feature_id").join(ids, "feature_id").select("sl", "feature", "cls", "lambda")
 
 
+def count_lines(ev: DataFrame) -> DataFrame:
+    """sl, value: feature:class and the weight that the word's events of the class give it, a file of counts that ``readers.weights`` reads."""
+    seen = ev.select("sl", "cls", "w", F.explode("feats").alias("feature")).groupBy("sl", "feature", "cls").agg(F.sum("w").alias("seen"))
+    return seen.select("sl", F.format_string("%s:%d %.6f", "feature", "cls", "seen").alias("value"))
+
+
+def known_features(ev: DataFrame, counts: DataFrame) -> DataFrame:
+    """Events with those of their features only that counts (sl, feature) of another corpus have; so a model can be fitted to a new
+    corpus without new features."""
+    known = counts.select("sl", "feature").distinct()
+    lists = ev.select("sl", "feats").distinct()
+    kept = lists.select("sl", "feats", F.explode("feats").alias("feature")).join(known, ["sl", "feature"]).groupBy("sl", "feats").agg(F.sort_array(F.collect_list("feature")).alias("_f"))
+    none = F.array().cast(ev.schema["feats"].dataType)
+    out = ev.join(kept, ["sl", "feats"], "left").withColumn("feats", F.coalesce("_f", none))
+    return out.groupBy("sl", "n_cls", "cls", "feats").agg(F.sum("w").alias("w")).select("sl", "n_cls", "cls", "w", "feats")
+
+
 def event_lines(ev: DataFrame) -> DataFrame:
     """class $ weight # features # features # for each class, as trainers read it."""
     block = F.array_join("feats", " ")

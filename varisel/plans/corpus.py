@@ -151,3 +151,12 @@ def text_round_trip(spark, sf_dir):
     s = fixtures.sentences(spark, sf_dir)
     text = s.select(F.col("sent_id").alias("segment_id"), F.concat(lu.render_units(F.col("lus")), F.lit(".")).alias("text"))
     return matching.render_segments(text, matching.parse_segments(text)).withColumnRenamed("segment_id", "sent_id")
+
+
+@query(""" SELECT sent_id AS line_no, count(*)::INT AS n, min(sl) FILTER (pos = 0) AS first_sl, max_by(array_to_string(tls, '/'), pos) AS last_tls FROM units GROUP BY sent_id""")
+def prefixed_units(spark, sf_dir):
+    """Lines of units behind other text, the last unit at the line's very end."""
+    s = fixtures.sentences(spark, sf_dir)
+    lines = s.select(F.col("sent_id").alias("line_no"), F.concat(F.lit("noise "), F.col("sent_id").cast("string"), F.lit("]\t"), lu.render_units(F.col("lus"))).alias("value"))
+    back = readers.prefixed_units(lines)
+    return back.select("line_no", F.size("lus").alias("n"), F.col("lus")[0]["sl"].alias("first_sl"), F.array_join(F.element_at("lus", -1)["tls"], "/").alias("last_tls"))
