@@ -107,3 +107,23 @@ def test_token_files(spark, docs, no_docs, texts, ids_of, tmp_path):
     assert all(in_order[k] == v for k, v in at.items())
     token_output.write_token_files(no_docs, f"{tmp_path}/b", word_bpe())
     assert token_output.document_digests(token_output.read_token_files(spark, f"{tmp_path}/b")).count() == 0
+
+
+def test_words_of_most_parts_stay_in_the_store():
+    """Words that come again and again go to the library once, in any case, though the store is full every few parts."""
+
+    class Counting(ChunkEncoder):
+        asked: list[str] = []
+
+        def stems(self, ask):
+            self.asked.extend(ask)
+            return super().stems(ask)
+
+    rng = random.Random(4)
+    fresh = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    common = [fresh() for _ in range(20)]
+    texts = [" ".join([w.title() if i % 2 else w for w in common] + [fresh() for _ in range(20)]) for i in range(60)]
+    encoder = Counting(word_bpe(), 2, cache_bytes=40_000, part=1)
+    for _ in encoder.parts(pa.array(texts)):
+        assert 200 * len(encoder.size) + 4 * len(encoder.values) <= 40_000
+    assert sum(w.lower() in common for w in encoder.asked) == len(common)

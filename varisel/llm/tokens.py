@@ -2,14 +2,15 @@
 
 A tokenizer that drops white space encodes a text as the concatenation of what it makes of the text's
 blank-separated chunks. Where a probe confirms that, each Arrow batch is cut into chunks, equal chunks are
-encoded once, and each worker keeps the ids of the stems that it has met; other tokenizers encode whole
-texts. Chunks go to the library as they are: it composes marks before it lower-cases. The cache is bounded in
-bytes and affects speed only."""
+encoded once, and each worker keeps the ids of the stems that most parts had; other tokenizers encode whole
+texts. Chunks of texts beyond ASCII go to the library as they are: it composes marks before it lower-cases. The store of
+ids is bounded in bytes and affects speed only."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,19 @@ def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, end_id: int, cache_bytes: int = 24 << 20, longest: int = 48, part: int = 1 << 20):
+    def __init__(self, path: str, end_id: int, cache_bytes: int = 48 << 20, longest: int = 48, part: int = 4 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end, self.cache_bytes, self.longest, self.part = end_id, cache_bytes, longest, part
-        self.cache, self.held = {}, 0
+        # words' slots; of each slot, the end id's first: its ids' start in values, their number, and how many parts had it
+        self.cache: dict[str, int] = {}
+        self.start, self.size, self.hits, self.values = np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "i8"), np.array([end_id], "<u4")
         parts = [i for x in PROBE.split() for i in self.library.encode(x, add_special_tokens=False).ids]
         self.by_chunk = self.library.encode(PROBE, add_special_tokens=False).ids == parts
+        ascii_only = "".join(c for c in PROBE if c.isascii())
+        self.lowers = self.library.encode(ascii_only, add_special_tokens=False).ids == self.library.encode(ascii_only.lower(), add_special_tokens=False).ids
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -51,7 +56,7 @@ class ChunkEncoder:
         """Stems of letters go to the library many to a text; its word numbers part them again."""
         out, letters = {}, [s for s in ask if s.isalpha()]
         groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
-        found = self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        found = (e for i in range(0, len(groups), 16) for e in self.library.encode_batch([" ".join(g) for g in groups[i : i + 16]], add_special_tokens=False))
         for g, e in zip(groups, found, strict=True):
             word = np.asarray(e.word_ids)
             cuts = np.flatnonzero(np.diff(word, prepend=-1))
@@ -62,22 +67,38 @@ class ChunkEncoder:
         out.update(zip(rest, self.raw(rest), strict=True))
         return out
 
-    def chunks(self, distinct: list[str]) -> list[bytes]:
-        cache = self.cache
-        out = list(map(cache.get, distinct))
-        if None in out:
-            new = self.stems([s for s, x in zip(distinct, out, strict=True) if x is None])
-            out = [new[s] if x is None else x for s, x in zip(distinct, out, strict=True)]
-            kept = {k: v for k, v in new.items() if len(k) <= self.longest}
-            size = sum(len(k) + len(v) for k, v in kept.items()) + ENTRY * len(kept)
-            if self.held + size > self.cache_bytes:
-                cache.clear()
-                self.held = 0
-            if size <= self.cache_bytes:
-                cache.update(kept)
-                self.held += size
+    def slots(self, distinct: list[str]) -> np.ndarray:
+        """Where the words' ids are in the store; what it lacks is encoded and added."""
+        out = np.fromiter(map(self.cache.get, distinct, repeat(-1)), "i8", len(distinct))
+        lacking = np.flatnonzero(out < 0)
+        if len(lacking):
+            new = [distinct[i] for i in lacking.tolist()]
+            ids = self.stems(new)
+            found = [ids[s] for s in new]
+            size = np.fromiter(map(len, found), "i8", len(found)) // 4
+            out[lacking] = len(self.size) + np.arange(len(new))
+            self.cache.update((s, i) for s, i in zip(new, out[lacking].tolist(), strict=True) if len(s) <= self.longest)
+            self.start = np.concatenate([self.start, len(self.values) + np.cumsum(size) - size])
+            self.size, self.hits = np.concatenate([self.size, size]), np.concatenate([self.hits, np.zeros(len(new), "i8")])
+            self.values = np.concatenate([self.values, np.frombuffer(b"".join(found), "<u4")])
+        self.hits[out] += 1
         return out
 
+    def bounded(self) -> None:
+        """A store over its bytes keeps the words that most parts had, of equals the latest, up to half of them."""
+        if ENTRY * len(self.size) + 4 * len(self.values) <= self.cache_bytes:
+            return
+        slots = np.fromiter(self.cache.values(), "i8", len(self.cache))
+        slots = slots[np.lexsort((slots, self.hits[slots]))[::-1]]
+        kept = np.sort(slots[np.cumsum(ENTRY + 4 * self.size[slots]) <= self.cache_bytes // 2])
+        to = np.full(len(self.size), -1)
+        to[kept] = 1 + np.arange(len(kept))
+        self.cache = {s: i for s, i in zip(self.cache, to[np.fromiter(self.cache.values(), "i8", len(self.cache))].tolist(), strict=True) if i > 0}
+        kept = np.insert(kept, 0, 0)  # the end id
+        self.values = gathered(self.start[kept], self.size[kept], self.values)
+        self.size, self.hits = self.size[kept], self.hits[kept] // 2
+        self.start = np.cumsum(self.size) - self.size
+
     def parts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts of bounded size: the first text's place, all ids in order, and how many each text
         has with its end id; null is the empty text."""
@@ -93,20 +114,18 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], "i8")
 
     def cut(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # without marks it can be lower-cased first: what is left are fewer unlike words
+        part = pc.if_else(pc.string_is_ascii(part), pc.ascii_lower(part), part) if self.lowers else part
         apart = pc.replace_substring_regex(part, TAIL, r"\1 \2")
         lists = pc.ascii_split_whitespace(apart)
         coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
-        known = self.chunks(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in known] + [1], "i8")
-        values = np.frombuffer(b"".join(known) + np.uint32(self.end).tobytes(), "<u4")
-        starts = np.cumsum(size) - size
-        per = pc.list_value_length(lists).to_numpy().astype("i8")
-        ends = np.cumsum(per)
-        order = np.insert(which.astype("i8"), ends, len(known))  # the end id behind each text's last chunk
-        ids = gathered(starts[order], size[order], values)
-        upto = np.cumsum(size[order])
-        last = upto[ends + np.arange(len(ends))] if len(ends) else upto
+        slots = self.slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype("i8"))
+        order = np.insert(slots[coded.indices.to_numpy()], ends, 0)  # the end id behind each text's last chunk
+        size = self.size[order]
+        ids = gathered(self.start[order], size, self.values)
+        last = np.cumsum(size)[ends + np.arange(len(ends))]
+        self.bounded()
         return ids, np.diff(last, prepend=0)
 
 
