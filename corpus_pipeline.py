@@ -5,6 +5,9 @@ as the next one's docs. All but the last return the columns of ``docs``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, word_bpe()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]
+def _bounded(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _bounded(f)) for f in (quality, lines, near_copies, benchmark, packing)]
 
 #: The classifier's fit and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

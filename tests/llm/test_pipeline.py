@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -92,3 +93,19 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    """Long texts reach a worker in batches of bounded bytes, whatever their number of rows."""
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    docs = spark.range(0, 12_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefgh "), 300).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            stage(spark, docs, "")
+    largest = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert largest <= 1.1 * common.BATCH_BYTES

@@ -30,7 +30,9 @@ def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.
     """The concatenation of values[start : start + length] of every run."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(total)
+    return values[at]
 
 
 class ChunkEncoder:
