@@ -127,3 +127,24 @@ def test_words_of_most_parts_stay_in_the_store():
     for _ in encoder.parts(pa.array(texts)):
         assert 200 * len(encoder.size) + 4 * len(encoder.values) <= 40_000
     assert sum(w.lower() in common for w in encoder.asked) == len(common)
+
+
+def test_digests_decode_a_segment_once(monkeypatch):
+    """Not once for each of its documents."""
+    calls, tasks = [], []
+
+    class Segments:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+
+    monkeypatch.setattr(token_output, "dac_slice", lambda codes, a, b, bits, f=token_output.dac_slice: calls.append((a, b)) or f(codes, a, b, bits))
+    ids = np.array([5, 70_000, 300, 2, 2, 49_000, 2], "<u4")
+    row = {"first": 10, "doc_ids": [4, 7, None], "doc_counts": [4, 1, 2], "codes": token_output.dac_encode(ids)}
+    token_output.document_digests(Segments())
+    got = [r for b in tasks[0](iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    want = [(4, 10, 4, ids[:4]), (7, 14, 1, ids[4:5]), (None, 15, 2, ids[5:])]
+    assert [tuple(r.values()) for r in got] == [(i, s, n, zlib.crc32(x.tobytes())) for i, s, n, x in want]
+    assert calls == [(0, 7)]

@@ -188,9 +188,9 @@ def document_digests(segments: DataFrame, bits: int = 8) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 out, at = [], 0
+                ids = dac_slice(row["codes"], 0, sum(row["doc_counts"]), bits).astype("<u4", copy=False)  # a segment's ids are bounded
                 for doc_id, k in zip(row["doc_ids"], row["doc_counts"], strict=True):
-                    ids = dac_slice(row["codes"], at, at + k, bits)
-                    out.append((doc_id, row["first"] + at, k, zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((doc_id, row["first"] + at, k, zlib.crc32(ids[at : at + k])))
                     at += k
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
 
