@@ -8,6 +8,8 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_models import graded
 from varisel.llm import common
+from varisel.llm.packing import pack_documents
+from varisel.llm.queries import word_bpe
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -109,3 +111,17 @@ def test_stages_bound_the_bytes_of_a_batch(spark):
             stage(spark, docs, "")
     largest = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
     assert largest <= 1.1 * common.BATCH_BYTES
+
+
+def test_packing_behind_other_stages_holds_less(monkeypatch, docs):
+    """The encoder's store and the texts that it cuts at once are smaller than by itself, and the rows the same."""
+    given = {}
+
+    def pack(docs, tokenizer, **bounds):
+        given.update(bounds)
+        return pack_documents(docs, tokenizer, **bounds)
+
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", pack)
+    key = lambda df: sorted((str(r.doc_id), r.start, r.length, r.sequence_id, r.offset) for r in df.collect())
+    assert key(corpus_pipeline.packing(docs.sparkSession, docs, "")) == key(pack_documents(docs, word_bpe()))
+    assert given["cache_bytes"] <= 24 << 20 and given["part"] <= 1 << 20

@@ -1,6 +1,7 @@
 """Packing and token files: exact round trips."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from varisel.llm import packing, token_output
 from varisel.llm.queries import word_bpe
-from varisel.llm.tokens import ChunkEncoder
+from varisel.llm.tokens import ChunkEncoder, gathered
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +130,42 @@ def test_words_of_most_parts_stay_in_the_store():
     assert sum(w.lower() in common for w in encoder.asked) == len(common)
 
 
+def test_the_library_gets_few_texts_at_once():
+    """What it returns for a text is many times its ids."""
+
+    class Counting:
+        largest = 0
+
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, *a, **k):
+            return self.library.encode(*a, **k)
+
+        def encode_batch(self, texts, **k):
+            return self.encode_batch_fast(texts, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            self.largest = max(self.largest, len(texts))
+            return self.library.encode_batch(texts, **k)
+
+    encoder = ChunkEncoder(word_bpe(), 2)
+    encoder.library = Counting(encoder.library)
+    for _ in encoder.parts(pa.array([" ".join(f"a{i}" for i in range(9000))])):
+        pass
+    assert 0 < encoder.library.largest <= 2048
+
+
+def test_gathered_takes_two_indexes_of_four_bytes():
+    n = 1_000_000
+    values, starts, ones = np.arange(n, dtype="<u4"), np.arange(n)[::-1].copy(), np.ones(n, "i8")
+    tracemalloc.start()
+    got = gathered(starts, ones, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, values[::-1]) and peak < 29 * n  # 33 n with eight bytes
+
+
 def test_digests_decode_a_segment_once(monkeypatch):
     """Not once for each of its documents."""
     calls, tasks = [], []

@@ -119,9 +119,9 @@ class BlockPacker:
             self.next_group += groups
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, group_size: int = 64, block_ids: int = 1 << 19) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, group_size: int = 64, block_ids: int = 1 << 19, **bounds: int) -> DataFrame:
     """One row for each piece (SCHEMA): ids as little-endian unsigned 32-bit, sequence and step group; tier is the
-    sequence's window."""
+    sequence's window. ``bounds``: of the encoder's memory; they change no row."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, SCHEMA.split(", "), strict=True)])
 
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, ids, counts in encoder(tokenizer, end_id).parts(batch.column("text")):
+            for first, ids, counts in encoder(tokenizer, end_id, **bounds).parts(batch.column("text")):
                 at = 0
                 for doc_id, n in zip(doc_ids[first : first + len(counts)], counts.tolist(), strict=True):
                     block.append(packer.piece(doc_id, 0, n, ids[at : at + n]))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, parts_of
+from .common import give_back, lean, parts_of
 
 DIMENSIONS = 1 << 18
 #: Training rows from which the penalty is as given.
@@ -178,7 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Cumulat
     lengths = np.array([len(x) // 4 for x in data])
     features, known = np.frombuffer(b"".join(data), "<i4"), got.column("grade").to_numpy().astype("i8")
     del data, got
-    return fit(np.repeat(np.arange(len(lengths), dtype="i4"), lengths), features, known)
+    model = fit(np.repeat(np.arange(len(lengths), dtype="i4"), lengths), features, known)
+    del features
+    give_back()  # the driver's other stages would stand beside it
+    return model
 
 
 def score(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:

@@ -23,15 +23,18 @@ PROBE = "Ab, c\n\n  d-e 'f it's x9 \t ...g É"
 TAIL = r"([A-Za-z])([.,;:!?|*$%&#])"
 #: Bytes of a cache entry beside its characters and ids.
 ENTRY = 200
-_loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
+#: Texts that the library encodes at once: what it returns for each is many times its ids.
+AT_ONCE = 2048
+_loaded: dict[tuple, "ChunkEncoder"] = {}
 
 
 def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The concatenation of values[start : start + length] of every run."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype="i8")
     total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts - (ends - lengths), lengths)
-    at += np.arange(total)
+    kind = "i4" if max(total, len(values)) < 1 << 31 else "i8"  # half the memory for what parts of texts have
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
     return values[at]
 
 
@@ -51,8 +54,8 @@ class ChunkEncoder:
         self.lowers = self.library.encode(ascii_only, add_special_tokens=False).ids == self.library.encode(ascii_only.lower(), add_special_tokens=False).ids
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        groups = (texts[i : i + AT_ONCE] for i in range(0, len(texts), AT_ONCE))
+        return [np.asarray(e.ids, "<u4").tobytes() for g in groups for e in self.library.encode_batch_fast(g, add_special_tokens=False)]
 
     def stems(self, ask: list[str]) -> dict[str, bytes]:
         """Stems of letters go to the library many to a text; its word numbers part them again."""
@@ -131,8 +134,9 @@ class ChunkEncoder:
         return ids, np.diff(last, prepend=0)
 
 
-def encoder(path: str, end_id: int) -> ChunkEncoder:
-    """One encoder for each Python worker."""
-    if (path, end_id) not in _loaded:
-        _loaded[path, end_id] = ChunkEncoder(path, end_id)
-    return _loaded[path, end_id]
+def encoder(path: str, end_id: int, **bounds: int) -> ChunkEncoder:
+    """One encoder for each Python worker; ``bounds``: cache_bytes and part, where they are not the usual ones."""
+    key = (path, end_id, *sorted(bounds.items()))
+    if key not in _loaded:
+        _loaded[key] = ChunkEncoder(path, end_id, **bounds)
+    return _loaded[key]
