@@ -331,6 +331,14 @@ def test_multi_index(spark):
         assert len(got) == len(set(got)) and set(got) == {(r, i, b) for (r, i), b in bits.items() if b <= radius}
 
 
+def test_pairs_that_meet_in_many_blocks_are_not_shuffled(spark):
+    """Equal fingerprints agree in all blocks; their one row needs no grouping behind the join."""
+    prints = spark.createDataFrame([(r, 10, 5) for r in range(50)], "row int, n int, fp long")
+    found = decontamination.within(prints, spark.createDataFrame([(1, 10, 5), (2, 10, 7)], "item_id int, n int, item_fp long"), 23)
+    assert sorted(map(tuple, found.select("row", "item_id", "differing_bits").collect())) == [(r, i, i - 1) for r in range(50) for i in (1, 2)]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_alone_finds_the_same_leaks(spark):
     """Every window of every document, looked up in the index without any shared shingle, then compared exactly: the same leaks."""
     rng = random.Random(6)

@@ -86,11 +86,15 @@ def near_values(fp: str, radius: int) -> Column:
 
 
 def within(prints: DataFrame, item_prints: DataFrame, radius: int) -> DataFrame:
-    """prints (n, fp, …), item_prints (item_id, n, item_fp) -> prints with item_id and differing_bits, of all items of the same size within the radius."""
+    """Distinct prints (n, fp, …), item_prints (item_id, n, item_fp) -> prints with item_id and differing_bits, of all items of the same size within the radius."""
     index = item_prints.select("item_id", "n", "item_fp", F.explode(near_values("item_fp", radius)).alias("x")).select("item_id", "n", "item_fp", "x.*")
     met = prints.select(*prints.columns, F.explode(blocks("fp")).alias("x")).select(*prints.columns, "x.*").join(index, ["n", "block", "value"])
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    return met.withColumn("differing_bits", bits).filter(F.col("differing_bits") <= radius).select(*prints.columns, "item_id", "differing_bits").distinct()
+    apart, width = F.col("fp").bitwiseXOR(F.col("item_fp")), 64 // BLOCKS
+    # a pair meets in every block that is near enough; its row of the first of these stays, so nothing is shuffled to tell them apart
+    near = lambda i: F.bit_count(F.shiftrightunsigned(apart, width * i).bitwiseAND(F.lit((1 << width) - 1))) <= radius // BLOCKS
+    first = F.coalesce(*[F.when(near(i), i) for i in range(BLOCKS)])
+    met = met.filter(F.col("block") == first).withColumn("differing_bits", F.bit_count(apart))
+    return met.filter(F.col("differing_bits") <= radius).select(*prints.columns, "item_id", "differing_bits")
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     met = met.select(*placed, F.explode(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start") + 1)).alias("shingle"))
     prints = written(met.groupBy(*placed).agg(*votes()).select(*placed, "n_shingles", simhash().alias("fp")), "prints")
     item_prints = items.select("item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "n").agg(*votes()).select("item_id", "n", simhash().alias("item_fp"))
-    near = within(prints, item_prints, radius)
+    near = within(prints, item_prints, radius).drop("n", "k", "fp")  # rows are many here, so they carry what is still read
 
     # exact: minima over the shared shingles of a window
     shared = hits.select(*of, "p", "shingle", "times")
