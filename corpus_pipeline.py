@@ -42,8 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
-#: Behind the other stages an executor's JVM has grown, so the encoder holds less here than by itself, for some more CPU.
-PACKING = {"cache_bytes": 24 << 20, "part": 1 << 20}
+#: Behind the other stages an executor's JVM has grown, so the encoder holds less here than by itself, for more CPU.
+PACKING = {"cache_bytes": 12 << 20, "part": 1 << 19}
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,3 +125,18 @@ def test_packing_behind_other_stages_holds_less(monkeypatch, docs):
     key = lambda df: sorted((str(r.doc_id), r.start, r.length, r.sequence_id, r.offset) for r in df.collect())
     assert key(corpus_pipeline.packing(docs.sparkSession, docs, "")) == key(pack_documents(docs, word_bpe()))
     assert given["cache_bytes"] <= 24 << 20 and given["part"] <= 1 << 20
+
+
+def test_what_a_worker_holds_at_once_is_small(spark, monkeypatch, docs):
+    """Batches of 1 MB and an encoder's store of 12 MB: behind the other stages an executor's JVM leaves two workers no more."""
+    given = {}
+
+    def pack(docs, tokenizer, **bounds):
+        given.update(bounds)
+        return pack_documents(docs, tokenizer, **bounds)
+
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", pack)
+    dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+    assert given["cache_bytes"] <= 12 << 20 and given["part"] <= 1 << 19
+    size = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b"))
+    assert 0 < size <= 1 << 20
