@@ -396,3 +396,70 @@ def test_threshold_stops_early():
 def test_lm_tokens(text):
     _, n = lm_scoring.tokens(pa.array([text]))
     assert n.tolist() == [len(lm_tokens(text))]
+
+
+def test_codes_are_kept_between_runs(monkeypatch):
+    """A history of an earlier run is not probed again, and has the same code as without the store."""
+    rng = np.random.default_rng(5)
+    histories = np.unique(rng.integers(0, 2**32, 5000).astype("<u8"))
+    code = rng.integers(0, 1 << 11, len(histories))
+    keys = lm_scoring.code_key(histories)
+    bits = lm_scoring.Bits(keys, 0, 4, 4)
+    for d in range(lm_scoring.DIGITS):
+        bits.fill(np.flatnonzero(code >> d & 1), d, lm_scoring.CODE_PROBES)
+    lookup = lm_scoring.Filter(bits.blocks().ravel(), 0, 4, 20, 1)
+    assert (lookup.codes(histories[:3000]) == code[:3000]).all()
+    asked = []
+    found = lookup.found
+    monkeypatch.setattr(lookup, "found", lambda keys, *a: asked.append(len(keys)) or found(keys, *a))
+    mixed_up = rng.permutation(np.concatenate([np.arange(len(histories)), np.arange(100)]))
+    assert (lookup.codes(histories[mixed_up]) == code[mixed_up]).all()
+    assert set(asked) == {len(histories) - 3000}
+    monkeypatch.setattr(lm_scoring, "KEPT", 10)
+    full = lm_scoring.Filter(bits.blocks().ravel(), 0, 4, 20, 1)
+    assert (full.codes(histories) == code).all() and (full.codes(histories[::-1]) == code[::-1]).all() and not len(full.kept[0])
+
+
+def test_slices_are_of_equal_size(monkeypatch, docs):
+    """A filter of little more than a slice is not cut into a whole one and a small rest."""
+    sizes = []
+
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 14)
+    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", lambda v: (sizes.append(len(v)) if isinstance(v, bytearray) else None) or broadcast(v))
+    lm_scoring.score_texts(docs)
+    block = lm_scoring.BLOCK_BITS // 8
+    blocks, sizes = sizes[0] // block, []
+    assert blocks > 3
+    lm_scoring.score_texts(docs, (blocks - 1) * block)
+    assert len(sizes) == 2 and max(sizes) - min(sizes) <= block
+
+
+def test_spent_shuffle_files_go(docs):
+    """Of all its shuffles only those that the result still reads are left on the disk."""
+    tracker = docs.sparkSession.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = lm_scoring.score_texts(docs)
+    assert tracker.shuffleStatuses().size() <= before
+    assert out.count() == docs.count()
+
+
+def test_spent_slices_go(monkeypatch, docs):
+    """Each slice's broadcast ends with its pass."""
+    live, most = [], []
+    broadcast = docs.sparkSession.sparkContext.broadcast
+
+    def sent(v):
+        b = broadcast(v)
+        if isinstance(v, bytearray):
+            live.append(b)
+            destroy = b.destroy
+            monkeypatch.setattr(b, "destroy", lambda: (live.remove(b), destroy()))
+            most.append(len(live))
+        return b
+
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 14)
+    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", sent)
+    out = lm_scoring.score_texts(docs, 4 * lm_scoring.BLOCK_BITS // 8)
+    assert len(most) > 1 and max(most) == 1 and not live
+    assert out.count() == docs.count()
