@@ -19,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sent, pos, sl, tl, frac, n_tl: one row for each order line."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    # named before the window: sentences then lie as the window dealt their lines, and are not shuffled again
+    line, part = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "sent_id"), table(spark, sf_dir, "part")
+    pos = (F.row_number().over(Window.partitionBy("sent_id").orderBy(*ORDER)) - 1).cast("int")
+    # words are made behind the window, so that no shuffle carries them
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("sent_id", pos.alias("pos"), "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "p_type")
     lemma = F.lower("p_type")
     tag = F.element_at(F.array(F.lit("n"), F.lit("vblex"), F.lit("adj"), F.lit("pr")), (F.length(lemma) % 4 + 1).cast("int"))
     sl = F.concat(lemma, F.lit("<"), tag, F.lit(">"))
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    pos = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1).cast("int")
     tl = F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit("<"), tag, F.lit(">"))
-    return rows.select(F.col("l_orderkey").alias("sent_id"), pos.alias("pos"), sl.alias("sl"), tl.alias("tl"), F.col("l_discount").alias("frac"), (F.col("l_partkey") % 3 + 1).cast("int").alias("n_tl"), F.concat(lemma, F.lit(".t")).alias("stem"), F.concat(F.lit("<"), tag, F.lit(">")).alias("tag"))
+    return rows.select("sent_id", "pos", sl.alias("sl"), tl.alias("tl"), F.col("l_discount").alias("frac"), (F.col("l_partkey") % 3 + 1).cast("int").alias("n_tl"), F.concat(lemma, F.lit(".t")).alias("stem"), F.concat(F.lit("<"), tag, F.lit(">")).alias("tag"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,16 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir).select("sent_id", "pos", F.lit(" ").alias("blank"), "sl", tls.alias("tls"))
 
 
+def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id, lus, options: sentences, and their units with the observed word standing for the first translation, from one pass over the lines."""
+    tls = F.transform(F.sequence(F.lit(0), F.col("n_tl") - 1), lambda i: F.concat("stem", i.cast("string"), "tag"))
+    own = F.array_sort(F.array_distinct(F.concat(F.array("tl"), F.slice(tls, F.lit(2), F.col("n_tl")))))
+    one = F.struct("pos", F.lit(" ").alias("blank"), "sl", tls.alias("tls"), own.alias("own"))
+    s = observed(spark, sf_dir).groupBy("sent_id").agg(F.array_sort(F.collect_list(one)).alias("u"))
+    units = lambda field: F.transform("u", lambda u: F.struct(u["pos"].alias("pos"), u["blank"].alias("blank"), u["sl"].alias("sl"), u[field].alias("tls")))
+    return s.select("sent_id", units("tls").alias("lus"), units("own").alias("options"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sent_id, lus."""
     one = F.struct("pos", "blank", "sl", "tls")

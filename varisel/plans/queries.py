@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lu
-from ..operators import dictionary, emit, evaluate, filters, language_model, legacy, lexicon, matching, maxent, ngrams
+from ..operators import dictionary, emit, evaluate, filters, language_model, lattice, legacy, lexicon, matching, maxent, ngrams
 from ..operators.rules import compile_rules
 from ..sources import readers
+from ..sources.intermediate import spent_shuffles_go, written
 from . import fixtures
 from .registry import query
 
@@ -383,6 +384,7 @@ n AS (SELECT *, mass / sum(mass) OVER (PARTITION BY sent_id) AS prob FROM t)
 SELECT sent_id, path_id::INT AS path_id, score, round(prob, 6) AS prob, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, path_id)::INT AS rank FROM n"""
 
 
+@spent_shuffles_go
 def _bigrams(o: DataFrame) -> DataFrame:
     """A back-off model of the observed translations, with half a count taken from each pair: ord, ngram, logp, backoff."""
     framed = o.groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tl"))), lambda x: x["tl"]).alias("w"))
@@ -395,22 +397,16 @@ def _bigrams(o: DataFrame) -> DataFrame:
     ones = words.crossJoin(F.broadcast(total)).select(F.col("t").alias("ngram"), F.log10(F.col("c") / F.col("all")).alias("logp"))
     ones = ones.join(per.select(F.col("h").alias("ngram"), "backoff"), "ngram", "full").select(F.lit(1).alias("ord"), "ngram", F.coalesce("logp", F.lit(-99.0)).alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
     twos = n.join(per.select("h", F.col("c").alias("all")), "h").select(F.lit(2).alias("ord"), F.concat_ws(" ", "h", "t").alias("ngram"), F.log10((F.col("n") - 0.5) / F.col("all")).alias("logp"), F.lit(0.0).alias("backoff"))
-    return ones.union(twos)
+    return written(ones.union(twos), "bigrams")
 
 
 @query("WITH RECURSIVE " + fixtures.SQL + _LM_SQL)
 def lm_rank(spark, sf_dir):
     """All paths of sentences (up to the operator's 10,000), the observed word standing for the first translation, scored
     by a bigram model with back-off counted from the observed words, normalised and ranked."""
-    o = fixtures.observed(spark, sf_dir)
-    units = fixtures.units(spark, sf_dir).join(o.select("sent_id", "pos", "tl"), ["sent_id", "pos"])
-    few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 10_001).select("sent_id")
-    options = F.array_sort(F.array_distinct(F.concat(F.array("tl"), F.slice("tls", 2, F.size("tls")))))
-    sents = units.join(few, "sent_id", "left_semi").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", options.alias("tls")))).alias("lus"))
-    paths = dictionary.paths(sents).withColumn("id", F.struct("sent_id", "path_id"))
-    scored = language_model.sentence_scores(paths.select("id", F.col("tls").alias("words")), _bigrams(o), 2)
-    scored = scored.select("id.sent_id", "id.path_id", F.round("score", 6).alias("score"))
-    return language_model.rank_paths(scored, fractional=True).select("sent_id", "path_id", "score", F.round("prob", 6).alias("prob"), "rank")
+    few = filters.fertile(fixtures.translated(spark, sf_dir), 2, 10_001).select("sent_id", F.col("options").alias("lus"))
+    paths = lattice.ranked_paths(lattice.lattices(few, _bigrams(fixtures.observed(spark, sf_dir))), 6)
+    return paths.select("sent_id", "path_id", "score", F.round("prob", 6).alias("prob"), "rank")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t FROM part)
