@@ -27,10 +27,7 @@ _PATHS = _PATHS.replace("ok AS (SELECT sent_id, max(pos) AS last FROM units GROU
 
 def _lattices(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All sentences, the observed word standing for the first translation, and a bigram model of the observed words."""
-    o = fixtures.observed(spark, sf_dir)
-    units = fixtures.units(spark, sf_dir).join(o.select("sent_id", "pos", "tl"), ["sent_id", "pos"])
-    options = F.array_sort(F.array_distinct(F.concat(F.array("tl"), F.slice("tls", 2, F.size("tls")))))
-    return units.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "blank", "sl", options.alias("tls")))).alias("lus")), _bigrams(o)
+    return fixtures.translated(spark, sf_dir).select("sent_id", F.col("options").alias("lus")), _bigrams(fixtures.observed(spark, sf_dir))
 
 
 @query("WITH RECURSIVE " + fixtures.SQL + _PATHS + """
