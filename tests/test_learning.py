@@ -13,7 +13,7 @@ from varisel.functions import lu
 from varisel.operators import dictionary, emit, evaluate, filters, language_model, legacy, lexicon, maxent, ngrams
 from varisel.operators.matching import apply_to_text
 from varisel.operators.rules import compile_rules
-from varisel.plans import learning
+from varisel.plans import learned, learning
 from varisel.sources import readers
 from varisel.streaming import apply as streaming
 
@@ -315,3 +315,15 @@ def test_legacy(spark):
     assert {r.sent_id: r.tls for r in legacy.apply(near, select).collect()} == {1: ["y<n><f>"], 2: ["y<n>", "z<n>"]}
     chosen = legacy.frequency_choice(units, spark.createDataFrame([("y<n>", 5), ("x<n>", 2)], "tl string, freq long"))
     assert {r.pos: r.tls for r in chosen.collect()} == {0: ["b<n>"], 1: ["y<n>"], 2: ["y<n>"]}
+
+
+def test_events_of_places(spark):
+    """Places with their contexts give the events of places and contexts apart; stored, they do not go back to the lines."""
+    rows = [(1, 0, "a", "x", 1.0, ["a b"]), (1, 1, "b", "u", 1.0, ["a b", "b c"]), (2, 0, "a", "y", 0.5, ["a b"]), (3, 0, "a", "x", 2.0, ["a b"]), (4, 0, "a", "x", 0.0, ["z"]), (5, 0, "a", "q", 1.0, ["a b"])]
+    placed = spark.createDataFrame(rows, "sent_id long, pos int, sl string, tl string, w double, feats array<string>")
+    lex = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "u", 0)], "sl string, tl string, tl_idx int")
+    got = sorted(map(tuple, maxent.placed_events(placed, lex).collect()))
+    assert got == [("a", 2, 0, 3.0, ["a b"]), ("a", 2, 1, 0.5, ["a b"])]
+    assert got == sorted(map(tuple, maxent.events(placed.drop("feats"), placed.select("sent_id", "pos", F.explode("feats").alias("ngram")), lex).collect()))
+    ev = learned._events(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in ev._jdf.queryExecution().executedPlan().toString()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.intermediate import discard, written
+from ..sources.intermediate import discard, spent_shuffles_go, written
 
 LAMBDAS = "sl string, feature string, cls int, lambda double"
 
@@ -26,14 +26,25 @@ LAMBDAS = "sl string, feature string, cls int, lambda double"
 def events(observed: DataFrame, ngrams_of: DataFrame, lexicon: DataFrame) -> DataFrame:
     """observed (sent_id, pos, sl, tl, w), ngrams_of (sent_id, pos, ngram), lexicon (sl, tl, tl_idx) -> sl,
     n_cls, cls, w, feats: a word's contexts with the place of its translation, for words with two or more."""
+    feats = ngrams_of.groupBy("sent_id", "pos").agg(F.sort_array(F.collect_set("ngram")).alias("feats"))
+    return placed_events(observed.join(feats, ["sent_id", "pos"]), lexicon)
+
+
+def placed_events(placed: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``events`` of places (sl, tl, w, feats) that have their sorted contexts already. Equal places are summed before they meet the
+    lexicon, so neither a frequent word nor the corpus is shuffled by word."""
     classes = lexicon.groupBy("sl").agg(F.count(F.lit(1)).cast("int").alias("n_cls")).filter("n_cls > 1")
     named = lexicon.select("sl", "tl", F.col("tl_idx").alias("cls")).join(classes, "sl")
-    feats = ngrams_of.groupBy("sent_id", "pos").agg(F.sort_array(F.collect_set("ngram")).alias("feats"))
-    # one join of the observed places by word and translation: a frequent word is not gathered by itself
-    met = observed.join(named, ["sl", "tl"]).join(feats, ["sent_id", "pos"])
+    met = placed.groupBy("sl", "tl", "feats").agg(F.sum("w").alias("w")).join(named, ["sl", "tl"])
     return met.groupBy("sl", "n_cls", "cls", "feats").agg(F.sum("w").alias("w")).filter("w > 0").select("sl", "n_cls", "cls", "w", "feats")
 
 
+@spent_shuffles_go
+def stored_events(placed: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``placed_events`` as a table: what is made of them does not go back to the corpus."""
+    return written(placed_events(placed, lexicon), "events")
+
+
 def feature_ids(ev: DataFrame) -> DataFrame:
     """feature, feature_id: all features of the events in order of their text, numbered from 0 without gaps.
 
