@@ -327,3 +327,19 @@ def test_events_of_places(spark):
     assert got == sorted(map(tuple, maxent.events(placed.drop("feats"), placed.select("sent_id", "pos", F.explode("feats").alias("ngram")), lex).collect()))
     ev = learned._events(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in ev._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summed_shares_of_paths(spark):
+    """Sums over paths equal those of the pairs of each path, and paths that lie with their sentences are not shuffled."""
+    unit = "array<struct<pos:int,blank:string,sl:string,tls:array<string>>>"
+    am = spark.createDataFrame([(1, [(0, " ", "a", ["x", "y"]), (1, " ", "b", ["u"])]), (2, [(0, " ", "a", ["x", "y", "x"])]), (3, [])], f"sent_id long, lus {unit}")
+    path = lambda *tls: [(i, " ", "", list(t)) for i, t in enumerate(tls)]
+    rows = [(1, 0, path("x", "u"), 0.25), (1, 1, path("y", "u"), 0.5), (1, 2, path("x", "u"), 0.125), (1, 3, path("x"), 9.0), (2, 0, path([]), 0.5), (2, 1, path("x"), 0.25), (2, 2, path("xy"), 0.25), (4, 0, path("x"), 1.0)]
+    annotated = spark.createDataFrame(rows, f"sent_id long, path_id int, lus {unit}, frac double")
+    got = sorted(map(tuple, lexicon.fractional_sums(am, annotated).collect()))
+    pairs = lexicon.fractional_pairs(am, annotated).groupBy("sent_id", "pos", "sl", "tl").agg(F.sum("frac").alias("frac"))
+    assert got == sorted(map(tuple, pairs.collect())) == [(1, 0, "a", "x", 0.375), (1, 0, "a", "y", 0.5), (2, 0, "a", "", 0.5), (2, 0, "a", "x", 0.5)]
+    few = am.groupBy("sent_id").agg(F.first("lus").alias("lus"))
+    all_ = dictionary.paths(few).select("sent_id", "path_id", F.transform("tls", lambda t, i: F.struct(i.alias("pos"), F.lit(" ").alias("blank"), F.lit("").alias("sl"), F.array(t).alias("tls"))).alias("lus"), F.lit(0.5).alias("frac"))
+    plan = lexicon.fractional_sums(few, all_)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sent_id") == 2  # each side's sentences; no path

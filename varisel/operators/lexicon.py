@@ -37,6 +37,21 @@ def fractional_pairs(ambiguous: DataFrame, annotated: DataFrame) -> DataFrame:
     return each.filter(F.size("x.am.tls") > 1).select("sent_id", "path_id", "pos", F.col("x.am.sl").alias("sl"), F.element_at(F.concat("x.dm.tls", F.array(F.lit(""))), 1).alias("tl"), "frac")
 
 
+def fractional_sums(ambiguous: DataFrame, annotated: DataFrame) -> DataFrame:
+    """``fractional_pairs`` with the shares of a sentence's paths summed: sent_id, pos, sl, tl, frac."""
+    return chosen_sums(ambiguous, annotated.select("sent_id", F.transform("lus", lambda u: F.coalesce(F.get(u["tls"], F.lit(0)), F.lit(""))).alias("tls"), "frac"))
+
+
+def chosen_sums(ambiguous: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``fractional_sums`` of paths (sent_id, tls, frac), one translation for each unit. Paths are summed where they are read and
+    meet their sentence as one row, so no path is shuffled or sorted."""
+    each = chosen.select("sent_id", "frac", F.size("tls").alias("n"), F.posexplode("tls").alias("pos", "tl"))
+    sums = each.groupBy("sent_id", "n", "pos", "tl").agg(F.sum("frac").alias("frac"))
+    met = ambiguous.select("sent_id", F.col("lus").alias("am")).join(sums.groupBy("sent_id").agg(F.collect_list(F.struct("n", "pos", "tl", "frac")).alias("x")), "sent_id")
+    each = met.select("sent_id", "am", F.explode("x").alias("x")).filter(F.size("am") == F.col("x.n")).withColumn("u", F.col("am")[F.col("x.pos")])
+    return each.filter(F.size("u.tls") > 1).select("sent_id", "x.pos", F.col("u.sl").alias("sl"), "x.tl", "x.frac")
+
+
 def bag_pairs(units: DataFrame, targets: DataFrame) -> DataFrame:
     """units (sent_id, pos, sl, tls), targets (sent_id, tl): each occurrence of a translation anywhere in
     the target sentence."""

@@ -452,9 +452,7 @@ def fractional_lexicon(spark, sf_dir):
     """Ambiguous sentences and their weighted paths: each path adds its share to the translations that it chose."""
     few = filters.fertile(fixtures.sentences(spark, sf_dir), 2, 10_001).select("sent_id", "lus")
     paths = dictionary.paths(few)
-    chosen = F.transform("tls", lambda t, i: F.struct(i.alias("pos"), F.lit(" ").alias("blank"), F.lit("").alias("sl"), F.array(t).alias("tls")))
-    annotated = paths.select("sent_id", "path_id", chosen.alias("lus"), ((F.col("path_id") % 7 + 1) / 10).alias("frac"))
-    pairs = lexicon.fractional_pairs(few, annotated)
+    pairs = lexicon.chosen_sums(few, paths.select("sent_id", "tls", ((F.col("path_id") % 7 + 1) / 10).alias("frac")))
     return lexicon.frequencies(pairs, F.col("frac")).withColumn("freq", F.round("freq", 6))
 
 
